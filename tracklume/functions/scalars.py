@@ -60,9 +60,12 @@ def scalar_math(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double (and drop the sign of zero) so results compare across engines."""
+def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
+    """Round every double (and drop the sign of zero) so results compare across engines; ``other`` sets single columns."""
     doubles = {f.name for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
     return df.select(
-        *[(F.round(c, digits) + F.lit(0.0)).alias(c) if c in doubles else F.col(c) for c in df.columns]
+        *[
+            (F.round(c, other.get(c, digits)) + F.lit(0.0)).alias(c) if c in doubles else F.col(c)
+            for c in df.columns
+        ]
     )

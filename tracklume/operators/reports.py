@@ -50,7 +50,7 @@ def curves_wide(df: DataFrame, sets: Sequence[str], by: str = "epochs", score: s
     return wide.select(by, *[F.col(f"{s}_{m}").alias(f"{m}_{s}") for s in sets for m in ("mean", "std")])
 
 
-def misaligned(df: DataFrame, by: str = "epochs", group: str = "fset") -> DataFrame:
+def alignment(df: DataFrame, by: str = "epochs", group: str = "fset") -> DataFrame:
     """Coverage of each training length by the feature sets, with a flag where one of them is absent."""
     present = df.select(group, by).distinct()
     per_step = present.groupBy(by).agg(F.count(F.lit(1)).alias("sets"))

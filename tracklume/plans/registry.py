@@ -20,13 +20,14 @@ def registered(name: str, sql: str | None = None):
     return add
 
 
-def twin(sql: str, keep: Sequence[str], doubles: Sequence[str], digits: int = 6) -> str:
+def twin(sql: str, keep: Sequence[str], doubles: Sequence[str], digits: int = 6, **other: int) -> str:
     """Final projection of a twin: doubles rounded, infinities and NaN as NULL, no negative zero."""
     plain = [f"q.{c}" for c in keep]
-    cleaned = [
-        f"CASE WHEN isnan(CAST(q.{c} AS DOUBLE)) OR isinf(CAST(q.{c} AS DOUBLE)) THEN NULL "
-        f"WHEN round(CAST(q.{c} AS DOUBLE), {digits}) = 0 THEN CAST(0 AS DOUBLE) "
-        f"ELSE round(CAST(q.{c} AS DOUBLE), {digits}) END AS {c}"
-        for c in doubles
-    ]
+    cleaned = []
+    for c in doubles:
+        value, places = f"CAST(q.{c} AS DOUBLE)", other.get(c, digits)
+        cleaned.append(
+            f"CASE WHEN isnan({value}) OR isinf({value}) THEN NULL "
+            f"WHEN round({value}, {places}) = 0 THEN CAST(0 AS DOUBLE) ELSE round({value}, {places}) END AS {c}"
+        )
     return f"SELECT {', '.join(plain + cleaned)} FROM ({sql}) q"

@@ -68,12 +68,12 @@ def features(spark: SparkSession, sf_dir: str, keep=("serum", "time", "guide"))
     return FT.track_features(observations(spark, sf_dir), keep)
 
 
-def query(name: str, sql: str | None = None, doubles: str = "", keep: str = "", digits: int = 6):
+def query(name: str, sql: str | None = None, doubles: str = "", keep: str = "", **other: int):
     """Register a query on observations together with its twin: ``keep`` columns plain, ``doubles`` rounded.
 
     Means of 16 values with three decimals end in a 5 at the seventh decimal; seven digits keep them off the rounding edge.
     """
-    return registered(name, None if sql is None else twin(sql, keep.split(), doubles.split(), digits))
+    return registered(name, None if sql is None else twin(sql, keep.split(), doubles.split(), 6, **other))
 
 
 @query("scan_tracks", f"{WITH_TRACKS} SELECT * FROM tracks", "x_micron y_micron D A P Dist serum_conc_percent",
@@ -221,10 +221,10 @@ def directionality(spark, sf_dir):
     return rounded(K.directionality(observations(spark, sf_dir)))
 
 
-@query("sibling_masks", f"{FEATURES_CTE} SELECT * FROM features", "MD MDist", "file particle ifFast ifCentr", 7)
+@query("sibling_masks", f"{FEATURES_CTE} SELECT * FROM features", "MD MDist", "file particle ifFast ifCentr", MDist=7)
 def sibling_masks(spark, sf_dir):
     tracks = observations(spark, sf_dir).groupBy(*TRACK).agg(F.avg("D").alias("MD"), F.avg("Dist").alias("MDist"))
-    return rounded(FT.sibling_masks(tracks), 7)
+    return rounded(FT.sibling_masks(tracks), MDist=7)
 
 
 @query("track_outliers", f"""{WITH_TRACKS} SELECT file, particle, frame, D,
@@ -237,9 +237,9 @@ def track_outliers(spark, sf_dir):
 
 @query("track_features", f"{FEATURES_CTE} SELECT * FROM features",
        " ".join(c for c in FEATURES if c not in ("ifFast", "ifCentr", "out2sd", "out3sd")),
-       "file particle serum ifFast ifCentr out2sd out3sd", 7)
+       "file particle serum ifFast ifCentr out2sd out3sd", MDist=7, VarDist=8)
 def track_features(spark, sf_dir):
-    return rounded(features(spark, sf_dir, ("serum",)), 7)
+    return rounded(features(spark, sf_dir, ("serum",)), MDist=7, VarDist=8)
 
 
 @query("track_table_by_label", f"""{FEATURES_CTE} SELECT serum, count(*) AS n, avg(MD) AS MD, avg(Pers) AS Pers,
