@@ -168,3 +168,50 @@ def running_totals(
         *measures,
         *[(F.col("_start_" + m) + F.col("_local_" + m)).alias("before_" + m) for m in measures],
     )
+
+
+def band_join(
+    queries: DataFrame,
+    candidates: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    low: str,
+    high: str,
+    spread_by: str,
+    bins: int = 64,
+    limit: int = HOT_ROWS,
+) -> DataFrame:
+    """Pairs of query and candidate with equal ``keys`` and ``value`` between ``low`` and ``high`` of the query.
+
+    The value range of a key is cut into ``bins``; a query visits only the bins its band touches, and a bin with more
+    than ``limit`` candidates is split over several partitions.  ``keys`` must take few values (they number pivots or
+    a constant): the two tables broadcast here have one row per key, and one per key and bin.
+    """
+    span = F.broadcast(candidates.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max")))
+
+    def bin_of(x: Column) -> Column:
+        place = F.floor(F.try_divide(x - F.col("_min"), (F.col("_max") - F.col("_min")) / bins))
+        return F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")
+
+    placed = candidates.join(span, list(keys)).withColumn("_bin", bin_of(F.col(value))).drop("_min", "_max")
+    bin_keys = [*keys, "_bin"]
+    ways = F.broadcast(
+        placed.groupBy(*bin_keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("_ways"))
+    )
+    right = placed.join(ways, bin_keys).withColumn(
+        "_salt", F.pmod(F.xxhash64(spread_by), F.col("_ways")).cast("int")
+    ).drop("_ways")
+    touched = F.sequence(bin_of(F.greatest(low, "_min")), bin_of(F.least(high, "_max")))
+    left = (
+        queries.join(span, list(keys))
+        .where((F.col(low) <= F.col("_max")) & (F.col(high) >= F.col("_min")))
+        .withColumn("_bin", F.explode(touched))
+        .join(ways, bin_keys)
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)))
+        .drop("_min", "_max", "_ways")
+    )
+    return (
+        left.join(right, [*bin_keys, "_salt"])
+        .where((F.col(value) >= F.col(low)) & (F.col(value) <= F.col(high)))
+        .drop("_bin", "_salt")
+    )

@@ -67,7 +67,7 @@ def fitted_folds(
 ) -> dict[tuple[int, int], Model]:
     """One model per (repeat, fold), fitted on the rows outside the fold."""
 
-    @inheritable_thread_target
+    @inheritable_thread_target(df.sparkSession)
     def fit(at: tuple[int, int]) -> Model:
         rows = df.where(F.col("repeat_no") == at[0]) if "repeat_no" in df.columns else df
         return with_inputs(make(), features, principal).fit(rows.where(F.col("fold") != at[1]))
@@ -120,14 +120,20 @@ def scaled_folds(df: DataFrame, features: Sequence[str], k: int) -> list[DataFra
 
 
 def network_out_of_fold(
-    df: DataFrame, features: Sequence[str], keys: Sequence[str], make: MakeEstimator, k: int = 4
-) -> DataFrame:
+    df: DataFrame, features: Sequence[str], keys: Sequence[str], make: MakeEstimator, k: int = 4,
+    parallelism: int = 4,
+) -> DataFrame:
     """Out-of-fold predictions of a network on features scaled inside each fold."""
-    parts = []
-    for fold, rows in enumerate(scaled_folds(df, features, k)):
+    scaled = scaled_folds(df, features, k)
+
+    @inheritable_thread_target(df.sparkSession)
+    def run(fold: int) -> DataFrame:
+        rows = scaled[fold]
         model = with_inputs(make(), features).fit(rows.where(F.col("fold") != fold))
-        parts.append(out_of_fold(rows, {(0, fold): model}, keys))
-    return union_all(parts)
+        return out_of_fold(rows, {(0, fold): model}, keys)
+
+    with ThreadPool(min(parallelism, k)) as pool:
+        return union_all(pool.map(run, range(k)))
 
 
 def grid_scores(
@@ -162,7 +168,7 @@ def knockout_scores(
     """Accuracy when a family of features is set to zero in training and test, one row per family; ``none`` is the full set."""
     cases = {"none": [], **groups}
 
-    @inheritable_thread_target
+    @inheritable_thread_target(df.sparkSession)
     def run(name: str) -> DataFrame:
         rows = df.withColumns({c: F.lit(0.0) for c in cases[name]})
         models = fitted_folds(rows, make, features, k, parallelism=1)
