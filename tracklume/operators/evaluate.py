@@ -15,6 +15,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
     MultilayerPerceptronClassifier,
+    RandomForestClassifier,
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
@@ -105,6 +106,10 @@ def stump() -> DecisionTreeClassifier:
     return DecisionTreeClassifier(maxDepth=1, seed=5)
 
 
+def forest() -> RandomForestClassifier:
+    return RandomForestClassifier(numTrees=20, maxDepth=5, seed=5)
+
+
 def boosted(rounds: int = 10, rate: float = 0.1, depth: int = 3) -> MakeEstimator:
     return lambda: GBTClassifier(maxIter=rounds, stepSize=rate, maxDepth=depth, seed=5)
 

@@ -6,14 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklume.functions.scalars import rounded
+from tracklume.operators import evaluate as E
 from tracklume.operators import folds as FO
+from tracklume.operators import kinematics as K
 from tracklume.operators import panel as P
 from tracklume.operators import reports as R
+from tracklume.operators import ridge as RI
+from tracklume.operators import series as SE
 from tracklume.operators import similarity as SI
-from tracklume.plans.inputs import observations
+from tracklume.operators import stats as ST
+from tracklume.plans.inputs import observations, table
+from tracklume.plans.model_queries import model_table
 from tracklume.plans.registry import registered, twin
-from tracklume.plans.track_queries import FOLDS_SQL, MODAL_SQL
-from tracklume.schema import TRACK
+from tracklume.plans.track_queries import FOLDS_SQL, LENGTHS_SQL, MODAL_SQL
+from tracklume.schema import FEATURE_SETS, PCA_FEATURES, TRACK
+from tracklume.sources.tables import stored
 
 
 def series(spark: SparkSession, sf_dir: str, value: str = "Dist") -> DataFrame:
@@ -55,3 +62,122 @@ def dtw_pairs(spark, sf_dir):
 @registered("knn_dtw")
 def knn_dtw(spark, sf_dir):
     return rounded(R.fold_metrics(SI.voted(SI.nearest_warped(series(spark, sf_dir))), ["fold"]))
+
+
+def kernel_table(spark: SparkSession, sf_dir: str, count: int = 40) -> DataFrame:
+    """Random kernel features of the series; the kernels depend on the length of the series only."""
+    rows = stored(series(spark, sf_dir), "series")
+    length = rows.agg(F.max(F.size("vec"))).first()[0]
+    kernels = SE.random_kernels(count, length)
+    return SE.kernel_features(rows.withColumnRenamed("vec", "series"), ["series"], kernels)
+
+
+@registered("rocket_features")
+def rocket_features(spark, sf_dir):
+    rows = kernel_table(spark, sf_dir)
+    return rounded(rows.select("id", "fold", "label", F.posexplode("vec").alias("position", "value")))
+
+
+@registered("rocket_ridge")
+def rocket_ridge(spark, sf_dir):
+    rows = stored(kernel_table(spark, sf_dir), "kernels")
+    scored = RI.ridge_out_of_fold(rows, 80, {"kernels": list(range(80))})
+    return rounded(R.fold_metrics(scored, ["set", "fold", "penalty"]))
+
+
+_SWEEP = ["dxy", "angle", "dangle", "darea", "dperimeter", "x", "y", "min_dist_pxs", "area_micron", "perimeter_au"]
+
+
+@registered("fset_sweep")
+def fset_sweep(spark, sf_dir):
+    """Grouped scores of all twenty feature sets on one table of per-track means and deviations."""
+    rows = observations(spark, sf_dir)
+    names = {"x_micron": "x", "y_micron": "y", "Dist": "min_dist_pxs", "A": "area_micron", "P": "perimeter_au"}
+    steps = K.dynamics(rows).withColumnsRenamed(names)
+    values = [f(c) for c in _SWEEP for f in (F.avg, F.stddev_samp)]
+    tracks = steps.groupBy(*TRACK).agg(
+        F.max("serum").alias("label"), F.array(*[F.coalesce(v, F.lit(0.0)) for v in values]).alias("vec")
+    )
+    folds = FO.stratified_group_folds(rows).drop("repeat_no")
+    folded = stored(FO.with_fold(tracks, folds, ("particle",)), "sweep")
+    places = {
+        name: [2 * _SWEEP.index(c) + i for c in members for i in (0, 1)] for name, members in FEATURE_SETS.items()
+    }
+    scored = RI.ridge_out_of_fold(folded, 2 * len(_SWEEP), places)
+    per_fold = R.fold_metrics(scored, ["set", "fold"])
+    return rounded(per_fold.groupBy(F.col("set").alias("fset")).agg(
+        F.avg("accuracy").alias("accuracy"), F.stddev_samp("accuracy").alias("std"), F.avg("f1").alias("f1")
+    ))
+
+
+_INTERVAL_SQL = f"""{LENGTHS_SQL}, spans AS (SELECT file, particle, min(frame) AS f0, max(frame) AS f1 FROM tracks GROUP BY file, particle)
+ SELECT t.file, t.particle, CAST((frame - f0) * 3 // (f1 - f0 + 1) AS INT) AS interval_no, count(*) AS n, avg(Dist) AS Dist_mean,
+ stddev_samp(Dist) AS Dist_std, regr_slope(Dist, frame) AS Dist_slope, avg(D) AS D_mean, stddev_samp(D) AS D_std,
+ regr_slope(D, frame) AS D_slope FROM tracks t JOIN spans s ON t.file = s.file AND t.particle = s.particle GROUP BY 1, 2, 3"""
+
+
+@registered("interval_features", twin(_INTERVAL_SQL, ["file", "particle", "interval_no", "n"],
+                                      [f"{c}_{s}" for c in ("Dist", "D") for s in ("mean", "std", "slope")], 6, Dist_mean=7))
+def interval_features(spark, sf_dir):
+    rows = observations(spark, sf_dir).select(*TRACK, "frame", "Dist", "D")
+    return rounded(SE.interval_features(rows, ["Dist", "D"]).withColumnRenamed("interval", "interval_no"), Dist_mean=7)
+
+
+@registered("interval_forest")
+def interval_forest(spark, sf_dir):
+    rows = observations(spark, sf_dir)
+    wide = SE.intervals_wide(SE.interval_features(rows, ["Dist", "D"]))
+    labels = rows.groupBy(*TRACK).agg(F.max("serum").alias("serum"))
+    features = [c for c in wide.columns if c not in TRACK]
+    folds = FO.stratified_group_folds(rows).drop("repeat_no")
+    folded = FO.with_fold(wide.join(labels, TRACK), folds, ("particle",))
+    table_ = E.prepared(folded, features, TRACK, "serum")
+    models = E.fitted_folds(table_, E.forest, features)
+    return rounded(E.out_of_fold(table_, models, TRACK))
+
+
+@registered("pca_tracks")
+def pca_tracks(spark, sf_dir):
+    rows = model_table(spark, sf_dir)
+    scores = SE.principal_components(rows, PCA_FEATURES, [*TRACK, "label"])
+    return rounded(scores.select(*TRACK, "label", *[F.abs(f"PC{i}").alias(f"PC{i}") for i in range(len(PCA_FEATURES))]))
+
+
+@registered("pca_embeddings")
+def pca_embeddings(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    scores = SE.vector_components(rows, "embedding", ["vec_id", "label"], 8)
+    return rounded(scores.select("vec_id", "label", *[F.abs(f"PC{i}").alias(f"PC{i}") for i in range(8)]))
+
+
+@registered("density_2d", twin(f"""WITH p AS ({LENGTHS_SQL} SELECT serum, avg(Dist) AS u, avg(A) AS v FROM tracks GROUP BY file, particle, serum),
+ e AS (SELECT min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM p),
+ g AS (SELECT serum, count(*) AS n, stddev_samp(u) * pow(count(*), -1.0 / 6) AS hu, stddev_samp(v) * pow(count(*), -1.0 / 6) AS hv FROM p GROUP BY serum),
+ k AS (SELECT CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM range(10) a(i), range(10) b(j))
+ SELECT p.serum, k.i, k.j, sum(exp(-(pow((u - (u0 + (u1 - u0) * k.i / 9)) / hu, 2) + pow((v - (v0 + (v1 - v0) * k.j / 9)) / hv, 2)) / 2)
+ / (2 * pi() * hu * hv * n)) * 1000 AS density FROM p JOIN g ON p.serum = g.serum, e, k GROUP BY p.serum, k.i, k.j""",
+                               ["serum", "i", "j"], ["density"]))
+def density_2d(spark, sf_dir):
+    tracks = observations(spark, sf_dir).groupBy(*TRACK, "serum").agg(F.avg("Dist").alias("u"), F.avg("A").alias("v"))
+    return rounded(ST.density_2d(tracks, "u", "v", "serum").withColumn("density", F.col("density") * 1000))
+
+
+def _weight_sql(value: str) -> str:
+    from tracklume.operators.stats import POISSON_1
+
+    return " + ".join(f"CASE WHEN {value} >= {p!r} THEN 1 ELSE 0 END" for p in POISSON_1)
+
+
+@registered("mean_diff_ci", twin(f"""WITH p AS ({LENGTHS_SQL} SELECT file, particle, CASE WHEN time = 0 THEN 'before' ELSE 'after' END AS condition,
+ avg(Dist) AS v FROM tracks WHERE time < 40 GROUP BY file, particle, time),
+ u AS (SELECT p.*, r.replicate, CAST('0x' || substring(md5('11|' || CAST(r.replicate AS VARCHAR) || '|' || CAST(file AS VARCHAR) || '|' || particle), 1, 8)
+ AS BIGINT) / 4294967296.0 AS h FROM p, range(1, 201) r(replicate)),
+ w AS (SELECT *, {_weight_sql("CAST(h AS DOUBLE)")} AS w FROM u),
+ m AS (SELECT replicate, condition, sum(w * v) / nullif(sum(w), 0) AS m FROM w GROUP BY replicate, condition),
+ d AS (SELECT replicate, max(m) FILTER (condition = 'after') - max(m) FILTER (condition = 'before') AS d FROM m GROUP BY replicate)
+ SELECT (SELECT avg(v) FROM p WHERE condition = 'after') - (SELECT avg(v) FROM p WHERE condition = 'before') AS difference,
+ (SELECT count(*) FROM p WHERE condition = 'before') AS n_before, (SELECT count(*) FROM p WHERE condition = 'after') AS n_after,
+ quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high FROM d""", ["n_before", "n_after"], ["difference", "low", "high"]))
+def mean_diff_ci(spark, sf_dir):
+    tracks = observations(spark, sf_dir).groupBy(*TRACK, "time").agg(F.avg("Dist").alias("MDist"))
+    return rounded(ST.mean_difference(ST.before_after(tracks, "MDist"), "MDist", TRACK))
