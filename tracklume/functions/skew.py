@@ -23,15 +23,17 @@ HOT_ROWS = 4_000_000
 BLOCK = 65_536
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str], limit: int = HOT_ROWS) -> DataFrame:
+def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
     """Keys of the groups with more than ``limit`` rows: at most ``rows / limit`` of them."""
+    limit = HOT_ROWS if limit is None else limit
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > limit).select(*keys)
 
 
 def with_blocks(
-    df: DataFrame, keys: Sequence[str], order: str, limit: int = HOT_ROWS, block: int = BLOCK
+    df: DataFrame, keys: Sequence[str], order: str, limit: int | None = None, block: int | None = None
 ) -> DataFrame:
     """Add ``_hot`` and ``_block``: 0 for ordinary groups, ``floor(order / block)`` for hot ones."""
+    block = BLOCK if block is None else block
     hot = F.broadcast(hot_groups(df, keys, limit).withColumn("_hot", F.lit(True)))
     return df.join(hot, list(keys), "left").withColumn(
         "_block", F.when(F.col("_hot"), F.floor(F.col(order) / F.lit(block))).otherwise(F.lit(0)).cast("long")
@@ -85,15 +87,17 @@ def attach(
     keys: Sequence[str],
     size: str,
     spread_by: Sequence[str],
-    limit: int = HOT_ROWS,
+    limit: int | None = None,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Join one-row-per-group ``stats`` to ``rows``, salting only the groups above ``limit`` rows.
 
     ``size`` names the column of ``stats`` with the number of rows in the group; ``spread_by`` names the columns whose
-    hash picks the salt of a row.
+    hash picks the salt of a row.  ``sizes`` is a cheaper table with the same sizes, where there is one.
     """
+    limit = HOT_ROWS if limit is None else limit
     ways = F.ceil(F.col(size) / F.lit(limit)).cast("int")
-    hot = stats.where(F.col(size) > limit).select(*keys, ways.alias("_ways"))
+    hot = (stats if sizes is None else sizes).where(F.col(size) > limit).select(*keys, ways.alias("_ways"))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_ways")), F.lit(0)).cast("int")
     left = rows.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", salt).drop("_ways")
     right = stats.withColumn(
@@ -179,7 +183,7 @@ def band_join(
     high: str,
     spread_by: str,
     bins: int = 64,
-    limit: int = HOT_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
     """Pairs of query and candidate with equal ``keys`` and ``value`` between ``low`` and ``high`` of the query.
 
@@ -187,6 +191,7 @@ def band_join(
     than ``limit`` candidates is split over several partitions.  ``keys`` must take few values (they number pivots or
     a constant): the two tables broadcast here have one row per key, and one per key and bin.
     """
+    limit = HOT_ROWS if limit is None else limit
     span = F.broadcast(candidates.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max")))
 
     def bin_of(x: Column) -> Column:

@@ -18,7 +18,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: st
 
     ``edges`` has columns ``a`` and ``b``.  A round takes the smallest label around a node and then follows labels to
     their own label, so paths shrink by half each time.  Rounds go on until nothing changes.  Every round is a written
-    table: lineage stays short and a lost executor costs one round.  A label shared by very many nodes is salted.
+    table, so lineage stays short and a lost executor costs one round at most.  A label shared by very many nodes is salted.
     """
     both = stored(
         edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "edges"
@@ -34,13 +34,12 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: st
             labels.join(around, [*keys, node], "left").select(
                 *keys, node, F.col("label").alias("_old"), F.least("label", "_near").alias("label")
             ),
-            "lowered",
+            "labels",
         )
+        if lowered.where(F.col("label") != F.col("_old")).isEmpty():
+            return labels
         used = lowered.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_size"))
         up = lowered.select(*keys, F.col(node).alias("label"), F.col("label").alias("_up"))
-        jumped = attach(lowered, used.join(up, [*keys, "label"]), [*keys, "label"], "_size", [node])
-        marked = stored(jumped.select(*keys, node, "_old", F.col("_up").alias("label")), "labels")
-        labels = marked.drop("_old")
-        if marked.where(F.col("label") != F.col("_old")).isEmpty():
-            return labels
+        jumped = attach(lowered, used.join(up, [*keys, "label"]), [*keys, "label"], "_size", [node], sizes=used)
+        labels = jumped.select(*keys, node, F.col("_up").alias("label"))
     raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")

@@ -29,14 +29,19 @@ def otsu_limits(df: DataFrame, keys: Sequence[str], value: str, bins: int = 32)
     """Two thresholds per group that split its histogram into the three classes with the largest variance between them.
 
     The histogram has ``bins`` equal bins over the range of the group; a threshold is the centre of the last bin of its
-    class.  Only bin counts are collected per group, at most ``bins`` of them, and all pairs of thresholds are compared
+    class.  Equal values are merged first.  Only bin counts are collected per group, at most ``bins`` of them, and all pairs of thresholds are compared
     inside that short array.  Of equally good pairs the first one counts.
     """
-    span = df.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"), F.count(F.lit(1)).alias("_size"))
+    merged = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
+    span = merged.groupBy(*keys).agg(
+        F.min(value).alias("_min"), F.max(value).alias("_max"), F.count(F.lit(1)).alias("_size")
+    )
     width = (F.col("_max") - F.col("_min")) / bins
     place = F.coalesce(F.floor(ratio(F.col(value) - F.col("_min"), width)), F.lit(0))
-    binned = attach(df, span, keys, "_size", [value]).withColumn("_bin", F.least(place, F.lit(bins - 1)).cast("int"))
-    counts = binned.groupBy(*keys, "_min", "_max", "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    binned = attach(merged, span, keys, "_size", [value]).withColumn(
+        "_bin", F.least(place, F.lit(bins - 1)).cast("int")
+    )
+    counts = binned.groupBy(*keys, "_min", "_max", "_bin").agg(F.sum("_times").alias("_n"))
     listed = counts.groupBy(*keys, "_min", "_max").agg(
         F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_by_bin")
     )
@@ -82,11 +87,13 @@ def otsu_limits(df: DataFrame, keys: Sequence[str], value: str, bins: int = 32)
     )
 
 
-def above_lower(df: DataFrame, keys: Sequence[str], value: str, bins: int = 32) -> DataFrame:
+def above_lower(
+    df: DataFrame, keys: Sequence[str], value: str, spread_by: Sequence[str], bins: int = 32
+) -> DataFrame:
     """Rows with ``mask``: whether the value lies above the lower of the two thresholds of its group."""
     limits = otsu_limits(df, keys, value, bins)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    rows = attach(df, limits.join(sizes, list(keys)), keys, "_size", [value])
+    rows = attach(df, limits.join(sizes, list(keys)), keys, "_size", spread_by)
     return rows.withColumn("mask", F.col(value) > F.col("lower")).drop("_size", "upper")
 
 

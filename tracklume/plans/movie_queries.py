@@ -50,18 +50,32 @@ def otsu_limits(spark, sf_dir):
  JOIN lim ON e.event_type = lim.event_type""", ["event_id", "event_type", "mask"], []))
 def otsu_mask(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    masked = G.above_lower(rows, ["event_type"], "value")
+    masked = G.above_lower(rows, ["event_type"], "value", ["event_id"])
     return masked.select("event_id", "event_type", F.col("mask").cast("int").alias("mask"))
 
 
-@registered("component_filter")
+def _parts_sql(cells_name: str, prefix: str) -> str:
+    """Components of a table of cells by their transitive closure: label (smallest cell) and size of every cell."""
+    return f"""{prefix}reach AS (SELECT file, frame, x, y, x AS tx, y AS ty FROM {cells_name} UNION SELECT r.file, r.frame, r.x, r.y, c.x, c.y
+ FROM {prefix}reach r JOIN {cells_name} c ON c.file = r.file AND c.frame = r.frame AND abs(c.x - r.tx) + abs(c.y - r.ty) = 1),
+ {prefix}parts AS (SELECT file, frame, x, y, min(ty * CAST(16777216 AS BIGINT) + tx) AS label, count(*) AS size FROM {prefix}reach GROUP BY 1, 2, 3, 4)"""
+
+
+_FILTER_SQL = f"""WITH RECURSIVE cells AS ({CELLS_SQL}), {_parts_sql("cells", "a_")}, kept AS (SELECT file, frame, x, y FROM a_parts WHERE size >= 4),
+ gaps AS (SELECT g.file, g.frame, CAST(u.x AS INT) AS x, CAST(v.y AS INT) AS y FROM (SELECT DISTINCT file, frame FROM kept) g CROSS JOIN
+ range({WIDTH}) u(x) CROSS JOIN range({HEIGHT}) v(y) ANTI JOIN kept k ON k.file = g.file AND k.frame = g.frame AND k.x = u.x AND k.y = v.y),
+ {_parts_sql("gaps", "b_")} SELECT * FROM kept UNION ALL SELECT file, frame, x, y FROM b_parts WHERE size < 4"""
+
+
+@registered("component_filter", twin(_FILTER_SQL, ["file", "frame", "x", "y"], []))
 def component_filter(spark, sf_dir):
     """Masks without small components, then without small holes."""
     kept = stored(G.without_specks(cells(spark, sf_dir), 4), "cells")
     return G.without_holes(kept, 4, WIDTH, HEIGHT)
 
 
-@registered("component_sizes")
+@registered("component_sizes", twin(f"""WITH RECURSIVE cells AS ({CELLS_SQL}), {_parts_sql("cells", "a_")} SELECT file, frame, label,
+ count(*) AS n, max(size) AS size FROM a_parts GROUP BY 1, 2, 3""", ["file", "frame", "label", "n", "size"], []))
 def component_sizes(spark, sf_dir):
     parts = G.labelled_cells(cells(spark, sf_dir))
     return parts.groupBy(*G.GRID, "label").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"))
@@ -119,7 +133,16 @@ def link_candidates(spark, sf_dir):
     return rounded(L.nearest_partners(detections(spark, sf_dir)))
 
 
-@registered("link_tracks")
+@registered("link_tracks", twin(f"""WITH RECURSIVE d AS ({DETECTIONS_SQL}), u AS (SELECT file, frame, x, y, min(det_id) AS det_id FROM d
+ GROUP BY 1, 2, 3, 4), p AS (SELECT a.file, a.det_id AS a, b.det_id AS b, b.frame - a.frame AS gap, sqrt((b.x - a.x) * (b.x - a.x)
+ + (b.y - a.y) * (b.y - a.y)) AS distance FROM u a JOIN u b ON a.file = b.file AND b.frame BETWEEN a.frame + 1 AND a.frame + 4),
+ best AS (SELECT *, row_number() OVER (PARTITION BY file, a ORDER BY gap, distance, b) AS ra, row_number() OVER (PARTITION BY file, b
+ ORDER BY gap, distance, a) AS rb FROM p WHERE distance <= 20), links AS (SELECT file, a, b FROM best WHERE ra = 1 AND rb = 1),
+ chain AS (SELECT file, det_id, det_id AS head FROM d WHERE det_id NOT IN (SELECT b FROM links) UNION ALL
+ SELECT l.file, l.b, c.head FROM chain c JOIN links l ON l.file = c.file AND l.a = c.det_id),
+ named AS (SELECT file, det_id, min(det_id) OVER (PARTITION BY file, head) AS track, count(*) OVER (PARTITION BY file, head) AS n FROM chain)
+ SELECT n.file, n.track, d.frame, n.det_id, d.x, d.y FROM named n JOIN d ON d.det_id = n.det_id WHERE n >= 3""",
+                                  ["file", "track", "frame", "det_id"], ["x", "y"]))
 def link_tracks(spark, sf_dir):
     spots = detections(spark, sf_dir)
     return rounded(L.without_stubs(L.linked_tracks(spots), 3).select("file", "track", "frame", "det_id", "x", "y"))
