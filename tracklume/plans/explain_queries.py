@@ -52,8 +52,8 @@ def sampled_shap(spark, sf_dir):
  covar_pop(MDist, serum) AS sby, avg(MA) AS ma_, avg(MDist) AS mb_ FROM f),
  w AS (SELECT (say * sbb - sby * sab) / (saa * sbb - sab * sab) AS wa, (sby * saa - say * sab) / (saa * sbb - sab * sab) AS wb, ma_, mb_ FROM s)
  SELECT file, particle, 'MA' AS feature, wa * (MA - ma_) AS phi, MA AS value FROM f, w UNION ALL
- SELECT file, particle, 'MDist', wb * (MDist - mb_), MDist FROM f, w""", ["file", "particle", "feature"], ["phi", "value"], 6, value=7))
+ SELECT file, particle, 'MDist', wb * (MDist - mb_), MDist FROM f, w""", ["file", "particle", "feature"], ["phi", "value"]))
 def linear_shap(spark, sf_dir):
     tracks = FT.track_table(observations(spark, sf_dir)).select(*TRACK, "serum", "MA", "MDist")
     fit = X.two_feature_fit(tracks, "serum", "MA", "MDist")
-    return rounded(X.linear_attributions(tracks, TRACK, fit, {"MA": ("_wa", "_ma"), "MDist": ("_wb", "_mb")}), value=7)
+    return rounded(X.linear_attributions(tracks, TRACK, fit, {"MA": ("_wa", "_ma"), "MDist": ("_wb", "_mb")}))

@@ -21,13 +21,11 @@ def registered(name: str, sql: str | None = None):
 
 
 def twin(sql: str, keep: Sequence[str], doubles: Sequence[str], digits: int = 6, **other: int) -> str:
-    """Final projection of a twin: doubles rounded, infinities and NaN as NULL, no negative zero."""
+    """Final projection of a twin: doubles rounded as in ``scalars.rounded``, infinities and NaN as NULL."""
     plain = [f"q.{c}" for c in keep]
     cleaned = []
     for c in doubles:
         value, places = f"CAST(q.{c} AS DOUBLE)", other.get(c, digits)
-        cleaned.append(
-            f"CASE WHEN isnan({value}) OR isinf({value}) THEN NULL "
-            f"WHEN round({value}, {places}) = 0 THEN CAST(0 AS DOUBLE) ELSE round({value}, {places}) END AS {c}"
-        )
+        settled = f"floor(round({value}, {places + 3}) * 1e{places} + 0.5) / 1e{places}"
+        cleaned.append(f"CASE WHEN isnan({value}) OR isinf({value}) THEN NULL ELSE {settled} END AS {c}")
     return f"SELECT {', '.join(plain + cleaned)} FROM ({sql}) q"

@@ -117,10 +117,10 @@ _INTERVAL_SQL = f"""{LENGTHS_SQL}, spans AS (SELECT file, particle, min(frame) A
 
 
 @registered("interval_features", twin(_INTERVAL_SQL, ["file", "particle", "interval_no", "n"],
-                                      [f"{c}_{s}" for c in ("Dist", "D") for s in ("mean", "std", "slope")], 6, Dist_mean=7))
+                                      [f"{c}_{s}" for c in ("Dist", "D") for s in ("mean", "std", "slope")]))
 def interval_features(spark, sf_dir):
     rows = observations(spark, sf_dir).select(*TRACK, "frame", "Dist", "D")
-    return rounded(SE.interval_features(rows, ["Dist", "D"]).withColumnRenamed("interval", "interval_no"), Dist_mean=7)
+    return rounded(SE.interval_features(rows, ["Dist", "D"]).withColumnRenamed("interval", "interval_no"))
 
 
 @registered("interval_forest")

@@ -70,8 +70,6 @@ def features(spark: SparkSession, sf_dir: str, keep=("serum", "time", "guide"))
 
 def query(name: str, sql: str | None = None, doubles: str = "", keep: str = "", **other: int):
     """Register a query on observations together with its twin: ``keep`` columns plain, ``doubles`` rounded.
-
-    Means of 16 values with three decimals end in a 5 at the seventh decimal; seven digits keep them off the rounding edge.
     """
     return registered(name, None if sql is None else twin(sql, keep.split(), doubles.split(), 6, **other))
 
@@ -207,6 +205,8 @@ def tsc_dynamics(spark, sf_dir):
 
 
 DIRECTIONALITY = ["dt", "d_theta", "d_theta2", "d_theta2_minabs", "d_theta2_minabs_abs"]
+# reciprocals of near-zero turns magnify the last bits of the angles
+RECIPROCALS = {name + c: 3 for c in DIRECTIONALITY for name in ("rec_", "D_norm_rec_")}
 _INVERSE = {
     "dt": "dt", "d_theta": "dangle", "d_theta2": "dturn", "d_theta2_minabs": "turn", "d_theta2_minabs_abs": "abs(turn)",
 }
@@ -216,15 +216,15 @@ _INVERSE = {
  {", ".join(f"avg(1 / nullif({_INVERSE[c]}, 0)) AS rec_{c}, avg(1 / nullif({_INVERSE[c]}, 0) * sqrt(dx*dx + dy*dy)) AS D_norm_rec_{c}" for c in DIRECTIONALITY)},
  sqrt(pow(sum(dx), 2) + pow(sum(dy), 2)) / nullif(sum(sqrt(dx*dx + dy*dy)), 0) AS Pers
  FROM ({STEPS_SQL} SELECT *, {TURN_SQL} AS turn FROM turns WHERE pos > 2) q GROUP BY file, particle""",
-       " ".join(f"rec_{c} D_norm_rec_{c}" for c in DIRECTIONALITY) + " Pers", "file particle")
+       " ".join(f"rec_{c} D_norm_rec_{c}" for c in DIRECTIONALITY) + " Pers", "file particle", **RECIPROCALS)
 def directionality(spark, sf_dir):
-    return rounded(K.directionality(observations(spark, sf_dir)))
+    return rounded(K.directionality(observations(spark, sf_dir)), **RECIPROCALS)
 
 
-@query("sibling_masks", f"{FEATURES_CTE} SELECT * FROM features", "MD MDist", "file particle ifFast ifCentr", MDist=7)
+@query("sibling_masks", f"{FEATURES_CTE} SELECT * FROM features", "MD MDist", "file particle ifFast ifCentr")
 def sibling_masks(spark, sf_dir):
     tracks = observations(spark, sf_dir).groupBy(*TRACK).agg(F.avg("D").alias("MD"), F.avg("Dist").alias("MDist"))
-    return rounded(FT.sibling_masks(tracks), MDist=7)
+    return rounded(FT.sibling_masks(tracks))
 
 
 @query("track_outliers", f"""{WITH_TRACKS} SELECT file, particle, frame, D,
@@ -237,9 +237,9 @@ def track_outliers(spark, sf_dir):
 
 @query("track_features", f"{FEATURES_CTE} SELECT * FROM features",
        " ".join(c for c in FEATURES if c not in ("ifFast", "ifCentr", "out2sd", "out3sd")),
-       "file particle serum ifFast ifCentr out2sd out3sd", MDist=7, VarDist=8)
+       "file particle serum ifFast ifCentr out2sd out3sd")
 def track_features(spark, sf_dir):
-    return rounded(features(spark, sf_dir, ("serum",)), MDist=7, VarDist=8)
+    return rounded(features(spark, sf_dir, ("serum",)))
 
 
 @query("track_table_by_label", f"""{FEATURES_CTE} SELECT serum, count(*) AS n, avg(MD) AS MD, avg(Pers) AS Pers,
