@@ -192,7 +192,8 @@ def feature_stumps(df: DataFrame, features: Sequence[str], label: str, k: int) -
     every possible split.  The threshold lies half way between neighbouring training values, the lowest of equally
     good ones is taken, and each side predicts its larger class (class 0 on a tie).
     """
-    rows = melted(df, [label, "fold"], features).where(F.col("value").isNotNull())
+    own = stored(df.select(label, "fold", *features), "tracks")
+    rows = melted(own, [label, "fold"], features).where(F.col("value").isNotNull())
     counts = {
         f"c{c}_{f}": F.when((F.col(label) == c) & (F.col("fold") == f), 1).otherwise(0) for f in range(k) for c in (0, 1)
     }

@@ -94,54 +94,55 @@ def scale_by_series(df: DataFrame, values: Sequence[str]) -> DataFrame:
 def train_fold_stats(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """Mean and population standard deviation of each column over all folds but one, for every fold.
 
-    One aggregate gives (n, mean, squared deviations) per fold; the train set of a fold is the merge of the others, which
-    neither rescans the rows nor subtracts large sums.  The result has one row per (repeat and) fold.
+    One aggregate gives (n, mean, squared deviations) per fold and column; the train set of a fold is the merge of the
+    others, which neither rescans the rows nor subtracts large sums.  The result has one row per (repeat and) fold with
+    arrays ``_mean`` and ``_std`` in the order of ``values``.
     """
     keys = [c for c in ("repeat_no",) if c in df.columns]
-    per_fold = df.groupBy(*keys, "fold").agg(
-        *[
-            F.struct(
-                F.count(v).cast("double").alias("n"),
-                F.coalesce(F.avg(v), F.lit(0.0)).alias("m"),
-                F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("q"),
-            ).alias(v)
-            for v in values
-        ]
-    )
-    # one short array per repeat: as many entries as folds
-    listed = per_fold.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("fold", *values))).alias("_all"))
-    targets = listed.withColumn("fold", F.explode(F.col("_all").fold)).withColumn(
-        "_others", F.filter("_all", lambda s: s.fold != F.col("fold"))
-    )
+    moments = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.count(v).cast("double").alias("n"),
+            F.coalesce(F.avg(v), F.lit(0.0)).alias("m"),
+            F.coalesce(F.var_pop(v) * F.count(v), F.lit(0.0)).alias("q"),
+        )
+        for i, v in enumerate(values)
+    ]
+    per_fold = df.groupBy(*keys, "fold").agg(F.array(*moments).alias("_all")).select(*keys, "fold", F.inline("_all"))
+    # one short array per column: as many entries as folds
+    listed = per_fold.groupBy(*keys, "i").agg(F.array_sort(F.collect_list(F.struct("fold", "n", "m", "q"))).alias("_all"))
 
     def total(term) -> Column:
         return F.aggregate("_others", F.lit(0.0), lambda acc, s: acc + term(s))
 
-    for v in values:
-        n = total(lambda s, v=v: s[v].n)
-        targets = targets.withColumn(f"_n_{v}", n).withColumn(
-            f"_m_{v}", ratio(total(lambda s, v=v: s[v].n * s[v].m), F.col(f"_n_{v}"))
-        )
-        spread = total(
-            lambda s, v=v: s[v].q + s[v].n * (s[v].m - F.col(f"_m_{v}")) * (s[v].m - F.col(f"_m_{v}"))
-        )
-        targets = targets.withColumn(f"_s_{v}", F.sqrt(ratio(spread, F.col(f"_n_{v}"))))
-    return targets.select(*keys, "fold", *[f"{p}_{v}" for v in values for p in ("_m", "_s")])
+    merged = (
+        listed.withColumn("fold", F.explode(F.col("_all").fold))
+        .withColumn("_others", F.filter("_all", lambda s: s.fold != F.col("fold")))
+        .withColumn("_n", total(lambda s: s.n))
+        .withColumn("_m", ratio(total(lambda s: s.n * s.m), F.col("_n")))
+        .withColumn("_q", total(lambda s: s.q + s.n * (s.m - F.col("_m")) * (s.m - F.col("_m"))))
+        .withColumn("_s", F.sqrt(ratio(F.col("_q"), F.col("_n"))))
+    )
+    ordered = merged.groupBy(*keys, "fold").agg(F.array_sort(F.collect_list(F.struct("i", "_m", "_s"))).alias("_by_column"))
+    return ordered.select(*keys, "fold", F.col("_by_column")["_m"].alias("_mean"), F.col("_by_column")["_s"].alias("_std"))
+
+
+def _scaled(rows: DataFrame, values: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    scores = {v: _zscore(F.col(v), F.col("_mean")[i], F.col("_std")[i]) for i, v in enumerate(values)}
+    return rows.select(*[scores[c].alias(c) if c in scores else F.col(c) for c in columns])
 
 
 def scale_held_out(df: DataFrame, values: Sequence[str]) -> DataFrame:
     """Rows of every fold scaled by the statistics of the other folds; a constant column is only centred."""
     keys = [c for c in ("repeat_no", "fold") if c in df.columns]
     stats = F.broadcast(train_fold_stats(df, values))  # one row per repeat and fold
-    scaled = {v: _zscore(F.col(v), F.col(f"_m_{v}"), F.col(f"_s_{v}")) for v in values}
-    return df.join(stats, keys).withColumns(scaled).select(*df.columns)
+    return _scaled(df.join(stats, keys), values, df.columns)
 
 
 def scale_for_fold(df: DataFrame, values: Sequence[str], stats: DataFrame, fold: int) -> DataFrame:
     """All rows scaled by the train statistics of one fold, ready to fit on the rows outside of it."""
     one = F.broadcast(stats.where(F.col("fold") == fold).drop("fold").withColumn("_one", F.lit(1)))
-    scaled = {v: _zscore(F.col(v), F.col(f"_m_{v}"), F.col(f"_s_{v}")) for v in values}
-    return df.withColumn("_one", F.lit(1)).join(one, "_one").withColumns(scaled).select(*df.columns)
+    return _scaled(df.withColumn("_one", F.lit(1)).join(one, "_one"), values, df.columns)
 
 
 def max_scaled(df: DataFrame, values: Sequence[str], train: Column | None = None) -> DataFrame:

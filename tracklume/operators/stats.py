@@ -12,6 +12,7 @@ from tracklume.functions.scalars import ratio
 from tracklume.functions.skew import attach, running_totals
 from tracklume.operators.features import with_overall
 from tracklume.operators.select import drop_missing, guide_filter, keep_first, prefixed
+from tracklume.sources.tables import stored
 
 
 def percentiles(df: DataFrame, column: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -58,21 +59,27 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns over the rows where both are present; NULL for a constant column."""
-    pairs = list(combinations_with_replacement(columns, 2))
-    values = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))
-        spread = F.stddev_pop(x) * F.stddev_pop(y)
-        values.append(ratio(F.covar_pop(a, b), spread).alias(f"_{i}"))
-    one = df.agg(*values)
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        for left, right in {(a, b), (b, a)}:
-            entries.append(
-                F.struct(F.lit(left).alias("a"), F.lit(right).alias("b"), F.col(f"_{i}").alias("r"))
-            )
-    return one.select(F.inline(F.array(*entries)))
+    """Pearson correlation of every pair of columns over the rows where both are present; NULL for a constant column.
+
+    Each row is read once and contributes its pairs to one small aggregation state per pair.
+    """
+    pairs = F.array(
+        *[
+            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+            for a, b in combinations_with_replacement(columns, 2)
+        ]
+    )
+    x, y = F.when(F.col("y").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col("y"))
+    upper = (
+        df.select(F.inline(pairs))
+        .groupBy("a", "b")
+        .agg(ratio(F.covar_pop("x", "y"), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"))
+    )
+    sides = F.array(
+        F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+    )
+    mirrored = F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)
+    return upper.select("r", F.inline(mirrored)).select("a", "b", "r")
 
 
 def siblings(
@@ -106,7 +113,7 @@ def _average_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def spearman(df: DataFrame, a: str, b: str, key: str) -> DataFrame:
     """Rank correlation with average ranks for ties, its t statistic and a two-sided p-value."""
-    pairs = df.select(key, a, b).dropna()
+    pairs = stored(df.select(key, a, b).dropna(), "pairs")  # read once per rank and for the sum
     ranked = attach(pairs, _average_ranks(pairs, a, "_ra"), [a], "_c", [key]).drop("_c")
     ranked = attach(ranked, _average_ranks(pairs, b, "_rb"), [b], "_c", [key]).drop("_c")
     one = ranked.agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,11 +74,15 @@ def derive_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observation table, written once per session and scanned by every query, as the movies' table is."""
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _STORED:
-        path = new_location(spark, "observations")
-        stored_observations(derive_observations(spark, sf_dir), path)
-        _STORED[key] = path
-    return read_observations(spark, _STORED[key], OBSERVATIONS)
+    if key in _STORED:
+        try:
+            return read_observations(spark, _STORED[key], OBSERVATIONS)
+        except AnalysisException:  # the folder was cleared in the meantime
+            del _STORED[key]
+    path = new_location(spark, "observations")
+    stored_observations(derive_observations(spark, sf_dir), path)
+    _STORED[key] = path
+    return read_observations(spark, path, OBSERVATIONS)
 
 
 OBSERVATIONS_SQL = """
