@@ -30,7 +30,8 @@ def series(spark: SparkSession, sf_dir: str, value: str = "Dist") -> DataFrame:
     nested = P.nested(panel, [value]).select(
         F.col("fp").alias("id"), F.col("group").alias("file"), F.col("class").alias("label"), F.col(value).alias("vec")
     )
-    return FO.with_fold(nested, FO.stratified_group_folds(rows).drop("repeat_no"), ("id",)).drop("file")
+    folded = FO.with_fold(nested, FO.stratified_group_folds(rows).drop("repeat_no"), ("id",)).drop("file")
+    return stored(folded, "series")  # the searches read it several times
 
 
 _SERIES_SQL = f"""WITH {FOLDS_SQL}, m AS ({MODAL_SQL} SELECT * FROM modal), s AS (SELECT CAST(m.file AS VARCHAR) || '__' || particle AS id,
@@ -66,7 +67,7 @@ def knn_dtw(spark, sf_dir):
 
 def kernel_table(spark: SparkSession, sf_dir: str, count: int = 40) -> DataFrame:
     """Random kernel features of the series; the kernels depend on the length of the series only."""
-    rows = stored(series(spark, sf_dir), "series")
+    rows = series(spark, sf_dir)
     length = rows.agg(F.max(F.size("vec"))).first()[0]
     kernels = SE.random_kernels(count, length)
     return SE.kernel_features(rows.withColumnRenamed("vec", "series"), ["series"], kernels)
