@@ -138,3 +138,31 @@ def test_one_hot_decodes(spark):
     df = spark.createDataFrame([(0,), (2,), (1,)], "c int")
     coded = P.decoded(P.one_hot(df, "c", [0, 1, 2]), {k: f"c_{k}" for k in range(3)}, "back")
     assert coded.where("c <> back").count() == 0
+
+
+def test_csv_scan_turns_nan_into_null(spark, tmp_path):
+    from tracklume.schema import CANONICAL
+    from tracklume.sources.tables import read_observations, rename_canonical, write_csv
+
+    old = spark.createDataFrame([(1, 0, float("nan")), (1, 1, 2.5)], "file long, frame int, diff_xy_micron double")
+    place = str(tmp_path / "movie.csv")
+    write_csv(old, place)
+    back = rename_canonical(read_observations(spark, place, old.schema), CANONICAL)
+    assert back.columns == ["file", "frame", "D"]
+    assert sorted((r.frame, r.D) for r in back.collect()) == [(0, None), (1, 2.5)]
+
+
+def test_p_value_of_student_t(spark):
+    # two-sided tail of Student's t from standard tables
+    table = [(2.086, 20.0, 0.05), (2.845, 20.0, 0.01), (1.984, 100.0, 0.05), (2.228, 10.0, 0.05)]
+    df = spark.createDataFrame(table, "t double, f double, p double")
+    for r in df.select("p", ST.two_sided_p(F.col("t"), F.col("f")).alias("got")).collect():
+        assert r.got == pytest.approx(r.p, rel=0.02)
+
+
+def test_file_name_fields(spark):
+    from tracklume.sources.tables import filename_fields
+
+    got = filename_fields(spark.createDataFrame([("20210923_10_a.tif",), ("plain.tif",)], "name string"), "name").collect()
+    assert (got[0].date, got[0].serum, got[0].file) == ("20210923", 10, "20210923_10_a")
+    assert (got[1].serum, got[1].file) == (None, "plain")

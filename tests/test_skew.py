@@ -22,6 +22,8 @@ def rows(df, digits=6):
 
 
 def both(monkeypatch, make):
+    monkeypatch.setattr(skew, "HOT_ROWS", 4_000_000)
+    monkeypatch.setattr(skew, "BLOCK", 65_536)
     plain = rows(make())
     monkeypatch.setattr(skew, "HOT_ROWS", 3)
     monkeypatch.setattr(skew, "BLOCK", 4)
@@ -50,6 +52,18 @@ def test_folds_of_rows(spark, small, monkeypatch):
     both(monkeypatch, make)
 
 
+def test_fold_ranks(spark, small, monkeypatch):
+    data = I.observations(spark, small)
+    for balance in ("groups", "rows"):
+        both(monkeypatch, lambda b=balance: FO.stratified_group_folds(data, repeats=2, balance=b))
+    both(monkeypatch, lambda: FO.group_folds(data))
+    both(monkeypatch, lambda: FO.leave_one_group_out(data))
+
+
+def test_observations(spark, small, monkeypatch):
+    both(monkeypatch, lambda: I.derive_observations(spark, small))
+
+
 def test_rescale_and_threshold(spark, small, monkeypatch):
     events = I.table(spark, small, "events").select("event_id", "event_type", "value")
     both(monkeypatch, lambda: G.above_lower(events, ["event_type"], "value", ["event_id"]))
@@ -79,12 +93,13 @@ def test_gap_larger_than_a_block(spark, monkeypatch):
     assert [r.prev_v for r in got.orderBy("frame").collect()] == [None, 0.0, 1.0, 2.0, 40.0, 41.0]
 
 
-def test_position_matches_a_plain_rank(spark, small):
+@pytest.mark.parametrize("limit", [5, None])
+def test_position_matches_a_plain_rank(spark, small, limit):
     from pyspark.sql import Window
 
     events = I.table(spark, small, "events")
     plain = events.withColumn("r", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
-    split = skew.with_position(events, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "r")
+    split = skew.with_position(events, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "r", limit)
     assert rows(plain.select("event_id", F.col("r").cast("long"))) == rows(split.select("event_id", F.col("r").cast("long")))
 
 

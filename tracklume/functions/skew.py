@@ -107,39 +107,48 @@ def attach(
 
 
 def with_position(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], block: Column, name: str
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[Column | str],
+    block: Column,
+    name: str,
+    limit: int | None = None,
 ) -> DataFrame:
     """Add the 0-based rank of a row in its group.
 
-    ``block`` is an expression that never decreases along ``order``; ranking runs inside a (group, block) and is shifted
-    by the number of rows in the earlier blocks, so only block counts are ever ordered across a whole group.
+    ``block`` is an expression that never decreases along ``order``.  Groups above ``limit`` rows are ranked inside each
+    (group, block), shifted by the number of rows in the earlier blocks, so only block counts are ever ordered across a
+    whole large group.  Other groups are ranked in one piece.
     """
     block_keys = [*keys, "_step"]
-    blocked = df.withColumn("_step", block)
+    hot = F.broadcast(hot_groups(df, keys, limit).withColumn("_hot", F.lit(True)))
+    blocked = df.join(hot, list(keys), "left").withColumn("_step", F.when(F.col("_hot"), block))
     earlier = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)
     start = (
-        blocked.groupBy(*block_keys)
+        blocked.where("_hot")
+        .groupBy(*block_keys)
         .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*block_keys, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        .select(*block_keys, F.sum("_n").over(earlier).alias("_start"))
     )
     inside = F.row_number().over(Window.partitionBy(*block_keys).orderBy(*order)) - 1
+    # ordinary groups have no block: nothing joins them and their rank is complete
     return (
         blocked.withColumn("_inside", inside)
-        .join(start, block_keys)
-        .withColumn(name, F.col("_start") + F.col("_inside"))
-        .drop("_step", "_inside", "_start")
+        .join(start, block_keys, "left")
+        .withColumn(name, F.coalesce(F.col("_start"), F.lit(0)) + F.col("_inside"))
+        .select(*df.columns, name)
     )
 
 
-def value_pieces(df: DataFrame, value: str, pieces: int = 1024) -> list[float]:
+def value_pieces(df: DataFrame, value: str, pieces: int) -> list[float]:
     """Split points that cut the values of a column into pieces of similar size: at most ``pieces`` numbers."""
     probabilities = [i / pieces for i in range(1, pieces)]
-    cuts = df.approxQuantile(value, probabilities, 1.0 / (4 * pieces))
+    cuts = df.approxQuantile(value, probabilities, 1.0 / (2 * pieces))
     return [float("-inf"), *sorted(set(cuts)), float("inf")]
 
 
 def running_totals(
-    df: DataFrame, value: str, measures: Sequence[str], keys: Sequence[str] = (), pieces: int = 1024
+    df: DataFrame, value: str, measures: Sequence[str], keys: Sequence[str] = (), pieces: int = 4096
 ) -> DataFrame:
     """Sum ``measures`` per distinct ``value`` and add ``before_<m>``: the sum over the smaller values of the group.
 

@@ -34,7 +34,7 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("x_micron"),
         _second_value().alias("y_micron"),
     )
-    return with_position(events, TRACK, ["ts", "event_id"], F.to_date("ts"), "frame").select(
+    return with_position(events, TRACK, ["ts", "event_id"], F.date_trunc("minute", "ts"), "frame").select(
         *TRACK, F.col("frame").cast("int").alias("frame"), "x_micron", "y_micron"
     )
 
