@@ -33,9 +33,17 @@ def parts_of(mask):
     return out
 
 
-def test_component_sizes(spark):
+@pytest.mark.parametrize("tile", [1024, 5])
+def test_component_sizes(spark, tile):
     masks, cells = random_cells(spark)
-    got = {(r.frame, r.x, r.y): r.size for r in G.labelled_cells(cells).collect()}
+    rows = G.labelled_cells(cells, tile).collect()
+    got = {(r.frame, r.x, r.y): r.size for r in rows}
+    assert {r.label for r in rows if r.frame == 0} <= {y * 2**24 + x for x in range(12) for y in range(12)}
+    first = {}
+    for r in rows:
+        place = r.y * 2**24 + r.x
+        first[(r.frame, r.label)] = min(first.get((r.frame, r.label), place), place)
+    assert all(label == place for (_, label), place in first.items())
     expected = {(f, int(x), int(y)): n for f, mask in masks.items() for (x, y), n in parts_of(mask).items()}
     assert got == expected
 

@@ -32,7 +32,6 @@ def track_table(df: DataFrame, keep: tuple[str, ...] = ("serum",)) -> DataFrame:
         F.avg("D").alias("MD"),
         F.max("D").alias("MaxD"),
         F.var_samp("D").alias("VarD"),
-        F.stddev_samp("D").alias("SD"),
         _total("D").alias("_path"),
         step_length(_total("dX"), _total("dY")).alias("TD"),
         F.avg("A").alias("MA"),
@@ -48,6 +47,7 @@ def track_table(df: DataFrame, keep: tuple[str, ...] = ("serum",)) -> DataFrame:
     )
     stats = aggregates.withColumns(
         {
+            "SD": F.sqrt("VarD"),
             "rVarD": ratio(F.col("VarD"), F.col("MD")),
             "rVarDist": ratio(F.col("VarDist"), F.col("MDist")),
             "Pers": ratio(F.col("TD"), F.col("_path")),

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracklume.functions.scalars import ratio
 from tracklume.functions.skew import attach
 from tracklume.operators.graph import components
+from tracklume.sources.tables import stored
 
 GRID = ["file", "frame"]
 _ROW = 1 << 24
@@ -97,33 +101,70 @@ def above_lower(
     return rows.withColumn("mask", F.col(value) > F.col("lower")).drop("_size", "upper")
 
 
-def runs(cells: DataFrame) -> DataFrame:
-    """Cells with ``node``: a number for the horizontal run a cell belongs to, unique in its grid."""
-    row = Window.partitionBy(*GRID, "y").orderBy("x")  # at most one image line
-    island = F.col("x") - F.row_number().over(row)
-    line = Window.partitionBy(*GRID, "y", "_island")
-    return (
-        cells.withColumn("_island", island)
-        .withColumn("node", F.col("y").cast("long") * _ROW + F.min("x").over(line))
-        .drop("_island")
-    )
+def _tile_labels(cells: pd.DataFrame) -> pd.DataFrame:
+    """Number of the 4-connected component of every cell of one tile: ``y * 2**24 + x`` of its first cell.
 
-
-def labelled_cells(cells: DataFrame) -> DataFrame:
+    Horizontal runs are joined with the runs they touch in the line before.
+    """
+    cells = cells.sort_values(["y", "x"], ignore_index=True)
+    x, y = cells["x"].to_numpy(np.int64), cells["y"].to_numpy(np.int64)
+    opens = np.ones(len(x), dtype=bool)
+    opens[1:] = (y[1:] != y[:-1]) | (x[1:] != x[:-1] + 1)
+    run = np.cumsum(opens) - 1
+    first = np.flatnonzero(opens)
+    last = np.append(first[1:], len(x)) - 1
+    line, low, high = y[first].tolist(), x[first].tolist(), x[last].tolist()
+    parent = list(range(len(first)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    above = 0
+    for i in range(len(first)):
+        while line[above] < line[i] - 1 or (line[above] == line[i] - 1 and high[above] < low[i]):
+            above += 1
+        j = above
+        while line[j] == line[i] - 1 and low[j] <= high[i]:
+            a, b = root(j), root(i)
+            parent[max(a, b)] = min(a, b)
+            j += 1
+    top = np.array([root(i) for i in range(len(first))])
+    cells["label"] = (y[first] * _ROW + x[first])[top][run]
+    return cells[[*GRID, "x", "y", "label"]]
+
+
+def labelled_cells(cells: DataFrame, tile: int = 1024) -> DataFrame:
     """Cells with the number of their 4-connected component and its size.
 
-    Horizontal runs are the nodes, so a component of many cells has few of them; runs in neighbouring lines touch where
-    a cell has a cell below it.
+    A grid is cut into tiles of ``tile`` times ``tile`` cells, which bounds what one task sees.  Components are found
+    inside the tiles first; only the cells along tile borders and the components they belong to are then connected.
     """
-    placed = runs(cells.select(*GRID, "x", "y"))
-    below = placed.select(*GRID, "x", (F.col("y") - 1).alias("y"), F.col("node").alias("b"))
-    edges = placed.withColumnRenamed("node", "a").join(below, [*GRID, "x", "y"]).select(*GRID, "a", "b").distinct()
-    sizes = placed.groupBy(*GRID, "node").agg(F.count(F.lit(1)).alias("_cells"))
-    labels = components(sizes, edges, GRID)
-    per_run = sizes.join(labels, [*GRID, "node"])
-    per_part = per_run.groupBy(*GRID, "label").agg(F.sum("_cells").alias("size"), F.count(F.lit(1)).alias("_runs"))
-    run_sizes = attach(per_run, per_part, [*GRID, "label"], "_runs", ["node"]).select(*GRID, "node", "label", "size")
-    return placed.join(run_sizes, [*GRID, "node"]).drop("node")
+    kept = [cells.schema[c] for c in (*GRID, "x", "y")]
+    schema = T.StructType([*kept, T.StructField("label", T.LongType())])
+    tiled = cells.select(*GRID, "x", "y").withColumns(
+        {"_tx": F.floor(F.col("x") / tile), "_ty": F.floor(F.col("y") / tile)}
+    )
+    local = stored(tiled.groupBy(*GRID, "_tx", "_ty").applyInPandas(_tile_labels, schema), "tiles")
+    sides = []
+    for axis in ("x", "y"):
+        here = local.where(F.pmod(axis, F.lit(tile)) == 0).withColumnRenamed("label", "a")
+        there = local.where(F.pmod(axis, F.lit(tile)) == tile - 1).select(
+            *GRID, *[(F.col(c) + 1).alias(c) if c == axis else F.col(c) for c in ("x", "y")], F.col("label").alias("b")
+        )
+        sides.append(here.join(there, [*GRID, "x", "y"]).select(*GRID, "a", "b"))
+    edges = stored(sides[0].union(sides[1]).distinct(), "borders")
+    if not edges.isEmpty():
+        nodes = edges.select(*GRID, F.col("a").alias("node")).union(edges.select(*GRID, F.col("b").alias("node")))
+        merged = components(nodes, edges, GRID).withColumnsRenamed({"label": "_whole", "node": "label"})
+        # at most one tile of cells shares a label here
+        local = local.join(merged, [*GRID, "label"], "left").select(
+            *GRID, "x", "y", F.coalesce("_whole", "label").alias("label")
+        )
+    sizes = local.groupBy(*GRID, "label").agg(F.count(F.lit(1)).alias("size"))
+    return attach(local, sizes, [*GRID, "label"], "size", ["x", "y"])
 
 
 def background(cells: DataFrame, width: int, height: int) -> DataFrame:

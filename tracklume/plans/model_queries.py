@@ -14,6 +14,7 @@ from tracklume.plans.inputs import observations
 from tracklume.plans.registry import registered, twin
 from tracklume.plans.track_queries import FEATURES_CTE, FOLDS_SQL
 from tracklume.schema import FEATURE_FAMILIES, FEATURES, PCA_FEATURES, TRACK
+from tracklume.sources.tables import labelled, union_all
 
 
 def model_table(spark: SparkSession, sf_dir: str, repeats: int = 1) -> DataFrame:
@@ -66,6 +67,18 @@ def mlp_oof(spark, sf_dir):
     return rounded(E.network_out_of_fold(rows, FEATURES, TRACK, E.dense_network(len(FEATURES))))
 
 
+@registered("network_curve")
+def network_curve(spark, sf_dir):
+    """Accuracy of a small network by the number of training rounds, averaged over the folds."""
+    rows = model_table(spark, sf_dir)
+    parts = []
+    for rounds in (5, 10, 20):
+        make = E.dense_network(len(FEATURES), hidden=(8,), rounds=rounds)
+        scored = E.network_out_of_fold(rows, FEATURES, TRACK, make)
+        parts.append(labelled(R.fold_metrics(scored, ["repeat_no", "fold"]), epochs=rounds))
+    return rounded(R.score_curve(union_all(parts)))
+
+
 @registered("imputed_pca_oof")
 def imputed_pca_oof(spark, sf_dir):
     rows = model_table(spark, sf_dir)
