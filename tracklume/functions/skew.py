@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 4_000_000
 BLOCK = 65_536
+MAX_PIECES = 16_384
 
 
 def hot_groups(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
@@ -148,13 +149,16 @@ def value_pieces(df: DataFrame, value: str, pieces: int) -> list[float]:
 
 
 def running_totals(
-    df: DataFrame, value: str, measures: Sequence[str], keys: Sequence[str] = (), pieces: int = 4096
+    df: DataFrame, value: str, measures: Sequence[str], keys: Sequence[str] = (), pieces: int | None = None
 ) -> DataFrame:
     """Sum ``measures`` per distinct ``value`` and add ``before_<m>``: the sum over the smaller values of the group.
 
     Equal values are merged before anything is ordered.  The order is then built from pieces of the value range, so no
-    task sorts a whole column: pieces are compared by their totals only.
+    task sorts a whole column: pieces are compared by their totals only.  By default there are four pieces per shuffle
+    partition of the session.
     """
+    if pieces is None:
+        pieces = max(16, min(MAX_PIECES, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     merged = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, value)
