@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklume.llm import packing, token_files
+from tracklume.llm import fingerprint, language, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,6 +35,20 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@registered("op4_order_minhash")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
+@registered("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the documents whose hash remainder is not 2, predicts all."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out)
+    model = language.fit(docs.where(~F.col("held_out")))
+    return language.predicted(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @registered("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.packed(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=1)
