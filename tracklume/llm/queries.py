@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklume.llm import fingerprint, language, packing, token_files
+from tracklume.llm import fingerprint, language, neardup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+@registered("op5_hyperminhash")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, sf_dir), size=4, percent=80)
+
+
 @registered("op6_language")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Learns from the documents whose hash remainder is not 2, predicts all."""
