@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklume.llm import fingerprint, language, nearest, neardup, packing, passages, token_files
+from tracklume.llm import fingerprint, language, nearest, neardup, packing, passages, private, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +84,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = passages.without_repeats(documents(spark, sf_dir))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@registered("op10_bootstrapped_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private.personal_data(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.size(F.filter("base", private.is_kind(kind))).cast("long").alias(f"n_{kind}") for kind in private.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(private.listed(F.col("base")), 256).alias("base_sha256"), private.listed(F.concat("base", "added")).alias("spans")
+    )
