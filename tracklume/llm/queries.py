@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklume.llm import fingerprint, language, nearest, neardup, packing, passages, private, token_files
+from tracklume.llm import fingerprint, language, licenses, mixing, nearest, neardup, packing, passages, private, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +29,44 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@registered("op1_license_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_notices(documents(spark, sf_dir))
+
+
+_OP2_SQL = r"""
+WITH RECURSIVE marked AS (
+  SELECT doc_id, source, lang, coalesce(source, '(none)') AS s, coalesce(lang, '(none)') AS l,
+    CASE WHEN contains(t, 'License') OR contains(t, 'Licensed') THEN 'legal' WHEN contains(t, ' | ') THEN 'tabular'
+         WHEN length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) >= 20 THEN 'numeric' ELSE 'prose' END AS topic,
+    greatest(len(regexp_extract_all(t, '[^\x09-\x0D\x20]+')), 1) AS tokens
+  FROM (SELECT *, coalesce(text, '') AS t FROM documents)
+),
+cells AS (SELECT s, l, topic, CAST(sum(tokens) AS DOUBLE) AS n FROM marked GROUP BY ALL),
+gs AS (SELECT s, sum(n) ^ 0.8 / sum(sum(n) ^ 0.8) OVER () AS g FROM cells GROUP BY s),
+gl AS (SELECT l, sum(n) ^ 0.8 / sum(sum(n) ^ 0.8) OVER () AS g FROM cells GROUP BY l),
+gt AS (SELECT topic, sum(n) ^ 0.8 / sum(sum(n) ^ 0.8) OVER () AS g FROM cells GROUP BY topic),
+fit AS (
+  SELECT 0 AS i, s, l, topic, n, gs.g AS g1, gl.g AS g2, gt.g AS g3, n AS w FROM cells JOIN gs USING (s) JOIN gl USING (l) JOIN gt USING (topic)
+  UNION ALL
+  SELECT i, s, l, topic, n, g1, g2, g3, w * g3 / sum(w) OVER (PARTITION BY topic) FROM (
+    SELECT * REPLACE (w * g2 / sum(w) OVER (PARTITION BY l) AS w) FROM (
+      SELECT i + 1 AS i, s, l, topic, n, g1, g2, g3, w * g1 / sum(w) OVER (PARTITION BY s) AS w FROM fit WHERE i < 80))
+),
+rates AS (SELECT s, l, topic, (w / n) / max(w / n) OVER () AS p FROM fit WHERE i = 80)
+SELECT doc_id, source, lang, topic, CAST(tokens AS BIGINT) AS tokens, round(p, 6) AS probability
+FROM marked JOIN rates USING (s, l, topic)
+WHERE CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < p
+"""
+
+
+@registered("op2_mixing", _OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", "source")
+    picked = mixing.sampled(docs)
+    return picked.select("doc_id", "source", "lang", "topic", "tokens", F.round("probability", 6).alias("probability"))
+
+
 @registered("op3_token_files")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_token_files(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), end_id=0)

@@ -36,6 +36,10 @@ BYTE_VALUES[WHITE] = 0
 #: the same, with A-Z as a-z
 LOWER_VALUES = BYTE_VALUES.copy()
 LOWER_VALUES[65:91] = BYTE_VALUES[97:123]
+#: all ASCII but letters and digits, for words without punctuation
+MARKS = np.ones(256, bool)
+MARKS[128:] = MARKS[48:58] = MARKS[65:91] = MARKS[97:123] = False
+PLAIN_VALUES = np.where(MARKS, np.uint64(0), LOWER_VALUES)
 #: for spans that may hold white space
 ALL_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
 
@@ -75,9 +79,9 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last byte (exclusive) of each word, and the number of words before each text (and of all)."""
-    inside = ~WHITE[data]
+    inside = ~gap[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]
@@ -107,13 +111,16 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, values: np.ndarray, limit:
     return mix(out)
 
 
-def word_hashes(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of a column, and the number of words before each text (and of all)."""
+def word_hashes(column: pa.Array, lower: bool = False, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of a column, and the number of words before each text (and of all).
+
+    ``lower``: A-Z as a-z; ``plain``: also without ASCII punctuation, which separates words like white space.
+    """
     data, offsets = flat(column)
-    starts, _, before = word_bounds(data, offsets)
+    starts, _, before = word_bounds(data, offsets, MARKS if plain else WHITE)
     if not len(starts):
         return np.zeros(0, np.uint64), before
-    return span_hashes(data, starts, LOWER_VALUES if lower else BYTE_VALUES), before
+    return span_hashes(data, starts, PLAIN_VALUES if plain else LOWER_VALUES if lower else BYTE_VALUES), before
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
