@@ -142,6 +142,9 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.drop("lang_pred", "score")
+    # other columns travel in one struct: any name will do
+    others = [c for c in docs.columns if c != "text"]
+    docs, names = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("others"), "text"), docs.columns
     shared = spark.sparkContext.broadcast((model.languages, model.weights, model.bias))  # 2 ** BITS x languages: does not grow with the data
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -163,4 +166,6 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                     score[some] = np.clip(values[np.arange(len(some)), best], 0, 1)
                 yield pa.RecordBatch.from_arrays([*block.columns, pa.array(names, pa.string()), pa.array(score)], [*block.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    place = {c: f"others.c{i}" for i, c in enumerate(others)}
+    found = docs.mapInArrow(run, schema)
+    return found.select(*[F.col(place.get(c, "text")).alias(c) for c in names], "lang_pred", "score")

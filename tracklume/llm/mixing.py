@@ -102,11 +102,12 @@ def calibrated(docs: DataFrame, topic: Column | None = None, tokens: Column | No
     pairs = spark.createDataFrame([(a, b, f) for (a, b), f in sorted(factor.items())], "_language string, topic string, _pair double")
     known = cells.join(sources, "source").join(F.broadcast(pairs.withColumnRenamed("_language", "language")), ["language", "topic"])
     top = known.agg(F.max(F.col("factor") * F.col("_pair")).alias("top")).first().top
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # one column: no name can clash
     rates = sources.select(F.col("source").alias("_source"), F.col("factor").alias("_factor"))
-    keyed = marked.withColumns({"_source": F.coalesce("source", F.lit(NONE)), "_language": F.coalesce("lang", F.lit(NONE))})
+    keyed = marked.select(whole.alias("_whole"), "topic", "tokens", F.coalesce("source", F.lit(NONE)).alias("_source"), F.coalesce("lang", F.lit(NONE)).alias("_language"))
     rated = keyed.join(rates, "_source").join(F.broadcast(pairs), ["_language", "topic"])
     chance = F.least(F.lit(1.0), F.col("_factor") * F.col("_pair") / F.lit(top))
-    return rated.withColumn("probability", chance).select(*docs.columns, "topic", "tokens", "probability")
+    return rated.withColumn("probability", chance).select(*[F.col(f"_whole.`{c}`").alias(c) for c in docs.columns], "topic", "tokens", "probability")
 
 
 def uniform(key: Column, seed: str = "mix") -> Column:

@@ -135,8 +135,8 @@ def _tokens(df: DataFrame) -> DataFrame:
 def _pattern(text: Column, start: Column) -> Column:
     """Lexical pattern of a place: the two words before it, lower-cased; null if there are not two, or neither has a letter."""
     tail = F.lower(F.substring(text, F.greatest(F.lit(1), start - _CONTEXT + 1).cast("int"), F.least(start, F.lit(_CONTEXT)).cast("int")))
-    words = F.regexp_extract(tail, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 0)
-    clean = F.regexp_replace(F.trim(F.regexp_replace(words, r"[\x20\x09-\x0D]+", " ")), "[0-9]", "0")
+    words = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[\"'(<\[{]*$"
+    clean = F.regexp_replace(F.concat_ws(" ", F.regexp_extract(tail, words, 1), F.regexp_extract(tail, words, 2)), "[0-9]", "0")
     return F.when(clean.rlike(r"\p{L}"), clean)
 
 
@@ -169,6 +169,9 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
     Columns called ``base`` or ``added`` are replaced.
     """
     docs = docs.drop("base", "added")
+    # other columns travel in one struct, so that none can clash with a name used here
+    others = [c for c in docs.columns if c != "text"]
+    docs, names = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"), "text"), docs.columns
     texts = stored(_tokens(base_spans(docs)).drop("_text").withColumn("_row", F.monotonically_increasing_id()), "spans")
     both = F.concat(F.col("base"), F.coalesce("tokens", F.array().cast("array<struct<start:bigint,end:bigint,kind:string,match:string>>")))
     spans = texts.where(F.size(both) > 0).select("_row", "text", F.explode(both).alias("s"))
@@ -182,7 +185,8 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
     new = occurring.where("kind is null").drop("kind", "pattern").join(found, "instance")
     added = new.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "match"))).alias("added"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,match:string>>")
-    return texts.drop("tokens").join(added, "_row", "left").withColumn("added", F.coalesce("added", none)).drop("_row")
+    whole = [F.col("text") if c == "text" else F.col(f"others.`{c}`").alias(c) for c in names]
+    return texts.join(added, "_row", "left").select(*whole, "base", F.coalesce("added", none).alias("added"))
 
 
 def _by_place(spans: Column) -> Column:
