@@ -5,21 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklume.functions.skew import attach
 from tracklume.sources.tables import stored
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
     """Every neighbour larger than a node moves to the smallest node around it."""
     both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return attach(both.where(F.col("b") > F.col("a")), least, ["a"], "n", ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(pairs: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours move to the smallest of them."""
     down = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
+    least = down.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = attach(down, least, ["a"], "n", ["b"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -28,7 +29,7 @@ def smallest_of_component(pairs: DataFrame) -> DataFrame:
 
     Alternating large and small stars (Kiveris and others, 2014) until the stars stay as they are.  Their number of rounds
     grows with the logarithm of the longest path; no round is larger than the list of links.  Each round is a written
-    table.  A node with very many links is a skewed join key, which adaptive execution splits.
+    table.  The links of a node with millions of them are salted.
     """
     now = stored(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
