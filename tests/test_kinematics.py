@@ -147,7 +147,7 @@ def test_csv_scan_turns_nan_into_null(spark, tmp_path):
     old = spark.createDataFrame([(1, 0, float("nan")), (1, 1, 2.5)], "file long, frame int, diff_xy_micron double")
     place = str(tmp_path / "movie.csv")
     write_csv(old, place)
-    back = rename_canonical(read_observations(spark, place, old.schema), CANONICAL)
+    back = rename_canonical(read_observations(spark, place, old.schema, "csv"), CANONICAL)
     assert back.columns == ["file", "frame", "D"]
     assert sorted((r.frame, r.D) for r in back.collect()) == [(0, None), (1, 2.5)]
 

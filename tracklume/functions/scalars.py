@@ -71,6 +71,9 @@ def rounded(df: DataFrame, digits: int = 6, **other: int) -> DataFrame:
     def settled(c: str) -> Column:
         places = other.get(c, digits)
         scale = float(10**places)
-        return (F.floor(F.round(c, places + 3) * scale + 0.5) / scale).alias(c)
+        half_up = F.floor(F.round(c, places + 3) * scale + 0.5) / scale
+        # from 2 ** 52 units on, a double has no digits behind the last place
+        large = F.when(F.abs(c) < float("inf"), F.col(c))
+        return F.when(F.abs(c) < 2.0**52 / scale, half_up).otherwise(large).alias(c)
 
     return df.select(*[settled(c) if c in doubles else F.col(c) for c in df.columns])

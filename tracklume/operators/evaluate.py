@@ -221,9 +221,9 @@ def feature_stumps(df: DataFrame, features: Sequence[str], label: str, k: int) -
     placed = per_fold.join(F.broadcast(totals), ["feature", "fold"])  # one row per feature and fold
     n_left, n_right = F.col("l0") + F.col("l1"), F.col("n0") + F.col("n1") - F.col("l0") - F.col("l1")
     r0, r1 = F.col("n0") - F.col("l0"), F.col("n1") - F.col("l1")
-    purity = ratio((F.col("l0") * F.col("l0") + F.col("l1") * F.col("l1")).cast("double"), n_left) + ratio(
-        (r0 * r0 + r1 * r1).cast("double"), n_right
-    )
+    # in doubles: squares of counts leave the range of long from about 3e9 rows on
+    squares = [F.pow(F.col(c).cast("double") if isinstance(c, str) else c.cast("double"), F.lit(2.0)) for c in ("l0", "l1", r0, r1)]
+    purity = ratio(squares[0] + squares[1], n_left) + ratio(squares[2] + squares[3], n_right)
     splits = placed.where((F.col("here") > 0) & (n_right > 0))
     best = splits.groupBy("feature", "fold").agg(
         F.max_by(

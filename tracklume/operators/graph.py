@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tracklume.functions.skew import attach
 from tracklume.sources.tables import stored
 
-MAX_ROUNDS = 200
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: str = "node") -> DataFrame:
@@ -24,7 +23,7 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: st
         edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "edges"
     )
     labels = stored(nodes.select(*keys, node, F.col(node).alias("label")).distinct(), "labels")
-    for _ in range(MAX_ROUNDS):
+    while True:
         around = (
             both.join(labels.select(*keys, F.col(node).alias("b"), "label"), [*keys, "b"])
             .groupBy(*keys, F.col("a").alias(node))
@@ -42,4 +41,3 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: st
         up = lowered.select(*keys, F.col(node).alias("label"), F.col("label").alias("_up"))
         jumped = attach(lowered, used.join(up, [*keys, "label"]), [*keys, "label"], "_size", [node], sizes=used)
         labels = jumped.select(*keys, node, F.col("_up").alias("label"))
-    raise RuntimeError(f"labels still change after {MAX_ROUNDS} rounds")

@@ -16,7 +16,6 @@ from tracklume.operators.graph import components
 from tracklume.sources.tables import stored
 
 GRID = ["file", "frame"]
-_ROW = 1 << 24
 
 
 def rescaled(df: DataFrame, keys: Sequence[str], value: str, spread_by: Sequence[str]) -> DataFrame:
@@ -64,20 +63,19 @@ def otsu_limits(df: DataFrame, keys: Sequence[str], value: str, bins: int = 32)
         )
         return F.slice(grown, 2, bins)
 
-    pairs = F.array(
-        *[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(bins - 2) for j in range(i + 1, bins - 1)]
-    )
-
-    def between(p: Column) -> Column:
-        n1, s1 = F.get("_n", p.i), F.get("_s", p.i)
-        n2, s2 = F.get("_n", p.j) - n1, F.get("_s", p.j) - s1
-        n3, s3 = F.element_at("_n", -1) - F.get("_n", p.j), F.element_at("_s", -1) - F.get("_s", p.j)
+    def between(i: Column, j: Column) -> Column:
+        n1, s1 = F.get("_n", i), F.get("_s", i)
+        n2, s2 = F.get("_n", j) - n1, F.get("_s", j) - s1
+        n3, s3 = F.element_at("_n", -1) - F.get("_n", j), F.element_at("_s", -1) - F.get("_s", j)
         zero = F.lit(0.0)
         parts = [F.when(n > 0, s * s / n).otherwise(zero) for n, s in ((n1, s1), (n2, s2), (n3, s3))]
         return F.round(parts[0] + parts[1] + parts[2], 6)
 
-    scored = F.transform(pairs, lambda p: F.struct(between(p).alias("v"), (-p.i).alias("i"), (-p.j).alias("j")))
-    best = F.array_max(scored)
+    def best_second(i: Column) -> Column:
+        later = F.sequence(i + 1, F.lit(bins - 2))
+        return F.array_max(F.transform(later, lambda j: F.struct(between(i, j).alias("v"), (-i).alias("i"), (-j).alias("j"))))
+
+    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(bins - 3)), best_second))
     centre = (F.col("_max") - F.col("_min")) / bins
     return (
         listed.withColumn("_h", dense)
@@ -104,6 +102,8 @@ def above_lower(
 def _tile_labels(cells: pd.DataFrame) -> pd.DataFrame:
     """Number of the 4-connected component of every cell of one tile: ``y * 2**24 + x`` of its first cell.
 
+    Bits of x beyond 24 stand above those of y, so every pair of 32-bit numbers, negative ones too, has a number of its own.
+
     Horizontal runs are joined with the runs they touch in the line before.
     """
     cells = cells.sort_values(["y", "x"], ignore_index=True)
@@ -132,7 +132,8 @@ def _tile_labels(cells: pd.DataFrame) -> pd.DataFrame:
             parent[max(a, b)] = min(a, b)
             j += 1
     top = np.array([root(i) for i in range(len(first))])
-    cells["label"] = (y[first] * _ROW + x[first])[top][run]
+    number = ((x >> 24) << 56) + (y << 24) + (x & 0xFFFFFF)
+    cells["label"] = number[first][top][run]
     return cells[[*GRID, "x", "y", "label"]]
 
 
@@ -152,7 +153,7 @@ def labelled_cells(cells: DataFrame, tile: int = 1024) -> DataFrame:
     for axis in ("x", "y"):
         here = local.where(F.pmod(axis, F.lit(tile)) == 0).withColumnRenamed("label", "a")
         there = local.where(F.pmod(axis, F.lit(tile)) == tile - 1).select(
-            *GRID, *[(F.col(c) + 1).alias(c) if c == axis else F.col(c) for c in ("x", "y")], F.col("label").alias("b")
+            *GRID, *[(F.col(c).cast("long") + 1).alias(c) if c == axis else F.col(c) for c in ("x", "y")], F.col("label").alias("b")
         )
         sides.append(here.join(there, [*GRID, "x", "y"]).select(*GRID, "a", "b"))
     edges = stored(sides[0].union(sides[1]).distinct(), "borders")
@@ -227,14 +228,23 @@ def morphology(cells: DataFrame, edges: DataFrame, pixel: float, perimeter_power
     )
 
 
-def nearest_distance(spots: DataFrame, points: DataFrame, extent: int, pixel: float = 1.0) -> DataFrame:
+def _reach(spots: DataFrame, points: DataFrame) -> int:
+    """A bound on the distance of any spot from any point of its grid: one aggregate over both."""
+    both = spots.select(*GRID, "x", "y").unionByName(points.select(*GRID, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    spans = both.groupBy(*GRID).agg(*[(F.max(c) - F.min(c)).alias(c) for c in ("x", "y")])
+    return int(spans.agg(F.coalesce(F.max(F.greatest("x", "y")), F.lit(0.0)).alias("span")).first().span) + 1
+
+
+def nearest_distance(spots: DataFrame, points: DataFrame, extent: int | None = None, pixel: float = 1.0) -> DataFrame:
     """Distance of every spot to the nearest of the ``points`` (whole cells) of its grid, without meeting all of them.
 
-    The plane is cut into squares of side 1, 2, 4, ... up to ``extent``, the largest possible distance.  The smallest
+    The plane is cut into squares of side 1, 2, 4, ... up to ``extent``, the largest possible distance along an axis (taken from the data if not
+    given).  A spot has no distance only if its grid has no point.  The smallest
     side at which one of the nine squares around a spot is occupied bounds its distance by three sides; the points
     within three squares at that side are then compared.  Whether a square is occupied is looked up in the distinct
     squares, and points are only spread over the sides that some spot of their grid needs.
     """
+    extent = _reach(spots, points) if extent is None else extent
     sides = max(extent, 1).bit_length() + 1
     level = F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklume.functions.scalars import ratio
-from tracklume.functions.skew import BLOCK, attach_to_blocks, block_span, with_blocks, without_blocks
+from tracklume.functions import skew
+from tracklume.functions.skew import attach_to_blocks, block_span, with_blocks, without_blocks
 from tracklume.operators.features import with_overall
 from tracklume.operators.kinematics import with_track_stats
 from tracklume.schema import FRAME, TRACK
@@ -38,21 +39,25 @@ def modal_tracks(df: DataFrame, name: str = "nframes") -> DataFrame:
 
 
 def nested(df: DataFrame, values: Sequence[str], label: str = "serum_conc_percent") -> DataFrame:
-    """Tracks as series: one row per track and chunk of ``BLOCK`` frames, each value column an array in frame order.
+    """Tracks as series: one row per track, each value column an array in frame order.
 
-    An ordinary track is a single chunk.  Cutting very long tracks keeps every array within a fixed size.
+    A track that spans more than ``skew.BLOCK`` frames is cut, counted from its own first frame, so that every array keeps within a
+    fixed size: its pieces are numbered by ``chunk``.  Class, group and length are those of the whole track in every piece.
     """
-    chunk = F.floor(F.col(FRAME) / F.lit(BLOCK)).cast("int")
+    whole = with_track_stats(
+        df, F.min(FRAME).alias("_first"), F.max(label).alias("_label"), F.count(F.lit(1)).alias("_length")
+    )
+    chunk = F.floor((F.col(FRAME) - F.col("_first")) / F.lit(skew.BLOCK)).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct(FRAME, *values)))
-    rows = df.withColumn("chunk", chunk).groupBy(*TRACK, "chunk").agg(
-        ordered.alias("_s"), F.max(label).alias(label), F.max_by("file", FRAME).alias("group")
+    rows = whole.withColumn("chunk", chunk).groupBy(*TRACK, "chunk").agg(
+        ordered.alias("_s"), F.first("_label").alias("_label"), F.first("_length").alias("_length")
     )
     return rows.select(
         instance_key().alias("fp"),
         "chunk",
-        label_from_percent(label).alias("class"),
-        "group",
-        F.size("_s").alias("length"),
+        label_from_percent("_label").alias("class"),
+        F.col("file").alias("group"),
+        F.col("_length").cast("int").alias("length"),
         *[F.col("_s").getField(v).alias(v) for v in values],
     )
 
@@ -70,8 +75,13 @@ def melted(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str
     return df.select(*keys, F.inline(pairs))
 
 
+def frames_of(df: DataFrame) -> list[int]:
+    """All frames that occur, ascending: the columns of a wide table."""
+    return sorted(r[0] for r in df.select(FRAME).where(F.col(FRAME).isNotNull()).distinct().collect())
+
+
 def wide_by_frame(df: DataFrame, values: Sequence[str], frames: Sequence[int], drop: Sequence[str] = ()) -> DataFrame:
-    """One column per (measure, frame) for a declared list of frames; ``drop`` removes columns of the result."""
+    """One column per (measure, frame) for a list of frames (see :func:`frames_of`); ``drop`` removes columns of the result."""
     wide = df.groupBy(*TRACK).pivot(FRAME, list(frames)).agg(*[F.max(v).alias(v) for v in values])
     if len(values) == 1:
         wide = wide.select(*TRACK, *[F.col(f"`{f}`").alias(f"{f}_{values[0]}") for f in frames])

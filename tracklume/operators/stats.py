@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
@@ -146,11 +147,16 @@ def before_after(df: DataFrame, value: str, until: int = 40) -> DataFrame:
     )
 
 
-# Cumulative probabilities of the Poisson distribution with mean 1, from 0 to 9.
-POISSON_1 = [
-    0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563,
-    0.9994058151824183, 0.999916758850712, 0.9999897508033253, 0.999998874797402, 0.9999998885745217,
-]
+def _poisson_1(resolution: float = 2.0**-32) -> list[float]:
+    """Cumulative probabilities of the Poisson distribution with mean 1, as far as a 32-bit hash can tell them from 1."""
+    term, found = math.exp(-1), [math.exp(-1)]
+    while 1 - found[-1] > resolution:
+        term /= len(found)
+        found.append(found[-1] + term)
+    return found
+
+
+POISSON_1 = _poisson_1()
 
 
 def mean_difference(

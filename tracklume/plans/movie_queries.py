@@ -120,7 +120,7 @@ def _grid_spots(spark, sf_dir):
  AND s.frame = r.frame GROUP BY 1, 2, 3""", ["file", "frame", "det_id"], ["x_micron", "y_micron", "distance", "distance_micron"]))
 def nearest_edge(spark, sf_dir):
     rim = G.boundary(cells(spark, sf_dir), RADIUS)
-    near = G.nearest_distance(_grid_spots(spark, sf_dir), rim, extent=64, pixel=PIXEL)
+    near = G.nearest_distance(_grid_spots(spark, sf_dir), rim, pixel=PIXEL)
     return rounded(near.withColumns({"x_micron": F.col("x") * PIXEL, "y_micron": F.col("y") * PIXEL}).drop("x", "y"))
 
 

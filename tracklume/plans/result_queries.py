@@ -35,9 +35,8 @@ def scores_scan(spark, sf_dir):
     """Write the scores as CSV below one directory per feature set and scan them back with the directory's name."""
     place = new_location(spark, "scores")
     rows = scores(spark, sf_dir)
-    for name in ("f0", "f1", "f2"):
-        write_csv(rows.where(F.col("fset") == name), f"{place}/{name}")
-    back = read_recursive_csv(spark, place, SCORES)
+    write_csv(rows.withColumn("dir", F.col("fset")), place, ["dir"])
+    back = read_recursive_csv(spark, place, SCORES).withColumn("dir", F.regexp_replace("dir", "^dir=", ""))
     return rounded(back.groupBy("dir", "kernel_size").agg(F.count(F.lit(1)).alias("n"), F.sum("accuracy").alias("total")))
 
 

@@ -28,7 +28,7 @@ def series(spark: SparkSession, sf_dir: str, value: str = "Dist") -> DataFrame:
     rows = observations(spark, sf_dir)
     panel = P.modal_tracks(rows.select(*TRACK, "frame", value, "serum_conc_percent"))
     nested = P.nested(panel, [value]).select(
-        F.col("fp").alias("id"), F.col("group").alias("file"), F.col("class").alias("label"), F.col(value).alias("vec")
+        F.when(F.col("chunk") > 0, F.concat_ws("#", "fp", "chunk")).otherwise(F.col("fp")).alias("id"), F.col("group").alias("file"), F.col("class").alias("label"), F.col(value).alias("vec")
     )
     folded = FO.with_fold(nested, FO.stratified_group_folds(rows).drop("repeat_no"), ("id",)).drop("file")
     return stored(folded, "series")  # the searches read it several times

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from tracklume.operators import panel as P
 from tracklume.operators import select as S
 from tracklume.operators import stats as ST
 from tracklume.plans.inputs import OBSERVATIONS_SQL, observations, table
-from tracklume.plans.registry import registered, twin
+from tracklume.plans.registry import registered, settled, twin
 from tracklume.schema import CANONICAL, FEATURES, TRACK
 from tracklume.sources.tables import filename_fields, labelled, rename_canonical
 
@@ -424,27 +426,26 @@ def panel_dense(spark, sf_dir):
     return P.dense(P.modal_tracks(rows), values).withColumn("series", _text("series"))
 
 
-_FRAMES = list(range(30))
+def _wide(names: Sequence[str], rows: str, keys: str) -> str:
+    """Twin of a wide table: the columns come from the data, (measure, frame) by (measure, frame)."""
+    long = " UNION ALL ".join(f"SELECT {keys}, '{m}_' || frame AS k, {settled(m)} AS v FROM {rows}" for m in names)
+    return f"PIVOT (SELECT * FROM ({long}) u WHERE k <> 'D_0') ON k USING max(v) GROUP BY {keys}"
 
 
-@query("wide_by_frame", f"""{WITH_TRACKS} SELECT file, particle, {", ".join(
-    f"max({m}) FILTER (frame = {f}) AS {m}_{f}" for m in ("D", "Dist") for f in _FRAMES if (m, f) != ("D", 0))}
- FROM tracks GROUP BY file, particle""",
-       " ".join(f"{m}_{f}" for m in ("D", "Dist") for f in _FRAMES if (m, f) != ("D", 0)), "file particle")
+@registered("wide_by_frame", f"{WITH_TRACKS} SELECT * FROM ({_wide(('D', 'Dist'), 'tracks', 'file, particle')})")
 def wide_by_frame(spark, sf_dir):
-    return rounded(P.wide_by_frame(observations(spark, sf_dir), ["D", "Dist"], _FRAMES, ["D_0"]))
+    rows = observations(spark, sf_dir)
+    return rounded(P.wide_by_frame(rows, ["D", "Dist"], P.frames_of(rows), ["D_0"]))
 
 
-@query("features_join_wide", f"""{FEATURES_CTE}, long AS (SELECT f.file, f.particle, f.serum, f.MD, f.Pers, f.n, t.frame, t.Dist
- FROM features f LEFT JOIN tracks t ON f.file = t.file AND f.particle = t.particle) SELECT file, particle, max(serum) AS serum,
- max(MD) AS MD, max(Pers) AS Pers, {", ".join(f"max(Dist) FILTER (frame = {f}) AS Dist_{f}" for f in _FRAMES)} FROM long
- WHERE n >= {SHORT} GROUP BY file, particle""",
-       "MD Pers " + " ".join(f"Dist_{f}" for f in _FRAMES), "file particle serum")
+@registered("features_join_wide", f"""{FEATURES_CTE}, long AS (SELECT f.file, f.particle, f.serum, {settled("f.MD")} AS MD,
+ {settled("f.Pers")} AS Pers, t.frame, t.Dist FROM features f JOIN tracks t ON f.file = t.file AND f.particle = t.particle WHERE f.n >= {SHORT})
+ SELECT * FROM ({_wide(('Dist',), 'long', 'file, particle, serum, MD, Pers')})""")
 def features_join_wide(spark, sf_dir):
     rows = observations(spark, sf_dir)
     short = K.short_tracks(rows, SHORT)
     tracks = FT.track_table(rows).select(*TRACK, "serum", "MD", "Pers").join(short, TRACK, "left_anti")
-    return rounded(tracks.join(P.wide_by_frame(rows, ["Dist"], _FRAMES), TRACK, "left"))
+    return rounded(tracks.join(P.wide_by_frame(rows, ["Dist"], P.frames_of(rows)), TRACK, "left"))
 
 
 @query("scale_by_series", f"""{WITH_TRACKS} SELECT file, particle, frame,

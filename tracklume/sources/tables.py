@@ -40,12 +40,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_observations(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Scan a table with a declared schema: header CSV with NaN turned into NULL, or parquet.
+def read_observations(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
+    """Scan a table with a declared schema, by ``kind``: header ``csv`` with NaN turned into NULL, or ``parquet``.  A folder of files is fine.
 
     Parquet tables are expected to be clean (see :func:`stored_observations`), so that filters on measures reach the scan.
     """
-    if path.rstrip("/").endswith(".csv"):
+    if kind == "csv":
         return nan_to_null(spark.read.schema(schema).option("header", True).csv(path))
     return spark.read.schema(schema).parquet(path)
 
@@ -55,8 +55,9 @@ def stored_observations(df: DataFrame, path: str) -> None:
     nan_to_null(df).write.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).mode("overwrite").csv(path)
+def write_csv(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
+    """Header CSV; with ``partition`` one directory per value of those columns, whatever values there are."""
+    df.write.option("header", True).mode("overwrite").partitionBy(*partition).csv(path)
 
 
 def write_runs(df: DataFrame, path: str, partition: str) -> None:
