@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklume.functions.skew import attach
-from tracklume.sources.tables import stored
+from tracklume.sources.tables import discard, stored
 
 
 def _large_star(pairs: DataFrame) -> DataFrame:
@@ -29,12 +29,13 @@ def smallest_of_component(pairs: DataFrame) -> DataFrame:
 
     Alternating large and small stars (Kiveris and others, 2014) until the stars stay as they are.  Their number of rounds
     grows with the logarithm of the longest path; no round is larger than the list of links.  Each round is a written
-    table.  The links of a node with millions of them are salted.
+    table, which replaces the one before.  The links of a node with millions of them are salted.
     """
     now = stored(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     seen = None
     while True:
-        now = stored(_small_star(_large_star(now)), "links")
+        before, now = now, stored(_small_star(_large_star(now)), "links")
+        discard(before)
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
