@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklume.functions.skew import attach
-from tracklume.sources.tables import stored
+from tracklume.sources.tables import discard, stored
 
 
 
@@ -17,12 +17,13 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: st
 
     ``edges`` has columns ``a`` and ``b``.  A round takes the smallest label around a node and then follows labels to
     their own label, so paths shrink by half each time.  Rounds go on until nothing changes.  Every round is a written
-    table, so lineage stays short and a lost executor costs one round at most.  A label shared by very many nodes is salted.
+    table, so lineage stays short and a lost executor costs one round at most; superseded rounds are deleted.  A label shared by very many nodes is salted.
     """
     both = stored(
         edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "edges"
     )
     labels = stored(nodes.select(*keys, node, F.col(node).alias("label")).distinct(), "labels")
+    before = labels
     while True:
         around = (
             both.join(labels.select(*keys, F.col(node).alias("b"), "label"), [*keys, "b"])
@@ -36,7 +37,10 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: st
             "labels",
         )
         if lowered.where(F.col("label") != F.col("_old")).isEmpty():
-            return labels
+            discard(both)
+            return lowered.select(*keys, node, "label")
+        discard(before)
+        before = lowered
         used = lowered.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_size"))
         up = lowered.select(*keys, F.col(node).alias("label"), F.col("label").alias("_up"))
         jumped = attach(lowered, used.join(up, [*keys, "label"]), [*keys, "label"], "_size", [node], sizes=used)

@@ -33,7 +33,7 @@ def otsu_limits(df: DataFrame, keys: Sequence[str], value: str, bins: int = 32)
 
     The histogram has ``bins`` equal bins over the range of the group; a threshold is the centre of the last bin of its
     class.  Equal values are merged first.  Only bin counts are collected per group, at most ``bins`` of them, and all pairs of thresholds are compared
-    inside that short array.  Of equally good pairs the first one counts.
+    as one matrix of that short array.  Of equally good pairs the first one counts.
     """
     merged = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_times"))
     span = merged.groupBy(*keys).agg(
@@ -52,43 +52,39 @@ def otsu_limits(df: DataFrame, keys: Sequence[str], value: str, bins: int = 32)
         F.sequence(F.lit(0), F.lit(bins - 1)),
         lambda b: F.coalesce(F.try_element_at("_by_bin", b), F.lit(0)).cast("double"),
     )
-
-    def running(weight) -> Column:
-        """Sums over the bins up to and including each one."""
-        start = F.array(F.lit(0.0))
-        grown = F.aggregate(
-            F.sequence(F.lit(0), F.lit(bins - 1)),
-            start,
-            lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + weight(b) * F.get("_h", b))),
-        )
-        return F.slice(grown, 2, bins)
-
-    def between(i: Column, j: Column) -> Column:
-        n1, s1 = F.get("_n", i), F.get("_s", i)
-        n2, s2 = F.get("_n", j) - n1, F.get("_s", j) - s1
-        n3, s3 = F.element_at("_n", -1) - F.get("_n", j), F.element_at("_s", -1) - F.get("_s", j)
-        zero = F.lit(0.0)
-        parts = [F.when(n > 0, s * s / n).otherwise(zero) for n, s in ((n1, s1), (n2, s2), (n3, s3))]
-        return F.round(parts[0] + parts[1] + parts[2], 6)
-
-    def best_second(i: Column) -> Column:
-        later = F.sequence(i + 1, F.lit(bins - 2))
-        return F.array_max(F.transform(later, lambda j: F.struct(between(i, j).alias("v"), (-i).alias("i"), (-j).alias("j"))))
-
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(bins - 3)), best_second))
+    best = _best_pair(F.col("_h"))
     centre = (F.col("_max") - F.col("_min")) / bins
     return (
         listed.withColumn("_h", dense)
-        .withColumns({"_n": running(lambda b: F.lit(1.0)), "_s": running(lambda b: (b + 1).cast("double"))})
         .withColumn("_best", best)
         .select(
             *keys,
-            (F.col("_min") + (0.5 - F.col("_best.i")) * centre).alias("lower"),
-            (F.col("_min") + (0.5 - F.col("_best.j")) * centre).alias("upper"),
+            (F.col("_min") + (F.col("_best.i") + 0.5) * centre).alias("lower"),
+            (F.col("_min") + (F.col("_best.j") + 0.5) * centre).alias("upper"),
         )
     )
 
 
+@F.pandas_udf(T.StructType([T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
+def _best_pair(histograms: pd.Series) -> pd.DataFrame:
+    """Last bins of the first two of three classes with the largest variance between them; of equally good pairs the first."""
+    found = []
+    for histogram in histograms:
+        n = np.cumsum(histogram)
+        s = np.cumsum(np.asarray(histogram) * np.arange(1, len(histogram) + 1))
+
+        def part(count, total):
+            return np.divide(total * total, count, out=np.zeros_like(count), where=count > 0)
+
+        first, last = part(n, s), part(n[-1] - n, s[-1] - s)
+        middle = part(n[None, :] - n[:, None], s[None, :] - s[:, None])
+        between = np.round(first[:, None] + middle + last[None, :], 6)
+        i, j = np.triu_indices(len(n) - 1, 1)
+        at = int(between[i, j].argmax())
+        found.append((int(i[at]), int(j[at])))
+    return pd.DataFrame(found, columns=["i", "j"])
+
+
 def above_lower(
     df: DataFrame, keys: Sequence[str], value: str, spread_by: Sequence[str], bins: int = 32
 ) -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from itertools import combinations_with_replacement
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,25 +63,36 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns over the rows where both are present; NULL for a constant column.
 
-    Each row is read once and contributes its pairs to one small aggregation state per pair.
+    A task turns its rows into one matrix of sums per pair (count, sums, products, of values less the column's mean), so
+    what is shuffled is columns times columns rows a task, whatever the number of rows.
     """
-    pairs = F.array(
-        *[
-            F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
-            for a, b in combinations_with_replacement(columns, 2)
-        ]
-    )
-    x, y = F.when(F.col("y").isNotNull(), F.col("x")), F.when(F.col("x").isNotNull(), F.col("y"))
-    upper = (
-        df.select(F.inline(pairs))
-        .groupBy("a", "b")
-        .agg(ratio(F.covar_pop("x", "y"), F.stddev_pop(x) * F.stddev_pop(y)).alias("r"))
-    )
-    sides = F.array(
-        F.struct(F.col("a").alias("a"), F.col("b").alias("b")), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
-    )
-    mirrored = F.when(F.col("a") == F.col("b"), F.slice(sides, 1, 1)).otherwise(sides)
-    return upper.select("r", F.inline(mirrored)).select("a", "b", "r")
+    names = list(columns)
+    doubles = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    middle = doubles.agg(*[F.coalesce(F.avg(f"c{i}"), F.lit(0.0)) for i in range(len(names))]).first()
+    centre = np.asarray(list(middle), float)
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, len(names), len(names)))
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns]) - centre
+            here = ~np.isnan(x)
+            x = np.where(here, x, 0.0)
+            there = here.astype(float)
+            total += np.stack([there.T @ there, x.T @ there, there.T @ x, x.T @ x, (x * x).T @ there, there.T @ (x * x)])
+        i, j = np.divmod(np.arange(len(names) ** 2), max(1, len(names)))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), *[pa.array(t.ravel()) for t in total]], ["i", "j", "n", "x", "y", "xy", "xx", "yy"]
+        )
+
+    parts = doubles.mapInArrow(sums, "i int, j int, n double, x double, y double, xy double, xx double, yy double")
+    moments = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xy", "xx", "yy")])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    joint, own, other = n * F.col("xy") - x * y, n * F.col("xx") - x * x, n * F.col("yy") - y * y
+    # a constant column leaves only rounding errors of its sums
+    varies = (own > 1e-12 * n * F.col("xx")) & (other > 1e-12 * n * F.col("yy"))
+    listed = F.array(*[F.lit(c) for c in names])
+    r = F.when(varies, joint / (F.sqrt(own) * F.sqrt(other)))
+    return moments.select(F.get(listed, F.col("i")).alias("a"), F.get(listed, F.col("j")).alias("b"), r.alias("r"))
 
 
 def siblings(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tracklume.functions.skew import previous, with_blocks, with_position, without_blocks
 from tracklume.functions.scalars import step_length
 from tracklume.schema import OBSERVATIONS, TRACK
-from tracklume.sources.tables import new_location, read_observations, stored_observations
+from tracklume.sources.tables import new_location, read_observations, state_of, stored_observations
 
 _STORED: dict[tuple[str, str], str] = {}
 
@@ -73,7 +73,7 @@ def derive_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The observation table, written once per session and scanned by every query, as the movies' table is."""
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(table(spark, sf_dir, "events")))
     if key in _STORED:
         try:
             return read_observations(spark, _STORED[key], OBSERVATIONS)

@@ -92,10 +92,9 @@ def knockout_cv(spark, sf_dir):
     return rounded(E.knockout_scores(rows, FEATURES, FEATURE_FAMILIES, E.boosted(rounds=3)))
 
 
-_STUMP = ["MD", "VarD", "MDist", "sDist", "Pers"]
 _STUMPS_SQL = f"""WITH {FOLDS_SQL}, ft AS ({FEATURES_CTE} SELECT * FROM features),
- rows_ AS (SELECT t.serum, f.fold, t.MD, t.VarD, t.MDist, t.sDist, t.Pers FROM ft t JOIN folds f ON t.file = f.file WHERE f.repeat_no = 0),
- long AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, fold, serum, {c} AS value FROM rows_ WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in _STUMP)}),
+ rows_ AS (SELECT t.serum, f.fold, {", ".join("t." + c for c in FEATURES)} FROM ft t JOIN folds f ON t.file = f.file WHERE f.repeat_no = 0),
+ long AS ({" UNION ALL ".join(f"SELECT '{c}' AS feature, fold, serum, {c} AS value FROM rows_ WHERE {c} IS NOT NULL AND NOT isnan({c})" for c in FEATURES)}),
  ks AS (SELECT DISTINCT fold AS k FROM folds),
  vals AS (SELECT feature, k AS fold, value, count(*) FILTER (serum = 0) AS c0, count(*) FILTER (serum = 1) AS c1
   FROM long JOIN ks ON long.fold <> ks.k GROUP BY feature, k, value),
@@ -118,5 +117,5 @@ _STUMPS_SQL = f"""WITH {FOLDS_SQL}, ft AS ({FEATURES_CTE} SELECT * FROM features
 )
 def stump_per_feature(spark, sf_dir):
     rows = observations(spark, sf_dir)
-    tracks = FO.with_fold(FT.track_table(rows), FO.stratified_group_folds(rows).drop("repeat_no"), ("particle",))
-    return rounded(E.feature_stumps(tracks, _STUMP, "serum", 4))
+    tracks = FO.with_fold(FT.track_features(rows), FO.stratified_group_folds(rows).drop("repeat_no"), ("particle",))
+    return rounded(E.feature_stumps(tracks, FEATURES, "serum", 4))

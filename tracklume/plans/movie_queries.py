@@ -13,7 +13,8 @@ from tracklume.sources.tables import stored
 
 PIXEL = 0.5
 WIDTH = HEIGHT = 10
-RADIUS = 1
+RADIUS = 3
+BINS = 1000
 
 
 @registered("intensity_rescale", twin("""SELECT event_id, event_type, (value - min(value) OVER f) / nullif(max(value) OVER f
@@ -23,34 +24,34 @@ def intensity_rescale(spark, sf_dir):
     return rounded(G.rescaled(rows, ["event_type"], "value", ["event_id"]).drop("value"))
 
 
-_OTSU_SQL = """WITH g AS (SELECT event_type, min(value) AS mn, max(value) AS mx FROM events GROUP BY event_type),
- h AS (SELECT e.event_type, CAST(least(floor((value - mn) / ((mx - mn) / 32)), 31) AS INT) AS b, count(*) AS n FROM events e
+_OTSU_SQL = f"""WITH g AS (SELECT event_type, min(value) AS mn, max(value) AS mx FROM events GROUP BY event_type),
+ h AS (SELECT e.event_type, CAST(least(floor((value - mn) / ((mx - mn) / {BINS})), {BINS - 1}) AS INT) AS b, count(*) AS n FROM events e
   JOIN g ON e.event_type = g.event_type GROUP BY 1, 2),
- d AS (SELECT g.event_type, CAST(r.b AS INT) AS b, CAST(coalesce(h.n, 0) AS DOUBLE) AS n FROM g CROSS JOIN range(32) r(b)
+ d AS (SELECT g.event_type, CAST(r.b AS INT) AS b, CAST(coalesce(h.n, 0) AS DOUBLE) AS n FROM g CROSS JOIN range({BINS}) r(b)
   LEFT JOIN h ON h.event_type = g.event_type AND h.b = r.b),
  c AS (SELECT event_type, b, sum(n) OVER w AS cn, sum(n * (b + 1)) OVER w AS cs, sum(n) OVER p AS tn, sum(n * (b + 1)) OVER p AS ts
   FROM d WINDOW w AS (PARTITION BY event_type ORDER BY b), p AS (PARTITION BY event_type)),
  v AS (SELECT i.event_type, i.b AS bi, j.b AS bj, round(CASE WHEN i.cn > 0 THEN i.cs * i.cs / i.cn ELSE 0 END
   + CASE WHEN j.cn - i.cn > 0 THEN (j.cs - i.cs) * (j.cs - i.cs) / (j.cn - i.cn) ELSE 0 END
   + CASE WHEN i.tn - j.cn > 0 THEN (i.ts - j.cs) * (i.ts - j.cs) / (i.tn - j.cn) ELSE 0 END, 6) AS var
-  FROM c i JOIN c j ON i.event_type = j.event_type AND i.b < j.b WHERE j.b < 31),
+  FROM c i JOIN c j ON i.event_type = j.event_type AND i.b < j.b WHERE j.b < {BINS - 1}),
  best AS (SELECT event_type, bi, bj FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY var DESC, bi, bj) AS rn FROM v) q
   WHERE rn = 1),
- lim AS (SELECT g.event_type, mn + (bi + 0.5) * (mx - mn) / 32 AS lower, mn + (bj + 0.5) * (mx - mn) / 32 AS upper FROM g JOIN best
+ lim AS (SELECT g.event_type, mn + (bi + 0.5) * (mx - mn) / {BINS} AS lower, mn + (bj + 0.5) * (mx - mn) / {BINS} AS upper FROM g JOIN best
   ON g.event_type = best.event_type)"""
 
 
 @registered("otsu_limits", twin(f"{_OTSU_SQL} SELECT * FROM lim", ["event_type"], ["lower", "upper"]))
 def otsu_limits(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_type", "value")
-    return rounded(G.otsu_limits(rows, ["event_type"], "value"))
+    return rounded(G.otsu_limits(rows, ["event_type"], "value", BINS))
 
 
 @registered("otsu_mask", twin(f"""{_OTSU_SQL} SELECT event_id, e.event_type, CAST(value > lower AS INT) AS mask FROM events e
  JOIN lim ON e.event_type = lim.event_type""", ["event_id", "event_type", "mask"], []))
 def otsu_mask(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", "event_type", "value")
-    masked = G.above_lower(rows, ["event_type"], "value", ["event_id"])
+    masked = G.above_lower(rows, ["event_type"], "value", ["event_id"], BINS)
     return masked.select("event_id", "event_type", F.col("mask").cast("int").alias("mask"))
 
 
@@ -82,9 +83,9 @@ def component_sizes(spark, sf_dir):
 
 
 _CELLS = f"WITH cells AS ({CELLS_SQL})"
-_RIM = f"""{_CELLS}, offs AS (SELECT * FROM (VALUES (0, 0), (1, 0), (-1, 0), (0, 1), (0, -1)) o(dx, dy)),
+_RIM = f"""{_CELLS}, offs AS (SELECT dx, dy FROM range({-RADIUS}, {RADIUS + 1}) a(dx) CROSS JOIN range({-RADIUS}, {RADIUS + 1}) b(dy) WHERE dx * dx + dy * dy <= {RADIUS * RADIUS}),
  inside AS (SELECT c.file, c.frame, c.x, c.y, count(n.x) AS k FROM cells c CROSS JOIN offs o LEFT JOIN cells n ON n.file = c.file
- AND n.frame = c.frame AND n.x = c.x + o.dx AND n.y = c.y + o.dy GROUP BY 1, 2, 3, 4), rim AS (SELECT file, frame, x, y FROM inside WHERE k < 5)"""
+ AND n.frame = c.frame AND n.x = c.x + o.dx AND n.y = c.y + o.dy GROUP BY 1, 2, 3, 4), rim AS (SELECT file, frame, x, y FROM inside WHERE k < (SELECT count(*) FROM offs))"""
 
 
 @registered("grid_boundary", twin(f"{_RIM} SELECT * FROM rim", ["file", "frame", "x", "y"], []))

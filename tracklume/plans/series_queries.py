@@ -55,6 +55,36 @@ def knn_series(spark, sf_dir):
     return SI.voted(SI.nearest_euclid(series(spark, sf_dir)))
 
 
+CHANNELS = ("D", "A", "Dist")
+
+
+def channel_series(spark: SparkSession, sf_dir: str, values: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """Series of several channels of the tracks of modal length: the channels one after the other in one array.
+
+    The Euclidean distance of such arrays is that of the multi-channel series.  A missing step of a channel counts as 0.
+    """
+    rows = observations(spark, sf_dir)
+    panel = P.modal_tracks(rows.select(*TRACK, "frame", *values, "serum_conc_percent"))
+    filled = [F.transform(v, lambda x: F.coalesce(x, F.lit(0.0))) for v in values]
+    nested = P.nested(panel, list(values)).select(
+        F.when(F.col("chunk") > 0, F.concat_ws("#", "fp", "chunk")).otherwise(F.col("fp")).alias("id"),
+        F.col("group").alias("file"), F.col("class").alias("label"), F.concat(*filled).alias("vec"),
+    )
+    folded = FO.with_fold(nested, FO.stratified_group_folds(rows).drop("repeat_no"), ("id",)).drop("file")
+    return stored(folded, "series")
+
+
+_CHANNEL_SQL = _SERIES_SQL.replace("list(Dist ORDER BY frame) AS vec", " || ".join(f"list(coalesce({c}, 0.0) ORDER BY frame)" for c in CHANNELS) + " AS vec")
+
+
+@registered("knn_channels", twin(f"""{_CHANNEL_SQL} SELECT id, fold, label AS truth, mode_ AS pred FROM (SELECT id, fold, label,
+ neighbour_label AS mode_, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, neighbour_label) AS rn FROM near
+ WHERE place <= 5 GROUP BY id, fold, label, neighbour_label) v WHERE rn = 1""", ["id", "fold", "truth", "pred"], []))
+def knn_channels(spark, sf_dir):
+    """Neighbours of series of three channels."""
+    return SI.voted(SI.nearest_euclid(channel_series(spark, sf_dir)))
+
+
 @registered("dtw_pairs")
 def dtw_pairs(spark, sf_dir):
     return rounded(SI.nearest_warped(series(spark, sf_dir)))

@@ -62,7 +62,7 @@ FEATURES_CTE = f"""{WITH_TRACKS}, steps AS (
  FROM agg a JOIN outs o ON a.file = o.file AND a.particle = o.particle
 )"""
 
-COLUMNS = ["MD", "VarD", "MA", "MDist", "Pers", "sDist"]
+COLUMNS = FEATURES
 OBSERVED = ["x_micron", "y_micron", "D", "A", "P", "Dist"]
 
 
@@ -305,12 +305,11 @@ def spearman_pairs(spark, sf_dir):
     return rounded(ST.spearman(pairs, "p_TD", "c_TD", "file").select("rho", "n"))
 
 
-@query("corr_matrix", f"""WITH f AS ({FEATURES_CTE} SELECT MD, VarD, MA, MDist, Pers,
-  CASE WHEN isnan(sDist) THEN NULL ELSE sDist END AS sDist FROM features)
+@query("corr_matrix", f"""WITH f AS ({FEATURES_CTE} SELECT {", ".join(f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}" for c in COLUMNS)} FROM features)
  """ + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM f" for a in COLUMNS for b in COLUMNS),
        "r", "a b")
 def corr_matrix(spark, sf_dir):
-    return rounded(ST.correlation_matrix(FT.track_table(observations(spark, sf_dir)), COLUMNS))
+    return rounded(ST.correlation_matrix(FT.track_features(observations(spark, sf_dir)), COLUMNS))
 
 
 @query("histogram", f"""SELECT CAST(least(floor((Dist - mn) / ((mx - mn) / 40)), 39) AS INT) AS bin, count(*) AS n,

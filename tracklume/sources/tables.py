@@ -17,10 +17,13 @@ _FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for stored intermediates: the one the cluster names, or a fresh local one where none is set."""
+    """Folder for stored intermediates: the one the cluster names or the session's checkpoint folder, or a fresh local one where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    set_later = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_later.isDefined():
+        return set_later.get().rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         if not spark.sparkContext.master.startswith("local"):
@@ -40,6 +43,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table written by :func:`stored` that nothing reads any more."""
+    spark = df.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def state_of(df: DataFrame) -> tuple:
+    """Names, lengths and times of the files of a table: changes when the table is written anew."""
+    spark, found = df.sparkSession, []
+    for file in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        found.append((file, status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def read_observations(spark: SparkSession, path: str, schema: T.StructType, kind: str = "parquet") -> DataFrame:
     """Scan a table with a declared schema, by ``kind``: header ``csv`` with NaN turned into NULL, or ``parquet``.  A folder of files is fine.
 
