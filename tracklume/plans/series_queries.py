@@ -177,8 +177,8 @@ def pca_tracks(spark, sf_dir):
 @registered("pca_embeddings")
 def pca_embeddings(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings")
-    scores = SE.vector_components(rows, "embedding", ["vec_id", "label"], 8)
-    return rounded(scores.select("vec_id", "label", *[F.abs(f"PC{i}").alias(f"PC{i}") for i in range(8)]))
+    scores = SE.vector_components(rows, "embedding", ["vec_id", "label"])
+    return rounded(scores.select("vec_id", "label", *[F.abs(f"PC{i}").alias(f"PC{i}") for i in range(64)]))
 
 
 @registered("density_2d", twin(f"""WITH p AS ({LENGTHS_SQL} SELECT serum, avg(Dist) AS u, avg(A) AS v FROM tracks GROUP BY file, particle, serum),
