@@ -195,23 +195,25 @@ def band_join(
     low: str,
     high: str,
     spread_by: str,
-    bins: int = 64,
+    bin_rows: int = 2048,
     limit: int | None = None,
 ) -> DataFrame:
     """Pairs of query and candidate with equal ``keys`` and ``value`` between ``low`` and ``high`` of the query.
 
-    The value range of a key is cut into ``bins``; a query visits only the bins its band touches, and a bin with more
+    The value range of a key is cut into at least 64 bins, and into more as its candidates grow, so that a bin holds about
+    ``bin_rows`` of them if they are spread evenly; a query visits only the bins its band touches, and a bin with more
     than ``limit`` candidates is split over several partitions.  ``keys`` must take few values (they number pivots or
     a constant): the two tables broadcast here have one row per key, and one per key and bin.
     """
     limit = HOT_ROWS if limit is None else limit
-    span = F.broadcast(candidates.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max")))
+    bins = F.greatest(F.lit(64), F.ceil(F.count(F.lit(1)) / bin_rows)).cast("long").alias("_bins")
+    span = F.broadcast(candidates.groupBy(*keys).agg(F.min(value).alias("_min"), F.max(value).alias("_max"), bins))
 
     def bin_of(x: Column) -> Column:
-        place = F.floor(F.try_divide(x - F.col("_min"), (F.col("_max") - F.col("_min")) / bins))
-        return F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)).cast("int")
+        place = F.floor(F.try_divide(x - F.col("_min"), (F.col("_max") - F.col("_min")) / F.col("_bins")))
+        return F.least(F.coalesce(place, F.lit(0)), F.col("_bins") - 1)
 
-    placed = candidates.join(span, list(keys)).withColumn("_bin", bin_of(F.col(value))).drop("_min", "_max")
+    placed = candidates.join(span, list(keys)).withColumn("_bin", bin_of(F.col(value))).drop("_min", "_max", "_bins")
     bin_keys = [*keys, "_bin"]
     ways = F.broadcast(
         placed.groupBy(*bin_keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).cast("int").alias("_ways"))
@@ -226,7 +228,7 @@ def band_join(
         .withColumn("_bin", F.explode(touched))
         .join(ways, bin_keys)
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_ways") - 1)))
-        .drop("_min", "_max", "_ways")
+        .drop("_min", "_max", "_bins", "_ways")
     )
     return (
         left.join(right, [*bin_keys, "_salt"])

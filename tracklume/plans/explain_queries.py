@@ -14,7 +14,7 @@ from tracklume.plans.model_queries import model_table
 from tracklume.plans.registry import registered, twin
 from tracklume.plans.track_queries import FEATURES_CTE
 from tracklume.schema import FEATURES, TRACK
-from tracklume.sources.tables import stored
+from tracklume.sources.tables import stored, union_all
 
 
 @registered("tree_shap")
@@ -39,12 +39,16 @@ _SAMPLED = ["MD", "VarD", "MDist", "Pers", "DistR"]
 
 @registered("sampled_shap")
 def sampled_shap(spark, sf_dir):
+    """Sampled attributions of a network for the tracks of every fold, by the network that did not see them."""
     rows = model_table(spark, sf_dir).fillna(0.0, _SAMPLED)
-    scaled = stored(E.scaled_folds(rows, _SAMPLED, 4)[0], "scaled")
-    train = scaled.where(F.col("fold") != 0)
-    model = E.with_inputs(E.dense_network(len(_SAMPLED), hidden=(8,), rounds=20)(), _SAMPLED).fit(train)
-    test = scaled.where(F.col("fold") == 0).select(*TRACK, *_SAMPLED)
-    return rounded(X.sampled_attributions(test, model, _SAMPLED, TRACK, train))
+    parts = []
+    for fold, table in enumerate(E.scaled_folds(rows, _SAMPLED, 4)):
+        scaled = stored(table, "scaled")
+        train = scaled.where(F.col("fold") != fold)
+        model = E.with_inputs(E.dense_network(len(_SAMPLED), hidden=(8,), rounds=20)(), _SAMPLED).fit(train)
+        test = scaled.where(F.col("fold") == fold).select(*TRACK, *_SAMPLED)
+        parts.append(X.sampled_attributions(test, model, _SAMPLED, TRACK, train))
+    return rounded(union_all(parts))
 
 
 @registered("linear_shap", twin(f"""WITH f AS ({FEATURES_CTE} SELECT * FROM features),

@@ -17,7 +17,7 @@ from tracklume.operators import select as S
 from tracklume.operators import stats as ST
 from tracklume.plans.inputs import OBSERVATIONS_SQL, observations, table
 from tracklume.plans.registry import registered, settled, twin
-from tracklume.schema import CANONICAL, FEATURES, TRACK
+from tracklume.schema import CANONICAL, FEATURE_FAMILIES, FEATURES, TRACK
 from tracklume.sources.tables import filename_fields, labelled, rename_canonical
 
 SHORT = 12
@@ -549,13 +549,23 @@ def scale_features(spark, sf_dir):
     return rounded(P.scale_held_out(tracks, ["MD", "MA"]))
 
 
-_KNOCK = {"MD": ["MD"], "Pers": ["Pers"], "speed": ["MD", "VarD"]}
+#: every single feature, and every family
+_KNOCK = {**{c: [c] for c in FEATURES}, **{f"family_{n}": list(cs) for n, cs in FEATURE_FAMILIES.items()}}
 
 
-@query("knockout_matrix", f"""WITH f AS ({FEATURES_CTE} SELECT file, particle, MD, VarD, Pers FROM features),
- k AS (SELECT unnest(['MD', 'Pers', 'speed']) AS knockout) SELECT knockout, file, particle,
- CASE WHEN knockout IN ('MD', 'speed') THEN 0 ELSE MD END AS MD, CASE WHEN knockout = 'speed' THEN 0 ELSE VarD END AS VarD,
- CASE WHEN knockout = 'Pers' THEN 0 ELSE Pers END AS Pers FROM f, k""", "MD VarD Pers", "knockout file particle")
+def _knocked_sql() -> str:
+    """Twin by definition: a column is 0 in the rows of each knock-out that names it."""
+    columns = []
+    for c in FEATURES:
+        value = f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END"
+        out = ", ".join(f"'{k}'" for k, cs in _KNOCK.items() if c in cs)
+        columns.append(f"CASE WHEN knockout IN ({out}) THEN 0 ELSE {value} END AS {c}")
+    names = ", ".join(f"'{k}'" for k in _KNOCK)
+    return f"""WITH f AS ({FEATURES_CTE} SELECT * FROM features), k AS (SELECT unnest([{names}]) AS knockout)
+ SELECT knockout, file, particle, {", ".join(columns)} FROM f, k"""
+
+
+@query("knockout_matrix", _knocked_sql(), " ".join(FEATURES), "knockout file particle")
 def knockout_matrix(spark, sf_dir):
-    tracks = FT.track_table(observations(spark, sf_dir)).select(*TRACK, "MD", "VarD", "Pers")
-    return rounded(S.knocked_out(tracks, ["MD", "VarD", "Pers"], _KNOCK))
+    tracks = FT.track_features(observations(spark, sf_dir)).select(*TRACK, *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    return rounded(S.knocked_out(tracks, FEATURES, _KNOCK))
