@@ -18,7 +18,7 @@ from tracklume.operators import stats as ST
 from tracklume.plans.inputs import OBSERVATIONS_SQL, observations, table
 from tracklume.plans.registry import registered, settled, twin
 from tracklume.schema import CANONICAL, FEATURE_FAMILIES, FEATURES, TRACK
-from tracklume.sources.tables import filename_fields, labelled, rename_canonical
+from tracklume.sources.tables import filename_fields, labelled, new_location, read_observations, rename_canonical, write_csv
 
 SHORT = 12
 WITH_TRACKS = f"WITH tracks AS ({OBSERVATIONS_SQL})"
@@ -82,6 +82,18 @@ def scan_tracks(spark, sf_dir):
     return rounded(rename_canonical(observations(spark, sf_dir), CANONICAL))
 
 
+_OLDER = {new: old for old, new in CANONICAL.items()}
+
+
+@query("scan_older_tracks", f"{WITH_TRACKS} SELECT file, particle, frame, D, A, P, Dist, serum FROM tracks", "D A P Dist", "file particle frame serum")
+def scan_older_tracks(spark, sf_dir):
+    """A folder of CSV files in the older dialect, with NaN for missing measures, read under canonical names."""
+    rows = observations(spark, sf_dir).select(*TRACK, "frame", "D", "A", "P", "Dist", "serum").withColumnsRenamed(_OLDER)
+    place = new_location(spark, "older")
+    write_csv(rows.withColumns({c: F.coalesce(F.col(c), F.lit(float("nan"))) for c in _OLDER.values()}), place)
+    return rounded(rename_canonical(read_observations(spark, place, rows.schema, "csv"), CANONICAL))
+
+
 @query("experiment_filter", f"""{WITH_TRACKS} SELECT * FROM tracks WHERE (comment IS NULL OR comment NOT IN
  ('stress_control', 'H2B')) AND (guide LIKE '%1398%' OR guide LIKE '%1514%') AND time < 40""",
        "x_micron y_micron D", "file particle frame guide comment time")
@@ -296,13 +308,16 @@ def paired_fit(spark, sf_dir):
     return rounded(ST.linear_fit(_siblings(spark, sf_dir, "ifFast", "f_", "s_"), "f_MD", "s_MD"))
 
 
-@query("spearman_pairs", f"""SELECT corr(ra, rb) AS rho, count(*) AS n FROM (
+@query("spearman_pairs", f"""WITH r AS (SELECT corr(ra, rb) AS rho, count(*) AS n FROM (
  SELECT rank() OVER (ORDER BY p_TD) + (count(*) OVER (PARTITION BY p_TD) - 1) / 2.0 AS ra,
         rank() OVER (ORDER BY c_TD) + (count(*) OVER (PARTITION BY c_TD) - 1) / 2.0 AS rb
- FROM ({_siblings_sql("ifCentr", "c_", "p_")}) p) r""", "rho", "n")
+ FROM ({_siblings_sql("ifCentr", "c_", "p_")}) p) q), s AS (SELECT *, n - 2 AS v, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM r)
+ SELECT rho, n, t, 1 - 2 * (SELECT sum(abs(t) / 4000 * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi())
+  * pow(1 + pow(abs(t) * (i + 0.5) / 4000, 2) / v, -(v + 1) / 2.0)) FROM range(4000) u(i)) AS p FROM s""", "rho t p", "n", p=3)
 def spearman_pairs(spark, sf_dir):
+    """The twin's p-value is the integral of Student's density."""
     pairs = _siblings(spark, sf_dir, "ifCentr", "c_", "p_")
-    return rounded(ST.spearman(pairs, "p_TD", "c_TD", "file").select("rho", "n"))
+    return rounded(ST.spearman(pairs, "p_TD", "c_TD", "file").select("rho", "n", "t", "p"), p=3)
 
 
 @query("corr_matrix", f"""WITH f AS ({FEATURES_CTE} SELECT {", ".join(f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}" for c in COLUMNS)} FROM features)
