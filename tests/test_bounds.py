@@ -5,7 +5,6 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tracklume.functions import skew
 from tracklume.functions.scalars import rounded
 from tracklume.operators import grid, panel, stats
 from tracklume.operators.graph import components
@@ -25,7 +24,7 @@ def test_a_short_track_is_one_series_wherever_it_begins(spark):
 
 
 def test_pieces_of_a_long_track_carry_the_facts_of_the_whole(spark, monkeypatch):
-    monkeypatch.setattr(skew, "BLOCK", 10)
+    monkeypatch.setattr(panel, "SERIES_FRAMES", 10)
     found = sorted(panel.nested(track(spark, range(5, 30)), ["D"]).collect(), key=lambda r: r.chunk)
     assert [(r.chunk, r.length, len(r.D)) for r in found] == [(0, 25, 10), (1, 25, 10), (2, 25, 5)]
 

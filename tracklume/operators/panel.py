@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklume.functions.scalars import ratio
-from tracklume.functions import skew
 from tracklume.functions.skew import attach_to_blocks, block_span, with_blocks, without_blocks
 from tracklume.operators.features import with_overall
 from tracklume.operators.kinematics import with_track_stats
 from tracklume.schema import FRAME, TRACK
 
+SERIES_FRAMES = 65_536  # frames of one array
+
 
 def instance_key() -> Column:
     return F.concat_ws("__", F.col("file").cast("string"), F.col("particle").cast("string"))
@@ -41,13 +42,13 @@ def modal_tracks(df: DataFrame, name: str = "nframes") -> DataFrame:
 def nested(df: DataFrame, values: Sequence[str], label: str = "serum_conc_percent") -> DataFrame:
     """Tracks as series: one row per track, each value column an array in frame order.
 
-    A track that spans more than ``skew.BLOCK`` frames is cut, counted from its own first frame, so that every array keeps within a
+    A track that spans more than ``SERIES_FRAMES`` frames is cut, counted from its own first frame, so that every array keeps within a
     fixed size: its pieces are numbered by ``chunk``.  Class, group and length are those of the whole track in every piece.
     """
     whole = with_track_stats(
         df, F.min(FRAME).alias("_first"), F.max(label).alias("_label"), F.count(F.lit(1)).alias("_length")
     )
-    chunk = F.floor((F.col(FRAME) - F.col("_first")) / F.lit(skew.BLOCK)).cast("int")
+    chunk = F.floor((F.col(FRAME) - F.col("_first")) / F.lit(SERIES_FRAMES)).cast("int")
     ordered = F.array_sort(F.collect_list(F.struct(FRAME, *values)))
     rows = whole.withColumn("chunk", chunk).groupBy(*TRACK, "chunk").agg(
         ordered.alias("_s"), F.first("_label").alias("_label"), F.first("_length").alias("_length")
