@@ -183,7 +183,9 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
     )
     found = _discovered(occurring.select("pattern", "instance", "kind"), rounds, support, trust)
     new = occurring.where("kind is null").drop("kind", "pattern").join(found, "instance")
+    # stored: where little is added, its size is known to be small and the texts stay where they are
     added = new.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "match"))).alias("added"))
+    added = stored(added, "added")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,match:string>>")
     whole = [F.col("text") if c == "text" else F.col(f"others.`{c}`").alias(c) for c in names]
     return texts.join(added, "_row", "left").select(*whole, "base", F.coalesce("added", none).alias("added"))
