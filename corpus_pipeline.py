@@ -24,12 +24,15 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8.  Rows without an id stay."""
-    found = stored(neardup.near_duplicates(docs, size=5, percent=80).where("kept and doc_id is not null").select("doc_id"), "kept")
-    ids = found.distinct()
-    kept = docs.join(ids, "doc_id", "left_semi")
-    if found.count() != ids.count():  # rows that share an id
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    found = stored(neardup.near_duplicates(docs, size=5, percent=80).where("doc_id is not null").select("doc_id", "kept"), "kept")
+    # copies are far fewer than documents: leaving them out moves less than looking the kept ones up
+    copies = stored(found.where("not kept").select("doc_id").distinct(), "copies")
+    kept = docs.join(copies, "doc_id", "left_anti")
+    ids = found.where("kept")
+    if ids.count() != ids.distinct().count():  # rows that share an id
+        whole = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+        kept = whole.unionByName(kept.where("doc_id is null"))
+    return kept.select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
