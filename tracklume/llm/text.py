@@ -6,13 +6,15 @@ not depend on how many rows Spark puts into a batch; only a single very long tex
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 
 #: the six white-space bytes that separate words
 WHITE = np.zeros(256, bool)
@@ -53,6 +55,13 @@ def powers(n: int) -> np.ndarray:
     return table
 
 
+def _return_memory() -> None:
+    """Give freed memory back to the system, as workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``limit`` bytes; a longer text is a slice of its own."""
     if not batch.num_rows:
@@ -65,6 +74,7 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    _return_memory()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

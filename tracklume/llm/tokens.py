@@ -48,7 +48,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Keeps the ids of distinct pieces; forgets them all when there are more than ``most``."""
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.most = most
@@ -59,8 +59,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.place = np.zeros(0, np.int64)  # of the key's ids among all kept ids
-        self.length = np.zeros(0, np.int64)
+        self.place = np.zeros(0, np.int32)  # of the key's ids among all kept ids
+        self.length = np.zeros(0, np.int32)
         self.kept = [np.zeros(0, np.uint32)]
         self.total = 0
 
@@ -88,8 +88,8 @@ class Encoder:
         self.total += int(length.sum())
         at = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, at, keys)
-        self.place = np.insert(self.place, at, place)
-        self.length = np.insert(self.length, at, length)
+        self.place = np.insert(self.place, at, place.astype(np.int32))
+        self.length = np.insert(self.length, at, length.astype(np.int32))
 
     def _cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(data)
@@ -122,7 +122,7 @@ class Encoder:
             if not np.array_equal(self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)], keys):
                 self._learn_all(keys, [raw[starts[i] : ends[i]] for i in first])
             at = np.searchsorted(self.keys, keys)
-        length, place = self.length[at][of], self.place[at][of]
+        length, place = self.length[at][of].astype(np.int64), self.place[at][of].astype(np.int64)
         before = np.concatenate([[0], np.cumsum(length)])
         take = np.arange(before[-1]) + np.repeat(place - before[:-1], length)
         ids = self.kept[0][take]
