@@ -14,7 +14,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLOCK_BYTES = 1 << 20
-_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
 
 #: the six white-space bytes that separate words
 WHITE = np.zeros(256, bool)
@@ -58,8 +57,9 @@ def powers(n: int) -> np.ndarray:
 def _return_memory() -> None:
     """Give freed memory back to the system, as workers are kept for later stages."""
     pa.default_memory_pool().release_unused()
-    if _TRIM is not None:
-        _TRIM(0)
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:

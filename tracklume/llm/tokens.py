@@ -9,6 +9,7 @@ characters, or with the text of a special token, are encoded as they are.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -34,6 +35,7 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and file."""
     if path not in _ENCODERS:
+        gc.collect()  # an earlier task's encoder may still be around
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
