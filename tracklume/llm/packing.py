@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklume.llm.text import blocks
-from tracklume.llm.tokens import encoder
+from tracklume.llm.tokens import encoder, finished
 
 PACKED = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -131,6 +131,8 @@ def packed(
                     ["doc_id", "start", "length", "ids", "doc_tokens", "turn"],
                 )
                 turn += len(doc)
+        del encode
+        finished()
 
     def pack(key: tuple, table: pa.Table) -> pa.Table:
         # an order of its own makes the result independent of how rows arrive

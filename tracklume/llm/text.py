@@ -54,7 +54,7 @@ def powers(n: int) -> np.ndarray:
     return table
 
 
-def _return_memory() -> None:
+def return_memory() -> None:
     """Give freed memory back to the system, as workers are kept for later stages."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
@@ -74,7 +74,7 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) -> Iter
         to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
         yield batch.slice(at, to - at)
         at = to
-    _return_memory()
+    return_memory()
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

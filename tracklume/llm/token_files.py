@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracklume.llm.text import blocks
-from tracklume.llm.tokens import encoder
+from tracklume.llm.tokens import encoder, finished
 from tracklume.sources.tables import new_location
 
 MAGIC = b"TLZ1"
@@ -134,6 +134,8 @@ def write_token_files(
                 turn += len(value)
                 columns = [pa.array(shard, pa.int32()), key, pa.array(counts + 1, pa.int64()), pa.array([int(kind[-1])] * len(parts), pa.int32()), pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["shard", "doc_id", "n_tokens", "width", "frame"])
+        del encode
+        finished()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = path = None

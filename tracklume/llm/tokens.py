@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tracklume.llm.text import ALL_VALUES, flat, span_hashes
+from tracklume.llm.text import ALL_VALUES, flat, return_memory, span_hashes
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
 
@@ -40,6 +40,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def finished() -> None:
+    """At the end of a task: an idle worker keeps no encoder."""
+    _ENCODERS.clear()
+    gc.collect()
+    return_memory()
+
+
 def _byte_letters() -> dict[int, str]:
     """How a byte-level BPE writes bytes as printable characters: by rule, printable Latin-1 stays."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
