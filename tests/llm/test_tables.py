@@ -81,6 +81,13 @@ def test_discovery_takes_more_than_one_round(spark):
     assert sorted(r.instance for r in private._discovered(seen, 2, 5, 0.8).collect()) == ["j0", "k"]
 
 
+@pytest.mark.parametrize("patterns", [1, 3, 4, 20])
+def test_discovery_keeps_what_many_patterns_vouch_for(spark, patterns):
+    rows = [(f"p{a}", f"i{a}-{b}", "phone") for a in range(patterns) for b in range(9)] + [(f"p{a}", "new", None) for a in range(patterns)]
+    seen = spark.createDataFrame(rows, "pattern string, instance string, kind string")
+    assert [tuple(r) for r in private._discovered(seen, 3, 5, 0.75).collect()] == [("new", "phone")]
+
+
 def raked(cells, goals, cycles=400):
     w = dict(cells)
     for _ in range(cycles):

@@ -158,7 +158,8 @@ def _discovered(seen: DataFrame, rounds: int, support: int, trust: float) -> Dat
         scored = unknown.groupBy("instance", "told").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("weight"), F.lit(1e-6)))))).alias("score"))
         best = scored.groupBy("instance").agg(F.max(F.struct("score", "told")).alias("best")).select("instance", F.col("best.told").alias("kind"), F.col("best.score").alias("score"))
         known = stored(seeds.unionByName(best.join(seeds.select("instance"), "instance", "left_anti")), "known")
-    return known.where((F.col("score") >= trust) & (F.col("score") < 1.0)).join(seeds.select("instance"), "instance", "left_anti").select("instance", "kind")
+    # scores of well vouched instances round to 1, so seeds are told by name only
+    return known.where(F.col("score") >= trust).join(seeds.select("instance"), "instance", "left_anti").select("instance", "kind")
 
 
 def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0.75) -> DataFrame:
