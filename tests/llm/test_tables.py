@@ -81,6 +81,24 @@ def test_discovery_takes_more_than_one_round(spark):
     assert sorted(r.instance for r in private._discovered(seen, 2, 5, 0.8).collect()) == ["j0", "k"]
 
 
+def test_spaced_and_long_identifiers_are_discovered(spark):
+    rows = [(i, f"hello Call me: +1 (255) 555-{8000 + i} now, or write to user{i}@mail.example thanks, my card: 4111 1111 1111 1111 too") for i in range(24)]
+    rows += [(i + 30, f"my card: {number}") for i, number in enumerate(["4111111111111111", "5500 0000 0000 0004", "3400 000000 00009 1", "6011-0000-0000-0004", "4012888888881881"])]
+    planted = {
+        50: ("call me: ", "555 123 4567", " now", "phone"), 51: ("call me: (", "555) 123-4567", ".", "phone"), 52: ("call me: ", "555 - 123 . 4567", ", ok", "phone"),
+        53: ("write to ", "christopher.montgomery@intranet", "", "email"), 54: ("write to ", "a" * 70 + "@" + "b" * 70, " now", "email"),
+        55: ("my card: ", "4111 1111 1111 1112", " x", "card"), 56: ("10.0.0.1 call me: ", "555 1234567", " 89x", "phone"), 57: ("write to ", "x@y", " now", "email"),
+        58: ("call me: ", "1" * 30 + " 2" * 3000, "", "phone"),
+        59: ("room ", "5551234567", " 20 is free", "phone"), 60: ("call me: ", "5551234567", " or not", "phone"),
+    }
+    rows += [(i, a + b + c) for i, (a, b, c, _) in planted.items()] + [(80, "7654321 10.0.0.1 7 654321 +1 (255) 555-8013, 1234567 2020 x1 12"), (81, "1 " * 30000 + "1x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.added for r in private.personal_data(df).select("doc_id", private.listed(F.col("added")).alias("added")).collect()}
+    assert {i: found[i] for i in planted} == {i: f"{k}:{len(a)}:{len(a) + len(b)}" for i, (a, b, _, k) in planted.items()}
+    tokens = {r.doc_id: [t.match for t in r.tokens] for r in private._tokens(private.base_spans(df.where("doc_id >= 80"))).select("doc_id", "tokens").collect()}
+    assert tokens[80] == ["7 654321", "1234567 2020", "7654321", "654321", "1234567"] and tokens[81] == [("1 " * 30000)[:-1]]
+
+
 @pytest.mark.parametrize("patterns", [1, 3, 4, 20])
 def test_discovery_keeps_what_many_patterns_vouch_for(spark, patterns):
     rows = [(f"p{a}", f"i{a}-{b}", "phone") for a in range(patterns) for b in range(9)] + [(f"p{a}", "new", None) for a in range(patterns)]

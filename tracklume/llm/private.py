@@ -28,8 +28,13 @@ BASE = {
 }
 _MAYBE = {"email": "@", "ip": ".", "phone": "+"}  # a text without this character has no match
 _OCTET = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})\z"
-#: Tokens that look like an identifier: bounded by white space, with a digit or @ near their beginning.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]{0,20}+[0-9@][^\x20\x09-\x0D]{4,60}+(?![^\x20\x09-\x0D])"
+_ENDS = r"(?=[\"'>\]},;:!?]*+(?:[\x20\x09-\x0D]|\z))"
+#: Tokens that look like an identifier: bounded by white space, with a digit or @ in it.
+TOKEN = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D]++|[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]{4,}+)"
+_NUMBER = r"[0-9][0-9().-]*+(?=[\"'>\]},;:!?]*+(?:[\x20\x09-\x0D]|\z))"
+#: Digits over several tokens, with the separators that the base patterns allow.  Possessive, and it ends before a token that is none of digits, so
+#: that a long run is read once.
+RUN = r"(?<![^\x20\x09-\x0D])[\"'(<\[{+.-]*+" + _NUMBER + r"(?:(?:\x20++[().-]++(?=\x20))*+\x20++[(.-]*+" + _NUMBER + r")++"
 _CONTEXT = 80  # characters before an identifier in which its pattern is looked for
 _BLOCK = 256
 
@@ -117,19 +122,51 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def _tokens(df: DataFrame) -> DataFrame:
-    """Add ``tokens``: identifier-like tokens that no base match overlaps, without the punctuation around them."""
+    """Add ``tokens``: identifier-like tokens and runs of digits that no base match overlaps, without the punctuation around them.
+
+    Of a run that a base match overlaps, the whole tokens before and after the match stay.  The tokens of a run are listed too, as the same
+    number may stand alone elsewhere; the first of them is of kind ``inner``, as its context is that of the run.
+    """
     df = _located(df, "token", TOKEN, F.col("_text").rlike("[0-9@]"))
+    df = _located(df, "run", RUN, F.col("_text").rlike("[0-9]"))
+
+    def trimmed(start: Column, match: Column) -> Column:
+        lead = F.length(F.regexp_extract(match, r"^[\x20\"'(<\[{]*", 0))
+        core = F.regexp_replace(match, r"^[\x20\"'(<\[{]+|[\x20\"')>\]}.,;:!?]+$", "")
+        return F.struct((start + lead).alias("start"), (start + lead + F.length(core)).alias("end"), F.lit("token").alias("kind"), core.alias("match"))
+
+    def overlapped(s: Column) -> Column:
+        return F.struct(s.start.alias("start"), s.end.alias("end"), s.match.alias("match"), F.filter("base", lambda b: (b.start < s.end) & (s.start < b.end)).alias("hits"))
+
+    def between(s: Column) -> Column:
+        begins = F.concat(F.array(s.start), F.transform(s.hits, lambda _, i: F.array_max(F.transform(F.slice(s.hits, F.lit(1), i + 1), lambda b: b.end))))
+        ends = F.concat(F.transform(s.hits, lambda b: b.start), F.array(s.end))
 
-    def trimmed(s: Column) -> Column:
-        lead = F.length(F.regexp_extract(s.match, r"^[\"'(<\[{]*", 0))
-        core = F.regexp_replace(s.match, r"^[\"'(<\[{]+|[\"')>\]}.,;:!?]+$", "")
-        return F.struct((s.start + lead).alias("start"), (s.start + lead + F.length(core)).alias("end"), s.kind, core.alias("match"))
+        def part(begin: Column, i: Column) -> Column:
+            size = F.greatest(F.element_at(ends, i + 1) - begin, F.lit(0))
+            whole = F.substring(s.match, (begin - s.start + 1).cast("int"), size.cast("int"))
+            later = F.when(i > 0, F.regexp_replace(whole, r"^[^\x20]+", "")).otherwise(whole)
+            kept = F.when(i < F.size(s.hits), F.regexp_replace(later, r"[^\x20]+$", "")).otherwise(later)
+            return trimmed(begin + F.length(whole) - F.length(later), kept)
+
+        return F.when(F.size(s.hits) > 0, F.transform(begins, part)).otherwise(F.array(trimmed(s.start, s.match)))
+
+    def alike(s: Column) -> Column:
+        return (F.length(_digits(s.match)) >= 5) | s.match.rlike("@.")
 
     def stays(s: Column) -> Column:
-        alike = (F.length(_digits(s.match)) >= 5) | s.match.contains("@")
-        return alike & ~F.exists(F.col("base"), lambda b: (b.start < s.end) & (s.start < b.end))
+        return alike(s) & ~F.exists(F.col("base"), lambda b: (b.start < s.end) & (s.start < b.end))
 
-    return df.withColumn("tokens", F.filter(F.transform("_token", trimmed), stays)).drop("_token")
+    def named(s: Column) -> Column:
+        inner = F.array_contains("_begins", s.start)
+        return F.struct(s.start.alias("start"), s.end.alias("end"), F.when(inner, "inner").otherwise("token").alias("kind"), s.match.alias("match"))
+
+    none = F.array().cast("array<struct<start:bigint,end:bigint,kind:string,match:string>>")
+    runs = F.filter(F.flatten(F.transform(F.transform("_run", overlapped), between)), lambda s: s.match.contains(" ") & alike(s))
+    df = df.withColumn("_run", F.coalesce(runs, none)).withColumn("_begins", F.transform("_run", lambda s: s.start))
+    single = F.filter(F.transform("_token", lambda s: trimmed(s.start, s.match)), stays)
+    df = df.withColumn("tokens", F.concat("_run", F.coalesce(F.transform(single, named), none)))
+    return df.drop("_token", "_run", "_begins")
 
 
 def _pattern(text: Column, start: Column) -> Column:
@@ -179,7 +216,8 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
     instance = F.lower(F.col("s.match"))
     occurring = stored(
         spans.select("_row", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.match").alias("match"), F.xxhash64(instance).alias("instance"),
-                     F.when(F.col("s.kind") != "token", F.col("s.kind")).alias("kind"), _pattern(F.col("text"), F.col("s.start")).alias("pattern")),
+                     F.when(~F.col("s.kind").isin("token", "inner"), F.col("s.kind")).alias("kind"),
+                    F.when(F.col("s.kind") != "inner", _pattern(F.col("text"), F.col("s.start"))).alias("pattern")),
         "occurring",
     )
     found = _discovered(occurring.select("pattern", "instance", "kind"), rounds, support, trust)
