@@ -265,3 +265,32 @@ def test_no_notice_in_plain_texts(docs, empty):
     assert licenses.license_notices(docs).count() == 0
     assert licenses.license_notices(empty).count() == 0
     assert licenses.license_notices(docs, templates={}).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [
+        ("Released under the BSD License", ["BSD-line"]),
+        ("Released under the Apache License", []),
+        ("Released under the GPL License", []),
+        ("Released under the MIT", ["MIT"]),
+        ("Licensed under CC BY 4.0", ["CC-BY-4.0-line"]),
+        ("Licensed under CC BY-SA 4.0", ["CC-BY-SA-4.0"]),
+        ("Licensed under CC BY-NC-ND 4.0", ["CC-BY-NC-ND-4.0"]),
+        ("Licensed under CC BY-SA 3.0", []),
+        ("This work is licensed under the GNU General Public License, version 2. See section 3", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 2", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 1", []),
+        ("This work is licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]),
+        ("This work is licensed under the GNU Lesser General Public License, version 2.1", []),
+        ("Licensed under the Apache License, Version 1.1", []),
+        ("Licensed under the Apache License 2.0. Build 1.0", ["Apache-2.0"]),
+        ("Licensed under the Apache Software License, Version 2.0", ["Apache-2.0"]),
+        ("Released under the BSD License. Released under the MIT License.", ["BSD-line", "MIT"]),
+        ("Licensed under CC BY 4.0 or licensed under CC BY-NC 4.0", ["CC-BY-4.0-line", "CC-BY-NC-4.0"]),
+        ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", []),
+    ],
+)
+def test_short_notices_need_their_deciding_words(spark, text, names):
+    found = licenses.license_notices(spark.createDataFrame([(1, f"x y. {text}, the of")], "doc_id long, text string")).collect()
+    assert [r.license for r in sorted(found, key=lambda r: r.start)] == names

@@ -51,8 +51,36 @@ TEMPLATES = {
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0",
+    "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0",
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0",
+    "BSD-line": "Released under the BSD License",
+    "GPL-2.0": "This work is licensed under the GNU General Public License, version 2",
+    "LGPL-3.0": "This work is licensed under the GNU Lesser General Public License, version 3",
+    "AGPL-3.0": "This work is licensed under the GNU Affero General Public License, version 3",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
 }
+#: Of short notices, the phrases that decide which license it is: their first and last words must be aligned, without a foreign word between
+#: them; a first word in brackets may be missing.  The notice is looked for around the first word of the first phrase that must be there.
+DECIDING = {
+    "Apache-2.0": ("apache", "license version 2 0"),
+    "MIT": ("mit",),
+    "BSD-line": ("bsd",),
+    "GPL-2.0": ("(gnu) general public license version 2",),
+    "GPL-3.0": ("(gnu) general public license version 3",),
+    "LGPL-3.0": ("lesser general public license version 3",),
+    "AGPL-3.0": ("affero general public license version 3",),
+    "MPL-2.0": ("mozilla", "license v 2 0"),
+    "CC-BY-4.0": ("attribution 4 0",),
+    "CC-BY-4.0-line": ("cc by", "by 4 0"),
+    "CC-BY-NC-4.0": ("cc by nc", "nc 4 0"),
+    "CC-BY-SA-4.0": ("cc by sa", "sa 4 0"),
+    "CC-BY-ND-4.0": ("cc by nd", "nd 4 0"),
+    "CC-BY-NC-SA-4.0": ("cc by nc sa", "sa 4 0"),
+    "CC-BY-NC-ND-4.0": ("cc by nc nd", "nd 4 0"),
+}
 SLACK = 16  # words without any of the template's that a stretch may hold in a row
 
 
@@ -111,12 +139,29 @@ def aligned(template: Sequence[int], text: Sequence[int], at: int = 0, to: int |
     return sorted(out)
 
 
-def license_notices(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = 0.8) -> DataFrame:
+def around(template: Sequence[int], text: Sequence[int], pivot: int, at: int, begin: int, end: int) -> list[tuple[int, int]]:
+    """Aligned places with ``template[pivot]`` at ``text[at]``: the same words as in ``aligned``, each as near to the pivot as it can be."""
+    begin, end = max(begin, at - (SLACK + 1) * pivot), min(end, at + 1 + (SLACK + 1) * (len(template) - pivot))
+    out = [(pivot, at)]
+    for pairs, step in ((aligned(template, text, 0, pivot, begin, at)[::-1], -1), (aligned(template, text, pivot + 1, len(template), at + 1, end), 1)):
+        j = at
+        for i, _ in pairs:
+            last, j = j, j + step
+            while text[j] != template[i]:
+                j += step
+            if abs(j - last) > SLACK:
+                break
+            out.append((i, j))
+    return sorted(out)
+
+
+def license_notices(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = 0.8, deciding: Mapping[str, Sequence[str]] = DECIDING) -> DataFrame:
     """Notices found in ``text``: ``doc_id``, ``license``, ``coverage``, ``matched`` words, ``start`` and ``stop`` (words, exclusive).
 
     Words are runs of ASCII letters, digits and non-ASCII bytes, with A-Z as a-z.  A text is cut into stretches that hold a word of the
     template at least every ``SLACK`` words; each is aligned with it.  A notice is reported from ``coverage`` on,
-    if it also holds one of the words that no other template has (where there are such words).  Of notices that overlap, the one with more matched words stays,
+    if it also holds the ``deciding`` phrases of its template or, for a template without such, one of the words that no other template
+    has (where there are such words).  A phrase must be a part of its template.  Of notices that overlap, the one with more matched words stays,
     then the higher coverage, then the first name.  Null and empty texts hold none; an empty table, or no
     template, gives no row; repeated rows are reported as often as they occur; other columns are not read.
 
@@ -129,7 +174,31 @@ def license_notices(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, c
     holders = Counter(w for ws in listed for w in set(ws))
     own = [{w for w in ws if holders[w] == 1} for ws in listed]
 
+    phrases = []  # per template and phrase: places of its first word, of the first that must be there and of its last word
+    for name, template in zip(names, listed, strict=True):
+        told = list(deciding.get(name, ()))
+        cells, at = word_hashes(pa.array(told, pa.string()), plain=True)
+        parts = [cells[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)]
+        firsts = [next(i for i in range(len(template)) if template[i : i + len(p)] == p) for p in parts]
+        phrases.append([(i, i + x.startswith("("), i + len(p) - 1) for i, x, p in zip(firsts, told, parts, strict=True)])
+
+    def decided(pairs: list[tuple[int, int]], t: int) -> bool:
+        place = dict(pairs)
+        ends = [(a if a in place else first, first, b) for a, first, b in phrases[t]]
+        return all(first in place and b in place and place[b] - place[a] + 1 == sum(a <= i <= b for i in place) for a, first, b in ends)
+
+    def short_notices(text: list[int], t: int) -> Iterator[tuple]:
+        template, pivot, begin = listed[t], phrases[t][0][1], 0
+        for at in [j for j, w in enumerate(text) if w == template[pivot]]:
+            pairs = around(template, text, pivot, at, begin, len(text)) if at >= begin else []
+            if len(pairs) / len(template) >= coverage and decided(pairs, t):
+                begin = pairs[-1][1] + 1
+                yield (names[t], len(pairs) / len(template), len(pairs), pairs[0][1], begin)
+
     def notices(text: list[int], t: int) -> Iterator[tuple]:
+        if phrases[t]:
+            yield from short_notices(text, t)
+            return
         template = listed[t]
         known = set(template)
         hits = [i for i, w in enumerate(text) if w in known]
