@@ -138,6 +138,20 @@ def test_repeated_passages_of_odd_tables(spark, empty):
     assert found == {(None, 25): (0, words), (3, 50): (50, ""), (4, 0): (0, ""), (4, 1): (0, "a")}
 
 
+def test_repeated_passages_of_rows_without_own_id(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(30)) for x in "abcde")
+    rows = [(1, a), (1, a), (2, a), (2, a), (3, f"{b} {b}"), (3, f"{b} {b}"), (None, f"{c} {c}"), (None, d), (None, d), (None, "x"), (4, e), (4, b), (4, f"x {d}"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = [tuple(r) for r in passages.without_repeats(df).collect()]
+    want = [(1, 30, 0, a)] * 2 + [(2, 30, 30, "")] * 2 + [(3, 60, 30, b)] * 2 + [(None, 60, 30, c), (None, 30, 0, d), (None, 30, 0, d), (None, 1, 0, "x")]
+    want += [(4, 30, 0, e), (4, 30, 30, ""), (4, 31, 30, "x"), (4, 0, 0, "")]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    shared = [(None, f"{a} {x}") for x in (b, c, d, e)]
+    left = sorted(r.kept for r in passages.without_repeats(spark.createDataFrame(shared, "doc_id long, text string")).collect())
+    assert sum(x.startswith(a) for x in left) == 1 and sum(r in left for r in (b, c, d, e)) == 3
+
+
 def test_cover_is_a_difference_cover():
     assert {(a - b) % passages.PERIOD for a in passages.COVER for b in passages.COVER} == set(range(passages.PERIOD))
     assert passages.ANCHOR + passages.PERIOD - 1 == passages.WINDOW

@@ -8,6 +8,9 @@ hashed in turn and compared exactly, and a window counts as repeated if its word
 
 Hashes travel in packed arrays, one row per task and target.  A task first settles what repeats among its own texts
 and sends one occurrence of each hash, so that a passage of very many documents reaches a target once per task.
+
+Rows without an id are told apart by a hash of their text, and their places are negative, which puts them first.  A repeated window is
+reported with its hash and removed where a row with that id has it, so that different texts under one id do not lose each other's words.
 """
 
 from __future__ import annotations
@@ -26,7 +29,8 @@ WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 _IN_COVER = np.isin(np.arange(PERIOD), COVER)
-_LOWEST = np.iinfo(np.int64).min
+_SETTLED = -1  # stands for the place of an occurrence that is already reported
+_NO_ID = np.iinfo(np.int32).min  # added to the places of a row without id
 TEXT_BYTES, HASH_BYTES = 4 << 20, 16 << 20  # text per group of documents, and per target of hashes
 
 
@@ -63,40 +67,49 @@ def _target(hashes: np.ndarray, targets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(targets) >> np.uint64(32)).astype(np.int64)
 
 
+def _in_order(hashes: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by hash, then earlier starts first; which have a hash for the first time; which repeat the row before in all (rows that share an id)."""
+    order = np.lexsort((place, doc, place >= 0, hashes))
+    hashes, doc, place = hashes[order], doc[order], place[order]
+    fresh, same = np.ones(len(order), bool), np.zeros(len(order), bool)
+    fresh[1:] = hashes[1:] != hashes[:-1]
+    same[1:] = ~fresh[1:] & (doc[1:] == doc[:-1]) & (place[1:] == place[:-1])
+    return order, fresh, same
+
+
+def _repeated(fresh: np.ndarray, all_but_first: bool) -> np.ndarray:
+    return ~fresh if all_but_first else ~(fresh & np.append(fresh[1:], True))
+
+
 def _dealt(hashes: np.ndarray, doc: np.ndarray, place: np.ndarray, targets: int, all_but_first: bool) -> list[tuple[int, bool, bytes]]:
     """What one task sends: one occurrence of each hash, and (settled) those already known to be repeated.
 
     With ``all_but_first`` an occurrence is repeated if an earlier one exists, else if any other one exists.  The occurrences
-    of a hash that is settled as a whole are sent with place -1: others must see the hash, nobody needs to report it again.
+    of a hash that is settled as a whole are sent as such: others must see the hash, nobody needs to report it again.
+    Rows that share an id and have the hash at the same place are one occurrence: neither starts earlier.
     """
-    order = np.lexsort((place, doc, hashes))
-    sorted_hashes = hashes[order]
-    fresh = np.diff(sorted_hashes, prepend=np.uint64(0)) != 0
-    fresh[:1] = True
+    order, fresh, same = _in_order(hashes, doc, place)
     first = np.zeros(len(hashes), bool)
     first[order[fresh]] = True
     again = np.zeros(len(hashes), bool)
-    alone = fresh & np.append(fresh[1:], True)
-    again[order] = ~fresh if all_but_first else ~alone
+    again[order[~same]] = _repeated(fresh[~same], all_but_first)
     target = _target(hashes, targets)
-    sent = np.where(again, -1, place)
+    sent = np.where(again, _SETTLED, place)
     rows = _rows(target[first], False, hashes[first], doc[first], sent[first])
-    return rows + _rows(target[again], True, None, doc[again], place[again])
+    return rows + _rows(target[again], True, hashes[again] if all_but_first else None, doc[again], place[again])
 
 
 def _compared(table: pa.Table, groups: int, all_but_first: bool) -> list[tuple[int, bool, bytes]]:
     """Repeated occurrences among the rows of one target, packed by group of documents."""
     open_rows = [_unpack(c.as_py(), True) for c, s in zip(table.column("cells"), table.column("settled"), strict=True) if not s.as_py()]
-    done = [_unpack(c.as_py(), False) for c, s in zip(table.column("cells"), table.column("settled"), strict=True) if s.as_py()]
-    docs, places = [d for _, d, _ in done], [p for _, _, p in done]
+    done = [_unpack(c.as_py(), all_but_first) for c, s in zip(table.column("cells"), table.column("settled"), strict=True) if s.as_py()]
+    known, docs, places = [h for h, _, _ in done], [d for _, d, _ in done], [p for _, _, p in done]
     if open_rows:
         hashes, doc, place = (np.concatenate([r[i] for r in open_rows]) for i in range(3))
-        order = np.lexsort((place, doc, hashes)) if all_but_first else np.argsort(hashes)
-        hashes, doc, place = hashes[order], doc[order], place[order]
-        fresh = np.ones(len(hashes), bool)
-        fresh[1:] = hashes[1:] != hashes[:-1]
-        again = ~fresh if all_but_first else ~(fresh & np.append(fresh[1:], True))
-        again &= place >= 0
+        order, fresh, same = _in_order(hashes, doc, place)
+        again = order[~same][_repeated(fresh[~same], all_but_first)]
+        again = again[place[again] != _SETTLED]
+        known.append(hashes[again])
         docs.append(doc[again])
         places.append(place[again])
     if not docs:
@@ -104,23 +117,30 @@ def _compared(table: pa.Table, groups: int, all_but_first: bool) -> list[tuple[i
     doc, place = np.concatenate(docs), np.concatenate(places)
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
-    return _rows(doc % groups, True, None, doc, place)
+    return _rows(doc % groups, True, np.concatenate(known)[order] if all_but_first else None, doc, place)
 
 
-def _marked(docs: np.ndarray, before: np.ndarray, table: pa.Table, low: int, high: int, last: int) -> np.ndarray:
+def _marked(docs: np.ndarray, before: np.ndarray, table: pa.Table, low: int, high: int, last: int, windows: np.ndarray | None = None) -> np.ndarray:
     """Words of a block from ``place - low`` up to ``place + high`` (exclusive) around the listed places of their documents.
 
-    ``last``: so many words at the end of a document are never marked.
+    ``last``: so many words at the end of a document are never marked.  ``windows``: hashes of the block's windows; a place counts
+    only where the row has the listed hash.  Without them rows that share an id are marked alike.
     """
     marks = np.zeros(int(before[-1]) + 1, np.int64)
-    found = [_unpack(c.as_py(), False) for c in table.column("cells")]
+    found = [_unpack(c.as_py(), windows is not None) for c in table.column("cells")]
     if found and len(docs):
         doc, place = np.concatenate([d for _, d, _ in found]), np.concatenate([p for _, _, p in found])
+        place = np.where(place < 0, place - _NO_ID, place)
         order = np.argsort(docs, kind="stable")
         at, to = (np.searchsorted(docs[order], doc, side) for side in ("left", "right"))
         times = to - at  # 0: the document is in another block; over 1: rows that share an id
         row = order[np.repeat(at - np.cumsum(times) + times, times) + np.arange(times.sum())]
         place = np.repeat(place, times)
+        if windows is not None:
+            inside = place + WINDOW <= np.diff(before)[row]
+            at = np.where(inside, before[:-1][row] + place, 0)
+            here = inside & (windows[at] == np.repeat(np.concatenate([h for h, _, _ in found]), times)) if len(windows) else inside
+            place, row = place[here], row[here]
         begin = np.maximum(place - low, 0)
         end = np.minimum(place + high, np.diff(before)[row] - last)
         some = begin < end
@@ -147,12 +167,15 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """Every text without its repeated passages: ``doc_id``, ``n_words``, ``n_removed``, ``kept`` (the words that stay).
 
     Words are runs of bytes other than ASCII white space, unchanged.  A word goes if a window over it has the words of a
-    window that starts earlier: in a smaller ``doc_id``, or earlier in the same document.  Null text has no words.  Ids are taken to be
-    unique: rows that share an id (or have none, which comes first) count as one document.  An empty table gives no row; other columns are not read.
+    window that starts earlier: in a smaller ``doc_id``, or earlier in the same document.  Null text has no words.  Rows that share an id
+    have one order: a start is earlier by its place alone, and equal starts leave each other's words, so a repeated row loses nothing to its copy.
+    Rows without an id are documents of their own, which come first, in the order of a hash of their text; equal ones are repeated rows.
+    An empty table gives no row; other columns are not read.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    key = F.coalesce("doc_id", F.lit(int(_LOWEST)))
+    key = F.coalesce("doc_id", F.xxhash64("text"))
+    offset = F.when(F.col("doc_id").isNull(), F.lit(int(_NO_ID))).otherwise(F.lit(0))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     groups = max(tasks, total // TEXT_BYTES) | 1
@@ -168,8 +191,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 place = np.arange(len(words)) - np.repeat(before[:-1], count)
                 size = np.repeat(count, count)
                 here = np.flatnonzero(_IN_COVER[place % PERIOD] & (place + ANCHOR <= size) & (size >= WINDOW))
-                ids = np.repeat(block.column("doc_id").to_numpy(), count)
-                parts.append((window_hashes(words, ANCHOR)[here], ids[here], place[here]))
+                ids, offsets = (np.repeat(block.column(c).to_numpy(), count)[here] for c in ("doc_id", "offset"))
+                parts.append((window_hashes(words, ANCHOR)[here], ids, place[here] + offsets))
             if parts:
                 yield _batch(_dealt(*(np.concatenate([p[i] for p in parts]) for i in range(3)), targets, False))
 
@@ -189,7 +212,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     ids = block.column("key").to_numpy()
                     begins = np.flatnonzero(_marked(ids, before, repeated, PERIOD - 1, 1, WINDOW - 1))
                     row = np.searchsorted(before, begins, side="right") - 1
-                    parts.append((window_hashes(words, WINDOW)[begins], ids[row], begins - before[row]))
+                    offsets = block.column("offset").to_numpy()
+                    parts.append((window_hashes(words, WINDOW)[begins], ids[row], begins - before[row] + offsets[row]))
             if parts:
                 rows = _dealt(*(np.concatenate([p[i] for p in parts]) for i in range(3)), targets, True)
         return pa.Table.from_batches([_batch(rows)])
@@ -200,7 +224,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             for block in blocks(batch, "text"):
                 data, offsets = flat(block.column("text"))
                 starts, ends, before = word_bounds(data, offsets)
-                removed = _marked(block.column("key").to_numpy(), before, repeated, 0, WINDOW, 0)
+                hashed = window_hashes(word_hashes(block.column("text"))[0], WINDOW) if repeated.num_rows else np.zeros(0, np.uint64)
+                removed = _marked(block.column("key").to_numpy(), before, repeated, 0, WINDOW, 0, hashed)
                 lost = np.concatenate([[0], np.cumsum(removed)])[before]
                 kept = _kept_texts(data, offsets, starts, ends, before, removed)
                 out.append(pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(np.diff(before)), pa.array(np.diff(lost)), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"]))
@@ -209,8 +234,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             return pa.Table.from_batches([], schema=pa.schema(kinds))
         return pa.Table.from_batches(out)
 
-    texts = docs.select(F.pmod(key, F.lit(groups)).cast("int").alias("target"), key.alias("key"), "doc_id", "text").groupBy("target")
-    found = docs.select(key.alias("doc_id"), "text").mapInArrow(anchors, schema)
+    texts = docs.select(F.pmod(key, F.lit(groups)).cast("int").alias("target"), key.alias("key"), offset.alias("offset"), "doc_id", "text").groupBy("target")
+    found = docs.select(key.alias("doc_id"), offset.alias("offset"), "text").mapInArrow(anchors, schema)
     repeated = found.groupBy("target").applyInArrow(compared(False), schema)
     opened = texts.cogroup(repeated.groupBy("target")).applyInArrow(windows, schema)
     later = opened.groupBy("target").applyInArrow(compared(True), schema)
