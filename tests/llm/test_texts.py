@@ -58,6 +58,17 @@ def test_near_duplicates_in_small_tasks(docs, rows, monkeypatch):
     assert found_components(neardup.near_duplicates(docs, size=4)) == components(rows, 4)
 
 
+def test_pairs_that_meet_in_one_hot_key_only(spark):
+    # a family larger than KEY_ROWS that shares one band; partners agree in three of the four registers of every other band
+    n = neardup.KEY_ROWS + 808
+    regs = np.random.default_rng(6).integers(1, 1 << 16, (n, 32, 4)).astype(np.uint16)
+    regs[1::2, 1:, :3] = regs[::2, 1:, :3]
+    regs[:, 0] = 7
+    reps = spark.createDataFrame([(i, 1000, r.tobytes()) for i, r in enumerate(regs)], "rep long, n_shingles long, regs binary")
+    found = {r.rep: r.label for r in neardup.likely_groups(reps, 80).collect()}
+    assert found == {i: i // 2 * 2 for i in range(n)}
+
+
 def test_near_duplicates_of_odd_tables(spark, empty):
     assert neardup.near_duplicates(empty).count() == 0
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (8, "A B c d e f"), (9, None), (10, " ")]

@@ -24,7 +24,7 @@ from tracklume.llm.text import blocks, mix, window_hashes, word_hashes
 from tracklume.sources.tables import stored
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
-KEY_ROWS = 8192  # documents of one key that a task compares at once; a larger key is split
+KEY_ROWS = 8192  # documents of one key that a task compares at once; a larger key is compared block by block
 GROUP_SHINGLES = 8_000_000  # shingles of one group that a task compares at once; a larger group is compared block by block
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 
@@ -190,12 +190,17 @@ def likely_groups(reps: DataFrame, percent: int) -> DataFrame:
     keyed = reps.select("rep", "regs").mapInArrow(bands, "key long, rep long")
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     tied = keyed.join(shared, "key").join(reps.select("rep", "n_shingles", "regs"), "rep")
-    salt = F.pmod(F.xxhash64("rep", "key"), F.ceil(F.col("size") / KEY_ROWS))
-    tied = tied.select("key", F.when(F.col("size") > KEY_ROWS, salt).otherwise(F.lit(0)).alias("salt"), "size", "rep", "n_shingles", "regs")
+    # a larger key is compared block by block, each part with each other part: exact, but quadratic in the parts of the key
+    parts = F.when(F.col("size") > KEY_ROWS, F.ceil(2 * F.col("size") / KEY_ROWS)).otherwise(F.lit(1)).cast("long")
+    part = F.pmod(F.xxhash64("rep", "key"), F.col("parts"))
+    blocks_of = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))
+    placed = tied.withColumn("parts", parts).withColumn("part", part).select("key", F.explode(blocks_of).alias("at"), "rep", "n_shingles", "regs")
+    placed = placed.select("key", "at.i", "at.j", "rep", "n_shingles", "regs")
+    keys = ["key", "i", "j"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
-        for table in _runs(batches, ["key", "salt"]):
+        for table in _runs(batches, keys):
             if table.num_rows > 1:
                 regs = np.frombuffer(b"".join(table.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
                 edges += _key_forest(table.column("rep").to_numpy(), table.column("n_shingles").to_numpy(), regs, least)
@@ -205,17 +210,8 @@ def likely_groups(reps: DataFrame, percent: int) -> DataFrame:
         if edges:
             yield _pair_batches(edges)
 
-    def sorted_by_key(rows: DataFrame) -> DataFrame:
-        return rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "rep").select("key", "salt", "rep", "n_shingles", "regs")
-
-    within = sorted_by_key(tied).mapInArrow(compare, "a long, b long")
-    # Parts of a split key meet through its documents with the smallest hashes, as many of each part as fill one task
-    # with all parts; a pair that only this key shows across two parts is found through its other bands.
-    split = tied.where(F.col("size") > KEY_ROWS)
-    share = F.greatest(F.lit(1), F.floor(F.lit(KEY_ROWS) / F.ceil(F.col("size") / KEY_ROWS)))
-    meeting = split.where(F.pmod(F.xxhash64("rep"), F.lit(KEY_ROWS)) < share).withColumn("salt", F.lit(-1).cast("long"))
-    across = sorted_by_key(meeting).mapInArrow(compare, "a long, b long")
-    groups = smallest_of_component(within.union(across))
+    links = placed.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(compare, "a long, b long")
+    groups = smallest_of_component(links)
     return groups.select(F.col("node").alias("rep"), "label").union(groups.select(F.col("label").alias("rep"), "label").distinct())
 
 
