@@ -10,15 +10,13 @@ from tracklume.llm import language, mixing, neardup, packing, private
 from tracklume.sources.tables import stored
 
 TOKENIZER = "byte_bpe_50k.json"
-#: a text that is this far from every language is rejected; ordinary short or mixed texts score far above it
-LEAST_SCORE = 0.2
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language stay; a missing label is filled in."""
     model = language.fit(docs)
-    found = language.predicted(docs, model)
-    known = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
+    found = language.predicted(docs, model, reject=True)
+    known = found.where(F.col("lang_pred") != language.UNDETERMINED)
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from tracklume.llm import fingerprint, language, licenses, neardup, passages
 from tracklume.llm.linked import smallest_of_component
 
@@ -251,6 +252,23 @@ def test_language_matches_the_kernel_form(docs, rows):
     assert not flags.any()
 
 
+def test_junk_and_unlearned_languages_are_rejected(spark):
+    from conftest import SCHEMA, WORDS, passage
+
+    rng = random.Random(8)
+    rows = [(i, passage(rng, 60, lang), lang, "s0", 0) for i, lang in enumerate(list(WORDS) * 30)]
+    short = ["the of and", "der die und", "de la que el en los", "with", *[passage(rng, n, lang) for n in (2, 4, 8, 30) for lang in WORDS]]
+    mixed = [f"{passage(rng, 20, 'en')} {passage(rng, 20, 'de')}"]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    strange = ["".join(rng.choice(letters) for _ in range(300)), " ".join("".join(rng.choice(letters) for _ in range(7)) for _ in range(50))]
+    strange += ["".join(rng.choice("0123456789abcdef") for _ in range(600)), "".join(rng.choice(letters + letters.upper() + "0123456789+/") for _ in range(600))]
+    strange += ["съешь же ещё этих мягких французских булок да выпей чаю " * 3, "pchnąć w tę łódź jeża lub ośm skrzyń fig zażółć gęślą jaźń każdy człowiek rodzi się wolny i równy pod względem swej godności"]
+    texts = [(1000 + i, text, None, "s0", 0) for i, text in enumerate(short + mixed + strange)]
+    docs = spark.createDataFrame(rows + texts, SCHEMA)
+    found = {r.doc_id for r in corpus_pipeline.keep_known_languages(spark, docs, "").collect()}
+    assert found == {r[0] for r in rows} | {1000 + i for i in range(len(short + mixed))}
+
+
 def lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

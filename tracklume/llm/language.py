@@ -6,6 +6,10 @@ that occur in both: the blended-spectrum presence kernel ``k(x, y) = |X and Y| /
 ``K = Z L Z'``, a text maps to ``k(x, landmarks) Z L^(-1/2)`` (Nystroem), and one ridge regression per language against the
 rest is solved there.  The kernel of a text with the landmarks is linear in its presence vector, so landmarks, map and regression
 weights are multiplied once into one matrix (bins x languages); scoring a batch is a sparse presence matrix times it.
+
+The scores of all languages sum to 1 for any text, so they cannot tell a text that is in none.  That is told by the share of its n-grams
+that the sample has: the bound lies halfway between the median share of a sample text in the other texts, and its median share in the texts of the
+other languages, which stand for one that was not learned.
 """
 
 from __future__ import annotations
@@ -64,6 +68,29 @@ class Model:
     languages: list[str]
     weights: np.ndarray  # bins x languages
     bias: np.ndarray
+    known: np.ndarray | None = None  # bins that the sample has
+    least: float = 0.0  # share of known bins from which a text is in a learned language
+
+
+def _known(sets: list[np.ndarray], languages: list[str]) -> tuple[np.ndarray, float]:
+    """Bins of the sample and the least share of them; texts that occur again count once."""
+    once = {s.tobytes(): (s, lang) for s, lang in zip(sets, languages, strict=True)}.values()
+    count = np.zeros(1 << BITS, np.int32)
+    by_language = {lang: np.zeros(1 << BITS, np.int32) for _, lang in once}
+    for s, lang in once:
+        count[s] += 1
+        by_language[lang][s] += 1
+    own = float(np.median([(count[s] > 1).mean() for s, _ in once]))
+    other = float(np.median([(count[s] > by_language[lang][s]).mean() for s, lang in once])) if len(by_language) > 1 else 0.0
+    return count > 0, (own + other) / 2
+
+
+def _strange(share: np.ndarray, size: np.ndarray, least: float) -> np.ndarray:
+    """Shares more than five standard errors below the bound, taken wide: at a share of one half, and each letter is in n-grams of all lengths.
+
+    Little text is little evidence: below some 30 letters nothing is strange.
+    """
+    return share < least - 5 * np.sqrt(0.25 * LONGEST / size)
 
 
 def fit(
@@ -131,13 +158,14 @@ def fit(
     beta = np.linalg.solve(centred.T @ centred + ridge * np.eye(centred.shape[1]), centred.T @ (target - level))
     weights = np.zeros((1 << BITS, len(languages)), np.float32)
     weights[used] = matrix @ (nystroem @ beta).astype(np.float32)
-    return Model(languages, weights, (level - centre @ beta).astype(np.float32))
+    return Model(languages, weights, (level - centre @ beta).astype(np.float32), *_known([s for s, _, _ in rows_in], [lang for _, lang, _ in rows_in]))
 
 
-def predicted(docs: DataFrame, model: Model) -> DataFrame:
+def predicted(docs: DataFrame, model: Model, reject: bool = False) -> DataFrame:
     """All columns of ``docs`` with ``lang_pred`` and ``score`` (the regression value of that language, within 0 to 1).
 
-    Null text, and text without a letter, is ``und`` with score 0; so is everything under a model without languages.
+    Null text, and text without a letter, is ``und`` with score 0; so is everything under a model without languages and, with ``reject``,
+    a text whose n-grams are too strange to the sample for any of its languages.
     Columns of these two names are replaced.
     """
     spark = docs.sparkSession
@@ -145,11 +173,11 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     # other columns travel in one struct: any name will do
     others = [c for c in docs.columns if c != "text"]
     docs, names = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("others"), "text"), docs.columns
-    shared = spark.sparkContext.broadcast((model.languages, model.weights, model.bias))  # 2 ** BITS x languages: does not grow with the data
+    shared = spark.sparkContext.broadcast((model.languages, model.weights, model.bias, model.known if reject else None, model.least))  # 2 ** BITS x languages: does not grow with the data
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        languages, weights, bias = shared.value
+        languages, weights, bias, known, least = shared.value
         flags = np.zeros(1 << BITS, bool)
         for batch in batches:
             for block in blocks(batch, "text"):
@@ -164,6 +192,10 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
                     best = values.argmax(axis=1)
                     names[some] = np.asarray(languages, object)[best]
                     score[some] = np.clip(values[np.arange(len(some)), best], 0, 1)
+                    if known is not None:
+                        share = np.add.reduceat(known[np.concatenate([sets[i] for i in some])], starts, dtype=np.int64) / size[some]
+                        strange = some[_strange(share, size[some], least)]
+                        names[strange], score[strange] = UNDETERMINED, 0
                 yield pa.RecordBatch.from_arrays([*block.columns, pa.array(names, pa.string()), pa.array(score)], [*block.schema.names, "lang_pred", "score"])
 
     place = {c: f"others.c{i}" for i, c in enumerate(others)}
