@@ -79,3 +79,28 @@ def test_otsu_with_many_bins_matches_all_pairs(spark):
 def test_weights_reach_the_resolution_of_the_hash():
     assert 1 - stats.POISSON_1[-1] <= 2.0**-32 < 1 - stats.POISSON_1[-2]
     assert abs(stats.POISSON_1[1] - 2 / math.e) < 1e-12
+
+
+def test_blocks_of_frames_have_one_schema(spark):
+    rows = track(spark, [0, 3, 31, 32, 65526]).unionByName(track(spark, [5]).withColumn("frame", F.lit(None).cast("int")))
+    found = {r.first_frame: r.D for r in panel.wide_blocks(rows, ["D"], without=[("D", 0)]).collect()}
+    assert set(found) == {0, 32, 65504} and all(len(d) == 32 for d in found.values())
+    assert {f + i: v for f, d in found.items() for i, v in enumerate(d) if v is not None} == {f: float(f) for f in (3, 31, 32, 65526)}
+
+
+def test_p_values_of_students_t():
+    # closed forms: 1 and 2 degrees of freedom; and the finite series for more
+    assert abs(stats.student_p(1.0, 1) - 0.5) < 1e-14
+    assert abs(stats.student_p(2.0, 2) - (1 - 2 / math.sqrt(6))) < 1e-14
+    for n in range(4, 40):
+        v = n - 2
+        for t in (0.01, 0.662122, 1.7, 12.0):
+            cos2 = v / (v + t * t)
+            sine = t / math.sqrt(v + t * t)
+            total, term = 0.0, (math.sqrt(cos2) if v % 2 else 1.0)
+            for k in range(1 + v % 2, v, 2):
+                total += term
+                term *= cos2 * k / (k + 1)
+            inside = sine * total if v % 2 == 0 else 2 / math.pi * (math.atan(t / math.sqrt(v)) + sine * total)
+            assert abs(stats.student_p(t, v) - (1 - inside)) < 1e-12, (n, t)
+    assert abs(stats.student_p(1.959963984540054, 1e8) - 0.05) < 1e-8

@@ -77,12 +77,30 @@ def melted(df: DataFrame, keys: Sequence[str], values: Sequence[str], name: str
 
 
 def frames_of(df: DataFrame) -> list[int]:
-    """All frames that occur, ascending: the columns of a wide table."""
+    """All frames that occur, ascending: a list for :func:`wide_by_frame` where tracks are known to be short."""
     return sorted(r[0] for r in df.select(FRAME).where(F.col(FRAME).isNotNull()).distinct().collect())
 
 
+def wide_blocks(df: DataFrame, values: Sequence[str], width: int = 32, without: Sequence[tuple[str, int]] = ()) -> DataFrame:
+    """One row per track and block of ``width`` frames, each measure an array with one place per frame of the block.
+
+    The schema does not depend on the data, however long the tracks are; frames that a track does not have are NULL, and so are the
+    (measure, frame) places of ``without``.  Blocks without any row of the track are left out.  ``first_frame`` is the
+    first frame of the block.  Rows without a frame belong to no block.
+    """
+    offset = F.pmod(F.col(FRAME), F.lit(width))
+    rows = df.where(F.col(FRAME).isNotNull()).withColumn("first_frame", (F.col(FRAME) - offset).cast("int"))
+    for value, frame in without:
+        rows = rows.withColumn(value, F.when(F.col(FRAME) != frame, F.col(value)))
+    places = [F.array(*[F.max(F.when(offset == i, F.col(v))) for i in range(width)]).alias(v) for v in values]
+    return rows.groupBy(*TRACK, "first_frame").agg(*places)
+
+
 def wide_by_frame(df: DataFrame, values: Sequence[str], frames: Sequence[int], drop: Sequence[str] = ()) -> DataFrame:
-    """One column per (measure, frame) for a list of frames (see :func:`frames_of`); ``drop`` removes columns of the result."""
+    """One column per (measure, frame) for a stated list of frames; ``drop`` removes columns of the result.
+
+    Meant for few frames; :func:`wide_blocks` takes tracks of any length.
+    """
     wide = df.groupBy(*TRACK).pivot(FRAME, list(frames)).agg(*[F.max(v).alias(v) for v in values])
     if len(values) == 1:
         wide = wide.select(*TRACK, *[F.col(f"`{f}`").alias(f"{f}_{values[0]}") for f in frames])

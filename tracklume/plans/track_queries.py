@@ -313,11 +313,11 @@ def paired_fit(spark, sf_dir):
         rank() OVER (ORDER BY c_TD) + (count(*) OVER (PARTITION BY c_TD) - 1) / 2.0 AS rb
  FROM ({_siblings_sql("ifCentr", "c_", "p_")}) p) q), s AS (SELECT *, n - 2 AS v, rho * sqrt((n - 2) / (1 - rho * rho)) AS t FROM r)
  SELECT rho, n, t, 1 - 2 * (SELECT sum(abs(t) / 4000 * exp(lgamma((v + 1) / 2.0) - lgamma(v / 2.0)) / sqrt(v * pi())
-  * pow(1 + pow(abs(t) * (i + 0.5) / 4000, 2) / v, -(v + 1) / 2.0)) FROM range(4000) u(i)) AS p FROM s""", "rho t p", "n", p=3)
+  * pow(1 + pow(abs(t) * (i + 0.5) / 4000, 2) / v, -(v + 1) / 2.0)) FROM range(4000) u(i)) AS p FROM s""", "rho t p", "n")
 def spearman_pairs(spark, sf_dir):
     """The twin's p-value is the integral of Student's density."""
     pairs = _siblings(spark, sf_dir, "ifCentr", "c_", "p_")
-    return rounded(ST.spearman(pairs, "p_TD", "c_TD", "file").select("rho", "n", "t", "p"), p=3)
+    return rounded(ST.spearman(pairs, "p_TD", "c_TD", "file").select("rho", "n", "t", "p"))
 
 
 @query("corr_matrix", f"""WITH f AS ({FEATURES_CTE} SELECT {", ".join(f"CASE WHEN isnan(CAST({c} AS DOUBLE)) THEN NULL ELSE CAST({c} AS DOUBLE) END AS {c}" for c in COLUMNS)} FROM features)
@@ -440,26 +440,34 @@ def panel_dense(spark, sf_dir):
     return P.dense(P.modal_tracks(rows), values).withColumn("series", _text("series"))
 
 
-def _wide(names: Sequence[str], rows: str, keys: str) -> str:
-    """Twin of a wide table: the columns come from the data, (measure, frame) by (measure, frame)."""
-    long = " UNION ALL ".join(f"SELECT {keys}, '{m}_' || frame AS k, {settled(m)} AS v FROM {rows}" for m in names)
-    return f"PIVOT (SELECT * FROM ({long}) u WHERE k <> 'D_0') ON k USING max(v) GROUP BY {keys}"
+def _wide(names: Sequence[str], rows: str, keys: str, width: int = 32) -> str:
+    """Twin of a table of blocks of frames: each place of a block by its own filter, an absent one as '-'."""
 
+    def places(measure: str) -> str:
+        value = "CASE WHEN frame <> 0 THEN D END" if measure == "D" else measure
+        each = [f"coalesce(CAST(CAST(round(max({value}) FILTER (frame % {width} = {i}) * 1e6) AS BIGINT) AS VARCHAR), '-')" for i in range(width)]
+        return f"concat_ws(',', {', '.join(each)}) AS {measure}"
 
-@registered("wide_by_frame", f"{WITH_TRACKS} SELECT * FROM ({_wide(('D', 'Dist'), 'tracks', 'file, particle')})")
+    return f"""SELECT {keys}, CAST(frame // {width} * {width} AS INT) AS first_frame, {", ".join(map(places, names))}
+ FROM {rows} GROUP BY ALL"""
+
+
+@registered("wide_by_frame", f"{WITH_TRACKS} {_wide(('D', 'Dist'), 'tracks', 'file, particle')}")
 def wide_by_frame(spark, sf_dir):
-    rows = observations(spark, sf_dir)
-    return rounded(P.wide_by_frame(rows, ["D", "Dist"], P.frames_of(rows), ["D_0"]))
+    """The first difference of a track does not exist, so ``D`` has no place at frame 0."""
+    blocks = P.wide_blocks(observations(spark, sf_dir), ["D", "Dist"], without=[("D", 0)])
+    return blocks.withColumns({c: _text(c) for c in ("D", "Dist")})
 
 
 @registered("features_join_wide", f"""{FEATURES_CTE}, long AS (SELECT f.file, f.particle, f.serum, {settled("f.MD")} AS MD,
  {settled("f.Pers")} AS Pers, t.frame, t.Dist FROM features f JOIN tracks t ON f.file = t.file AND f.particle = t.particle WHERE f.n >= {SHORT})
- SELECT * FROM ({_wide(('Dist',), 'long', 'file, particle, serum, MD, Pers')})""")
+ {_wide(('Dist',), 'long', 'file, particle, serum, MD, Pers')}""")
 def features_join_wide(spark, sf_dir):
     rows = observations(spark, sf_dir)
     short = K.short_tracks(rows, SHORT)
     tracks = FT.track_table(rows).select(*TRACK, "serum", "MD", "Pers").join(short, TRACK, "left_anti")
-    return rounded(tracks.join(P.wide_by_frame(rows, ["Dist"], P.frames_of(rows)), TRACK, "left"))
+    wide = P.wide_blocks(rows, ["Dist"]).withColumn("Dist", _text("Dist"))
+    return rounded(tracks.join(wide, TRACK))
 
 
 @query("scale_by_series", f"""{WITH_TRACKS} SELECT file, particle, frame,
