@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tracklume.llm import fingerprint, language, licenses, neardup, passages
+from tracklume.llm import fingerprint, language, licenses, neardup, passages, text
 from tracklume.llm.linked import smallest_of_component
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -337,3 +338,24 @@ def test_no_notice_in_plain_texts(docs, empty):
 def test_short_notices_need_their_deciding_words(spark, text, names):
     found = licenses.license_notices(spark.createDataFrame([(1, f"x y. {text}, the of")], "doc_id long, text string")).collect()
     assert [r.license for r in sorted(found, key=lambda r: r.start)] == names
+
+
+def twins_of_a_weak_hash(k):
+    """A string over two letters and its complement that collide under any polynomial hash modulo 2 ** 64 once it is long enough."""
+    bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_have_no_polynomial_structure(spark):
+    pairs = [twins_of_a_weak_hash(k) for k in range(3, 13)]
+    for pair in pairs:
+        assert len(set(text.word_hashes(pa.array(pair))[0].tolist())) == 2
+    one, two = twins_of_a_weak_hash(10)
+    docs = spark.createDataFrame([(0, one), (1, two), (2, one)], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, size=4, percent=80).collect()}
+    assert found == {0: 0, 1: 1, 2: 0}
+    # 20 words of two kinds in the same two orders, and two words that collide under a polynomial
+    filler = " ".join(f"w{i}" for i in range(19))
+    docs = spark.createDataFrame([(0, f"{one} {filler}"), (1, f"{two} {filler}"), (2, f"{one} {filler}")], "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in passages.without_repeats(docs).collect()}
+    assert found == {0: 0, 1: 0, 2: 20}

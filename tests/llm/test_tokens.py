@@ -103,3 +103,20 @@ def test_crc_is_of_little_endian_words(spark):
     assert row.c == zlib.crc32(ids)
 
 
+
+
+def test_equal_hashes_are_not_taken_for_equal_pieces(monkeypatch):
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, starts, values: np.asarray(data[starts] % 3, np.uint64))
+    encode = tokens.Encoder(PATH)
+    texts = ["one two three, four", "two\none", None, "", "six of one and three of four", "one two three, four"]
+    for _ in range(2):  # with nothing kept, and with wrong pieces kept
+        ids, counts = encode.encode(pa.array(texts))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_long_strings_of_two_letters_keep_their_ids():
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    encode = tokens.Encoder(PATH)
+    ids, counts = encode.encode(pa.array(texts))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]

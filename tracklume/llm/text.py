@@ -20,7 +20,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = {"table": np.ones(1, np.uint64)}
+_PLACES = {"table": np.zeros(0, np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -45,13 +45,15 @@ PLAIN_VALUES = np.where(MARKS, np.uint64(0), LOWER_VALUES)
 ALL_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
 
 
-def powers(n: int) -> np.ndarray:
-    table = _POWERS["table"]
-    if len(table) < n:
-        longer = np.full(max(n, 2 * len(table)), _MULTIPLIER, np.uint64)
-        longer[0] = 1
-        table = _POWERS["table"] = np.multiply.accumulate(longer)
-    return table
+def place_values(n: int) -> np.ndarray:
+    """A fixed pseudo-random odd number for each place of a span.
+
+    A hash is the sum of values times the numbers of their places.  Powers of one number would not do: modulo
+    ``2 ** 64`` they have a structure by which some long strings of two letters collide whatever the values are.
+    """
+    if len(_PLACES["table"]) < n:
+        _PLACES["table"] = mix(np.arange(1, max(n, 1024, 2 * len(_PLACES["table"])) + 1, dtype=np.uint64) * _MULTIPLIER + np.uint64(7)) | np.uint64(1)
+    return _PLACES["table"]
 
 
 def return_memory() -> None:
@@ -115,7 +117,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, values: np.ndarray, limit:
         begin, end = bounds[at], bounds[to]
         here = bounds[at:to] - begin
         inner = np.arange(end - begin) - np.repeat(here, np.diff(bounds[at : to + 1]))
-        terms = values[data[begin:end]] * powers(int(inner.max()) + 1)[inner]
+        terms = values[data[begin:end]] * place_values(int(inner.max()) + 1)[inner]
         out[at:to] = np.add.reduceat(terms, here)
         at = to
     return mix(out)
@@ -139,7 +141,6 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    for i in range(size):
-        out *= _MULTIPLIER
-        out += words[i : i + n]
+    for i, value in enumerate(place_values(size)[:size]):
+        out += words[i : i + n] * value
     return mix(out)
