@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklume.llm import fingerprint, language, licenses, mixing, nearest, neardup, packing, passages, private, token_files
+from tracklume.llm import fingerprint, language, licenses, mixing, nearest, neardup, packing, passages, private, token_files, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -131,3 +131,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(private.listed(F.col("base")), 256).alias("base_sha256"), private.listed(F.concat("base", "added")).alias("spans")
     )
+
+
+@registered("op13_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=4, scale=256)
