@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tracklume.llm import whitening
+from tracklume.llm import negatives, whitening
 
 VECTORS = "vec_id long, embedding array<float>, label int, x int, d int, n int"
 
@@ -122,3 +123,77 @@ def test_whitening_of_odd_tables(spark):
     assert [(r.vec_id, r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in alone] == [(1, 1, 0, None, None, None)] * 6
     large = whitening.whitened(vector_table(spark, [(i, [1e16 * i, 1.0], 1) for i in range(4)])).collect()
     assert {r.deviation for r in large} == {None} and max(r.identity_error for r in large) < 1e-9
+
+
+def mined_by_hand(rows, every=5, positives=5, most=3):
+    """All products of every anchor, sorted."""
+    usable = [
+        (key, label, [int(np.floor(256 * np.float64(c))) for c in v]) for key, v, label in rows
+        if key is not None and label is not None and v is not None and all(c is not None and np.isfinite(c) and abs(c) < 1e16 for c in v)
+    ]
+    out = []
+    for anchor in sorted({key for key, _, _ in usable if key % every == 0}):
+        _, label, x = min(r for r in usable if r[0] == anchor)
+        others = [(-sum(a * b for a, b in zip(x, y, strict=True)), key, lab) for key, lab, y in usable if key != anchor and len(y) == len(x)]
+        near = sorted((s, key) for s, key, lab in others if lab == label)[:positives]
+        for negated, positive in near:
+            p = -negated
+            inside = sorted((s, key) for s, key, lab in others if lab != label and 50 * p <= -100 * s <= 95 * p)[:most]
+            out += [(anchor, positive, i + 1, key, p, -s) for i, (s, key) in enumerate(inside)]
+    return sorted(out)
+
+
+def mined(df, every=5):
+    found = negatives.hard_negatives(df, F.col("vec_id") % every == 0)
+    return sorted((r.anchor_id, r.positive_id, r.rank, r.negative_id, r.positive_score, r.negative_score) for r in found.collect())
+
+
+@pytest.mark.parametrize("shard", [None, 40])
+def test_hard_negatives(spark, monkeypatch, shard):
+    if shard:
+        for name, value in (("SHARD_ROWS", shard), ("BLOCK_ROWS", 3), ("BOXES", 2)):
+            monkeypatch.setattr(negatives, name, value)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(4, 6))
+    rows = [(i, (centres[i % 4] / 3 + rng.normal(size=6) / 9).astype(np.float32).tolist(), int(i % 3)) for i in range(240)]
+    rows += [(240 + i, rows[i % 7][1], i % 2) for i in range(40)]  # ties
+    rows += rows[3:5] * 2 + [(500, rows[0][1], 0)] * 60  # repeated rows
+    rows += [(600, [0.5, 0.25], 1), (605, [0.5, 0.5], 1), (606, [0.25, 0.25], 0)]
+    rows += [(key, v, label) for key, v, label in ODD if key != 1004] + [(700, rows[1][1], None)]
+    found = mined(vector_table(spark, rows, 6))
+    assert found == mined_by_hand(rows) and len(found) > 300
+
+
+def test_hard_negatives_of_odd_tables(spark):
+    assert mined(vector_table(spark, ODD[:4])) == []
+    same = [(i, [0.5, 0.5], i % 2) for i in range(20)]  # nothing lies below 0.95 of a positive
+    assert mined(vector_table(spark, same)) == mined_by_hand(same) == []
+    zero = [(i, [0.0, 0.0], i % 2) for i in range(20)]
+    assert mined(vector_table(spark, zero)) == mined_by_hand(zero) != []
+
+
+def test_tree_prunes_and_loses_nothing():
+    rng = np.random.default_rng(4)
+    centres = rng.integers(-200, 200, (12, 8))
+    x = centres[rng.integers(0, 12, 900)] + rng.integers(-9, 9, (900, 8))
+    labels, ids = rng.integers(0, 3, 900), np.arange(900)
+    tree = negatives.Tree(x, labels, leaf=16)
+    assert sorted(np.concatenate(tree.rows).tolist()) == ids.tolist()
+    seen = []
+    plain = negatives._products
+    queries, own, label = x[:40], ids[:40], labels[:40]
+    scores = plain(queries, x)
+    bottom, top = negatives.bounds(queries, tree.low, tree.high)
+    for node, rows in enumerate(tree.rows):
+        assert (scores[:, rows] >= bottom[:, node : node + 1]).all() and (scores[:, rows] <= top[:, node : node + 1]).all()
+    lows, highs = np.sort(rng.integers(-60000, 200000, (40, 2, 2)), axis=2).transpose(2, 0, 1)
+    try:
+        negatives._products = lambda a, b: seen.append(len(b)) or plain(a, b)
+        found = {(i, j): best for i, j, best in negatives.search(tree, ids, own, label, queries, lows, highs, False, 3)}
+    finally:
+        negatives._products = plain
+    for i in range(40):
+        for j in range(2):
+            want = sorted(((int(s), -key) for key, s in enumerate(scores[i].tolist()) if labels[key] != label[i] and lows[i, j] <= s <= highs[i, j]), reverse=True)[:3]
+            assert found.get((i, j), []) == want
+    assert sum(seen) < 0.5 * 40 * 900  # most rows are never scored
