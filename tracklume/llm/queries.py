@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklume.llm import fingerprint, language, licenses, mixing, nearest, negatives, neardup, packing, passages, private, token_files, whitening
+from tracklume.llm import fingerprint, language, licenses, mixing, nearest, negatives, neardup, packing, passages, private, quality, token_files, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -165,6 +165,16 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+@registered("op12_quality")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from the labels whose hash remainder is not 2, scores all documents."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", held_out)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    model = quality.fit(docs.where(~F.col("held_out")), labels)
+    return quality.scored(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
 @registered("op13_whitening")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=4, scale=256)
