@@ -179,8 +179,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
     ids = held.select("doc_id").join(known, F.col("doc_id") == F.col("_id"), "left_semi").distinct()  # labelled ids of these documents; no text moves
     there = stored(known.join(ids, F.col("_id") == F.col("doc_id"), "left_semi"), "labelled")
     totals = {r["_good"]: r.n for r in there.groupBy("_good").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not totals:
+        return trained([], np.zeros(0, bool), (0, 0))
     key = F.xxhash64("_id")
-    chosen = there.withColumn("_rank", F.row_number().over(Window.partitionBy("_good").orderBy(key, "_id"))).where(F.col("_rank") <= per_class)
+    # only ids that may be among the first of their class are ranked; by their hash, so three times as many are enough
+    rate = F.create_map(*[F.lit(x) for good, n in totals.items() for x in (good, min(1.0, 3 * per_class / n))])
+    likely = there.where(F.pmod(key, F.lit(1 << 30)) < F.element_at(rate, F.col("_good")) * (1 << 30))
+    chosen = likely.withColumn("_rank", F.row_number().over(Window.partitionBy("_good").orderBy(F.pmod(key, F.lit(1 << 30)), key, "_id"))).where(F.col("_rank") <= per_class)
     sample = held.join(F.broadcast(stored(chosen, "chosen")), F.col("doc_id") == F.col("_id"))  # at most 2 * per_class ids
     once = sample.groupBy("_id", "_good", "_rank").agg(F.min("text").alias("text"))
 
@@ -202,8 +207,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> Model:
 
     sets = once.select("text", "_good", "_rank").mapInArrow(present, "good boolean, rank int, bins binary").withColumn("all", F.lit(0))
     fitted = sets.groupBy("all").applyInArrow(learn, "scaled binary, squares binary, bias double, slope double, level double").collect()
-    if not fitted:
-        return trained([], np.zeros(0, bool), (0, 0))
     row = fitted[0]
     tables = [None if b is None else np.frombuffer(bytes(b), np.float32) for b in (row.scaled, row.squares)]
     return Model(*tables, row.bias, row.slope, row.level)
