@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +16,7 @@ from tracklume.operators import ridge as RI
 from tracklume.operators import series as SE
 from tracklume.operators import similarity as SI
 from tracklume.operators import stats as ST
+from tracklume.operators import wide_ridge as WR
 from tracklume.plans.inputs import observations, table
 from tracklume.plans.model_queries import model_table
 from tracklume.plans.registry import registered, twin
@@ -58,20 +60,23 @@ def knn_series(spark, sf_dir):
 CHANNELS = ("D", "A", "Dist")
 
 
+def channel_columns(spark: SparkSession, sf_dir: str, values: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """Series of the tracks of modal length, an array per channel, with class and the fold of their file; a missing step counts as 0."""
+    rows = observations(spark, sf_dir)
+    panel = P.modal_tracks(rows.select(*TRACK, "frame", *values, "serum_conc_percent"))
+    filled = [F.transform(v, lambda x: F.coalesce(x, F.lit(0.0))).alias(v) for v in values]
+    nested = P.nested(panel, list(values)).select(
+        F.when(F.col("chunk") > 0, F.concat_ws("#", "fp", "chunk")).otherwise(F.col("fp")).alias("id"), F.col("group").alias("file"), F.col("class").alias("label"), *filled
+    )
+    return FO.with_fold(nested, FO.stratified_group_folds(rows).drop("repeat_no"), ("id",)).drop("file")
+
+
 def channel_series(spark: SparkSession, sf_dir: str, values: tuple[str, ...] = CHANNELS) -> DataFrame:
     """Series of several channels of the tracks of modal length: the channels one after the other in one array.
 
-    The Euclidean distance of such arrays is that of the multi-channel series.  A missing step of a channel counts as 0.
+    The Euclidean distance of such arrays is that of the multi-channel series.
     """
-    rows = observations(spark, sf_dir)
-    panel = P.modal_tracks(rows.select(*TRACK, "frame", *values, "serum_conc_percent"))
-    filled = [F.transform(v, lambda x: F.coalesce(x, F.lit(0.0))) for v in values]
-    nested = P.nested(panel, list(values)).select(
-        F.when(F.col("chunk") > 0, F.concat_ws("#", "fp", "chunk")).otherwise(F.col("fp")).alias("id"),
-        F.col("group").alias("file"), F.col("class").alias("label"), F.concat(*filled).alias("vec"),
-    )
-    folded = FO.with_fold(nested, FO.stratified_group_folds(rows).drop("repeat_no"), ("id",)).drop("file")
-    return stored(folded, "series")
+    return stored(channel_columns(spark, sf_dir, values).select("id", "label", F.concat(*values).alias("vec"), "fold"), "series")
 
 
 _CHANNEL_SQL = _SERIES_SQL.replace("list(Dist ORDER BY frame) AS vec", " || ".join(f"list(coalesce({c}, 0.0) ORDER BY frame)" for c in CHANNELS) + " AS vec")
@@ -109,11 +114,56 @@ def rocket_features(spark, sf_dir):
     return rounded(rows.select("id", "fold", "label", F.posexplode("vec").alias("position", "value")))
 
 
+def _stated_kernels() -> list[SE.Kernel]:
+    """Four kernels that do not depend on the data: one, two and three channels, with and without dilation and padding."""
+
+    def weights(channels: int, size: int) -> np.ndarray:
+        grid = np.add.outer(np.arange(channels) * 3, np.arange(size) * 5) % 7 - 2.5
+        return grid - grid.mean(axis=1, keepdims=True)
+
+    shapes = [((0,), 7, 0.1, 1, 0), ((0, 2), 7, -0.2, 2, 6), ((0, 1, 2), 9, 0.0, 1, 4), ((1,), 3, 0.3, 4, 4)]
+    return [SE.Kernel(weights(len(c), n), np.asarray(c), bias, dilation, padding) for c, n, bias, dilation, padding in shapes]
+
+
+_KERNELS = _stated_kernels()
+_TAPS_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS kernel, '{CHANNELS[c]}' AS channel, {j * kernel.dilation - kernel.padding} AS shift, {float(kernel.weights[i, j])!r}::DOUBLE AS weight"
+    for k, kernel in enumerate(_KERNELS) for i, c in enumerate(kernel.channels) for j in range(kernel.weights.shape[1])
+)
+_SHAPES_SQL = " UNION ALL ".join(
+    f"SELECT {k} AS kernel, {kernel.bias!r}::DOUBLE AS bias, {2 * kernel.padding - (kernel.weights.shape[1] - 1) * kernel.dilation} AS longer" for k, kernel in enumerate(_KERNELS)
+)
+_LONG_SQL = " UNION ALL ".join(
+    f"SELECT CAST(file AS VARCHAR) || '__' || particle AS id, '{c}' AS channel, coalesce({c}, 0.0) AS v, row_number() OVER (PARTITION BY file, particle ORDER BY frame) - 1 AS t FROM m" for c in CHANNELS
+)
+
+
+@registered("rocket_kernels", twin(f"""WITH m AS ({MODAL_SQL} SELECT * FROM modal), rows AS ({_LONG_SQL}),
+ z AS (SELECT id, channel, t, (v - avg(v) OVER w) / CASE WHEN stddev_pop(v) OVER w = 0 THEN 1 ELSE stddev_pop(v) OVER w END AS z FROM rows WINDOW w AS (PARTITION BY id, channel)),
+ taps AS ({_TAPS_SQL}), shapes AS ({_SHAPES_SQL}), lengths AS (SELECT id, max(t) + 1 AS n FROM z GROUP BY id),
+ grid AS (SELECT id, kernel, bias, unnest(range(n + longer)) AS t FROM lengths, shapes),
+ response AS (SELECT g.id, g.kernel, g.t, g.bias + coalesce(sum(weight * z), 0) AS r FROM grid g JOIN taps USING (kernel)
+  LEFT JOIN z ON z.id = g.id AND z.channel = taps.channel AND z.t = g.t + shift GROUP BY g.id, g.kernel, g.t, g.bias)
+ SELECT id, CAST(kernel AS INT) AS kernel, max(r) AS largest, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END) AS positive FROM response GROUP BY id, kernel""",
+                              ["id", "kernel"], ["largest", "positive"]))
+def rocket_kernels(spark, sf_dir):
+    """Responses of four stated kernels on three channels."""
+    found = SE.kernel_features(channel_columns(spark, sf_dir), CHANNELS, _KERNELS)
+    places = F.array(*[F.struct(F.lit(k).alias("kernel"), F.get("vec", F.lit(2 * k)).alias("largest"), F.get("vec", F.lit(2 * k + 1)).alias("positive")) for k in range(len(_KERNELS))])
+    return rounded(found.select("id", F.inline(places)))
+
+
 @registered("rocket_ridge")
-def rocket_ridge(spark, sf_dir):
-    rows = stored(kernel_table(spark, sf_dir), "kernels")
-    scored = RI.ridge_out_of_fold(rows, 80, {"kernels": list(range(80))})
-    return rounded(R.fold_metrics(scored, ["set", "fold", "penalty"]))
+def rocket_ridge(spark, sf_dir, count: int = 10_000):
+    """Out-of-fold scores of 10,000 random kernels (20,000 columns) on all channels."""
+    rows = stored(channel_columns(spark, sf_dir), "channels")
+    length = rows.agg(F.max(F.size(CHANNELS[0]))).first()[0]
+    if length is None:
+        kernels = []
+    else:
+        kernels = SE.random_kernels(count, length, len(CHANNELS))
+    features = stored(SE.kernel_features(rows, CHANNELS, kernels), "kernels")
+    return rounded(R.fold_metrics(WR.out_of_fold(features), ["fold", "penalty"]))
 
 
 _SWEEP = ["dxy", "angle", "dangle", "darea", "dperimeter", "x", "y", "min_dist_pxs", "area_micron", "perimeter_au"]
