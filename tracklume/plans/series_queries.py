@@ -90,14 +90,42 @@ def knn_channels(spark, sf_dir):
     return SI.voted(SI.nearest_euclid(channel_series(spark, sf_dir)))
 
 
-@registered("dtw_pairs")
+# One step of the recurrence per round: cell (i, j) of the cost table from the last m + 1 cells, row by row.
+_DTW_SQL = _SERIES_SQL.replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "list(Dist ORDER BY frame) AS vec", ", ".join(f"list(coalesce({c}, 0.0) ORDER BY frame) AS {c}" for c in CHANNELS)
+).split(" pairs AS (")[0] + f""" c AS (SELECT a.id, a.fold, a.label, b.id AS neighbour, b.label AS neighbour_label, len(a.D) AS m, {", ".join(f"a.{c} AS a_{c}, b.{c} AS b_{c}" for c in CHANNELS)}
+  FROM s a JOIN s b ON a.fold <> b.fold),
+ step AS (SELECT id, neighbour, m, CAST(0 AS BIGINT) AS t, list_transform(range(m + 1), lambda x: CAST('inf' AS DOUBLE)) AS last FROM c
+  UNION ALL SELECT s.id, s.neighbour, s.m, t + 1, list_append(last[2:], {" + ".join(f"abs(a_{c}[t // s.m + 1] - b_{c}[t % s.m + 1])" for c in CHANNELS)}
+   + CASE WHEN t = 0 THEN 0.0 ELSE least(CASE WHEN t % s.m > 0 THEN last[s.m + 1] ELSE CAST('inf' AS DOUBLE) END, last[2],
+     CASE WHEN t % s.m > 0 THEN last[1] ELSE CAST('inf' AS DOUBLE) END) END)
+  FROM step s JOIN c ON s.id = c.id AND s.neighbour = c.neighbour WHERE t < s.m * s.m),
+ found AS (SELECT c.id, c.fold, c.label, c.neighbour, c.neighbour_label, last[c.m + 1] AS distance FROM step JOIN c ON step.id = c.id AND step.neighbour = c.neighbour WHERE t = c.m * c.m),
+ near AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, neighbour) AS INT) AS place FROM found)"""
+
+
+@registered("dtw_pairs", twin(f"{_DTW_SQL} SELECT * FROM near WHERE place <= 5", ["id", "fold", "label", "place", "neighbour", "neighbour_label"], ["distance"]))
 def dtw_pairs(spark, sf_dir):
-    return rounded(SI.nearest_warped(series(spark, sf_dir)))
+    """Neighbours under warping of three channels."""
+    return rounded(SI.nearest_warped(channel_series(spark, sf_dir), channels=len(CHANNELS)))
 
 
-@registered("knn_dtw")
+@registered("knn_dtw", twin(f"""{_DTW_SQL}, votes AS (SELECT id, fold, label AS truth, neighbour_label AS pred, row_number() OVER (PARTITION BY id ORDER BY count(*) DESC, neighbour_label) AS rn
+ FROM near WHERE place <= 5 GROUP BY id, fold, label, neighbour_label),
+ n AS (SELECT fold, count(*) FILTER (truth = 1 AND pred = 1) AS tp, count(*) FILTER (truth = 0 AND pred = 1) AS fp, count(*) FILTER (truth = 1 AND pred = 0) AS fn,
+  count(*) FILTER (truth = 0 AND pred = 0) AS tn FROM votes WHERE rn = 1 GROUP BY fold)
+ SELECT fold, (tp + tn) / nullif(tp + fp + fn + tn, 0) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+  coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM n""", ["fold"], ["accuracy", "precision", "recall", "f1"]))
 def knn_dtw(spark, sf_dir):
-    return rounded(R.fold_metrics(SI.voted(SI.nearest_warped(series(spark, sf_dir))), ["fold"]))
+    found = SI.nearest_warped(channel_series(spark, sf_dir), channels=len(CHANNELS))
+    return rounded(R.fold_metrics(SI.voted(found), ["fold"]))
+
+
+@registered("knn_manhattan", twin(f"""{_CHANNEL_SQL.replace("list_distance(a.vec, b.vec)", "list_sum(list_transform(range(1, len(a.vec) + 1), lambda i: abs(a.vec[i] - b.vec[i])))")}
+ SELECT * FROM near WHERE place <= 5""", ["id", "fold", "label", "place", "neighbour", "neighbour_label"], ["distance"]))
+def knn_manhattan(spark, sf_dir):
+    """Neighbours under a metric given by the caller."""
+    return rounded(SI.nearest_by(channel_series(spark, sf_dir), SI.manhattan))
 
 
 def kernel_table(spark: SparkSession, sf_dir: str, count: int = 40) -> DataFrame:
