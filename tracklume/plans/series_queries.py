@@ -20,7 +20,7 @@ from tracklume.operators import wide_ridge as WR
 from tracklume.plans.inputs import observations, table
 from tracklume.plans.model_queries import model_table
 from tracklume.plans.registry import registered, twin
-from tracklume.plans.track_queries import FOLDS_SQL, LENGTHS_SQL, MODAL_SQL
+from tracklume.plans.track_queries import FOLDS_SQL, LENGTHS_SQL, MODAL_SQL, STEPS_SQL, WITH_TRACKS
 from tracklume.schema import FEATURE_SETS, PCA_FEATURES, TRACK
 from tracklume.sources.tables import stored
 
@@ -219,6 +219,50 @@ def fset_sweep(spark, sf_dir):
     ))
 
 
+_STEP_NAMES = {"x_micron": "x", "y_micron": "y", "Dist": "min_dist_pxs", "A": "area_micron", "P": "perimeter_au"}
+_STEP_SQL = {new: old for old, new in _STEP_NAMES.items()} | {"dxy": "sqrt(dx * dx + dy * dy)"}
+_SETS_SQL = " UNION ALL ".join(
+    f"SELECT id, file, label, '{name}' AS fset, {' || '.join(members)} AS vec FROM arrays" for name, members in FEATURE_SETS.items()
+)
+
+
+@registered("panel_sweep", twin(f"""{STEPS_SQL}, steps_ AS (SELECT file, particle, frame, serum_conc_percent, {", ".join(f"{_STEP_SQL.get(c, c)} AS {c}" for c in _SWEEP)}
+  FROM turns WHERE pos > 2), sized AS (SELECT *, count(frame) OVER (PARTITION BY file, particle) AS nframes FROM steps_),
+ best AS (SELECT nframes FROM sized GROUP BY nframes ORDER BY count(*) DESC, nframes LIMIT 1),
+ scaled AS (SELECT file, particle, frame, serum_conc_percent, {", ".join(f"coalesce(({c} - avg({c}) OVER t) / nullif(stddev_pop({c}) OVER t, 0), 0.0) AS {c}" for c in _SWEEP)}
+  FROM sized JOIN best ON sized.nframes = best.nframes WINDOW t AS (PARTITION BY file, particle)),
+ arrays AS (SELECT CAST(file AS VARCHAR) || '__' || particle AS id, file, CAST(trunc(max(serum_conc_percent) / 10) AS INT) AS label,
+  {", ".join(f"list({c} ORDER BY frame) AS {c}" for c in _SWEEP)} FROM scaled GROUP BY file, particle), sets AS ({_SETS_SQL}), {FOLDS_SQL.replace(WITH_TRACKS, "")},
+ s AS (SELECT sets.*, folds.fold, folds.repeat_no FROM sets JOIN folds ON sets.file = folds.file),
+ pairs AS (SELECT a.fset, a.repeat_no, a.id, a.fold, a.label, b.id AS neighbour, b.label AS neighbour_label, list_distance(a.vec, b.vec) AS distance
+  FROM s a JOIN s b ON a.fset = b.fset AND a.repeat_no = b.repeat_no AND a.fold <> b.fold),
+ near AS (SELECT *, row_number() OVER (PARTITION BY fset, repeat_no, id ORDER BY distance, neighbour) AS place FROM pairs),
+ votes AS (SELECT fset, repeat_no, id, fold, label AS truth, neighbour_label AS pred, row_number() OVER (PARTITION BY fset, repeat_no, id ORDER BY count(*) DESC, neighbour_label) AS rn
+  FROM near WHERE place <= 5 GROUP BY fset, repeat_no, id, fold, label, neighbour_label),
+ n AS (SELECT fset, repeat_no, fold, count(*) FILTER (truth = 1 AND pred = 1) AS tp, count(*) FILTER (truth = 0 AND pred = 1) AS fp, count(*) FILTER (truth = 1 AND pred = 0) AS fn,
+  count(*) FILTER (truth = 0 AND pred = 0) AS tn FROM votes WHERE rn = 1 GROUP BY fset, repeat_no, fold)
+ SELECT fset, repeat_no, fold, (tp + tn) / nullif(tp + fp + fn + tn, 0) AS accuracy, coalesce(tp / nullif(tp + fp, 0), 0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0) AS recall,
+  coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM n""", ["fset", "repeat_no", "fold"], ["accuracy", "precision", "recall", "f1"]))
+def panel_sweep(spark, sf_dir):
+    """Scores of a neighbour classifier on the step series of every feature set, in every repeat and fold: one search for all sets and repeats.
+
+    A channel is scaled within its series; the distance of a set is that of its channels together.
+    """
+    rows = observations(spark, sf_dir)
+    steps = P.modal_tracks(K.dynamics(rows).withColumnsRenamed(_STEP_NAMES).select(*TRACK, "frame", "serum_conc_percent", *_SWEEP))
+    scaled = P.scale_by_series(steps, _SWEEP)
+    filled = scaled.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in _SWEEP})
+    nested = P.nested(filled, _SWEEP)
+    sets = F.array(*[F.struct(F.lit(name).alias("fset"), F.concat(*members).alias("vec")) for name, members in FEATURE_SETS.items()])
+    name = F.when(F.col("chunk") > 0, F.concat_ws("#", "fp", "chunk")).otherwise(F.col("fp"))
+    folded = FO.with_fold(
+        nested.select(name.alias("id"), F.col("group").alias("file"), F.col("class").alias("label"), *_SWEEP), FO.stratified_group_folds(rows, repeats=2), ("id",)
+    )
+    samples = stored(folded.select("id", "label", "fold", "repeat_no", F.inline(sets)), "sets")
+    by = ["fset", "repeat_no"]
+    return rounded(R.fold_metrics(SI.voted(SI.nearest_by(samples, SI.euclid, by=by), by), [*by, "fold"]))
+
+
 _INTERVAL_SQL = f"""{LENGTHS_SQL}, spans AS (SELECT file, particle, min(frame) AS f0, max(frame) AS f1 FROM tracks GROUP BY file, particle)
  SELECT t.file, t.particle, CAST((frame - f0) * 3 // (f1 - f0 + 1) AS INT) AS interval_no, count(*) AS n, avg(Dist) AS Dist_mean,
  stddev_samp(Dist) AS Dist_std, regr_slope(Dist, frame) AS Dist_slope, avg(D) AS D_mean, stddev_samp(D) AS D_std,
