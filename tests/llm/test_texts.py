@@ -340,6 +340,33 @@ def test_short_notices_need_their_deciding_words(spark, text, names):
     assert [r.license for r in sorted(found, key=lambda r: r.start)] == names
 
 
+@pytest.mark.parametrize("name", sorted(licenses.TEMPLATES))
+def test_scattered_words_are_no_notice(spark, name):
+    """All words of a notice in order, with foreign words between, in a very long text; and the notice itself behind them."""
+    rng = random.Random(3)
+    words = licenses.TEMPLATES[name].split(" ")
+    spread = " ".join(f"{w} " + " ".join(f"z{rng.randrange(99)}" for _ in range(rng.randrange(10, 16))) for w in words)
+    texts = [spread, " ".join([spread] * 20), f"{spread} {licenses.TEMPLATES[name]} {spread}"]
+    found = licenses.license_notices(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.license) for r in found] == [(2, name)]
+    assert found[0].matched >= 0.5 * (found[0].stop - found[0].start)
+
+
+def test_densest_run_by_hand():
+    rng = random.Random(4)
+    for _ in range(300):
+        places = sorted(rng.sample(range(40), rng.randrange(1, 16)))
+        pairs = list(enumerate(places))
+        found = licenses.densest(pairs)
+
+        def score(run):
+            return 2 * len(run) - (run[-1][1] - run[0][1] + 1)
+
+        assert score(found) == max(score(pairs[a:b]) for a in range(len(pairs)) for b in range(a + 1, len(pairs) + 1))
+        inside = [(a, b) for a, b in licenses.dense_stretches(places) if places[a] <= found[0][1] and found[-1][1] <= places[b - 1]]
+        assert len(inside) == 1 or max(found[i + 1][1] - found[i][1] for i in range(len(found) - 1)) > licenses.SLACK
+
+
 def twins_of_a_weak_hash(k):
     """A string over two letters and its complement that collide under any polynomial hash modulo 2 ** 64 once it is long enough."""
     bits = [bin(i).count("1") % 2 for i in range(1 << k)]

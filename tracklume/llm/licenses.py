@@ -139,6 +139,36 @@ def aligned(template: Sequence[int], text: Sequence[int], at: int = 0, to: int |
     return sorted(out)
 
 
+def dense_stretches(hits: Sequence[int]) -> list[tuple[int, int]]:
+    """Ranges of ``hits`` (places of template words in a text) that may hold a dense run of them.
+
+    A hit counts one up, a word between two hits one down.  A range ends where the count is used up or a gap is longer than ``SLACK``: no run of hits in which half of
+    the words are hits reaches over such a place.
+    """
+    out, begin, count = [], 0, 1
+    for i in range(1, len(hits)):
+        gap = hits[i] - hits[i - 1] - 1
+        count += 1 - gap
+        if gap >= SLACK or count <= 0:
+            out.append((begin, i))
+            begin, count = i, 1
+    return [*out, (begin, len(hits))] if hits else []
+
+
+def densest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The run of aligned places with the most aligned words over foreign words between them: at least half of its words are aligned."""
+    best, score, begin, count = (0, 0), 0, 0, 0
+    for i, (_, j) in enumerate(pairs):
+        foreign = j - pairs[i - 1][1] - 1 if i else 0
+        if count - foreign <= 0:
+            begin, count = i, 1
+        else:
+            count += 1 - foreign
+        if count > score:
+            best, score = (begin, i + 1), count
+    return pairs[best[0] : best[1]]
+
+
 def around(template: Sequence[int], text: Sequence[int], pivot: int, at: int, begin: int, end: int) -> list[tuple[int, int]]:
     """Aligned places with ``template[pivot]`` at ``text[at]``: the same words as in ``aligned``, each as near to the pivot as it can be."""
     begin, end = max(begin, at - (SLACK + 1) * pivot), min(end, at + 1 + (SLACK + 1) * (len(template) - pivot))
@@ -158,9 +188,9 @@ def around(template: Sequence[int], text: Sequence[int], pivot: int, at: int, be
 def license_notices(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, coverage: float = 0.8, deciding: Mapping[str, Sequence[str]] = DECIDING) -> DataFrame:
     """Notices found in ``text``: ``doc_id``, ``license``, ``coverage``, ``matched`` words, ``start`` and ``stop`` (words, exclusive).
 
-    Words are runs of ASCII letters, digits and non-ASCII bytes, with A-Z as a-z.  A text is cut into stretches that hold a word of the
-    template at least every ``SLACK`` words; each is aligned with it.  A notice is reported from ``coverage`` on,
-    if it also holds the ``deciding`` phrases of its template or, for a template without such, one of the words that no other template
+    Words are runs of ASCII letters, digits and non-ASCII bytes, with A-Z as a-z.  A text is cut into stretches that may hold a
+    dense run of the template's words, with one at least every ``SLACK`` words; each is aligned with it.  A notice is the run of aligned words with the most of them over the
+    foreign words between, so at least half of its words are the template's, however long the text is.  It is reported from ``coverage`` on, if it also holds the ``deciding`` phrases of its template or, for a template without such, one of the words that no other template
     has (where there are such words).  A phrase must be a part of its template.  Of notices that overlap, the one with more matched words stays,
     then the higher coverage, then the first name.  Null and empty texts hold none; an empty table, or no
     template, gives no row; repeated rows are reported as often as they occur; other columns are not read.
@@ -190,7 +220,7 @@ def license_notices(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, c
     def short_notices(text: list[int], t: int) -> Iterator[tuple]:
         template, pivot, begin = listed[t], phrases[t][0][1], 0
         for at in [j for j, w in enumerate(text) if w == template[pivot]]:
-            pairs = around(template, text, pivot, at, begin, len(text)) if at >= begin else []
+            pairs = densest(around(template, text, pivot, at, begin, len(text))) if at >= begin else []
             if len(pairs) / len(template) >= coverage and decided(pairs, t):
                 begin = pairs[-1][1] + 1
                 yield (names[t], len(pairs) / len(template), len(pairs), pairs[0][1], begin)
@@ -202,12 +232,11 @@ def license_notices(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, c
         template = listed[t]
         known = set(template)
         hits = [i for i, w in enumerate(text) if w in known]
-        cuts = [0, *[i for i in range(1, len(hits)) if hits[i] - hits[i - 1] > SLACK], len(hits)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        for a, b in dense_stretches(hits):
             begin, end = hits[a], hits[b - 1] + 1
             while begin < end:  # a stretch may hold the notice more than once
-                pairs = aligned(template, text, begin=begin, end=end)
-                # the aligned part without far-off words at its ends
+                pairs = densest(aligned(template, text, begin=begin, end=end))
+                # and without far-off words at its ends
                 while len(pairs) > 1 and pairs[-1][1] - pairs[-2][1] > SLACK:
                     pairs.pop()
                 while len(pairs) > 1 and pairs[1][1] - pairs[0][1] > SLACK:
