@@ -20,17 +20,32 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return known.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
+def with_row_keys(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a key per row: the id where it is the only row with that id, a new number below all ids elsewhere."""
+    repeated = stored(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(key)).where((F.col(key) > 1) | F.col("doc_id").isNull()).select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return docs.withColumn(key, F.col("doc_id"))
+    least = docs.agg(F.least(F.min("doc_id"), F.lit(0))).first()[0] or 0
+    alone = docs.where(F.col("doc_id").isNotNull()).join(repeated, "doc_id", "left_anti").withColumn(key, F.col("doc_id"))
+    ids = repeated.select(F.col("doc_id").alias(key))
+    shared = docs.join(ids, docs.doc_id.eqNullSafe(ids[key]), "left_semi")
+    # stored, so that a number stays with its row
+    numbered = stored(shared.withColumn(key, F.lit(least - 1) - F.monotonically_increasing_id()), "numbered")
+    return alone.select(*docs.columns, key).unionByName(numbered)
+
+
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8.  Rows without an id stay."""
-    found = stored(neardup.near_duplicates(docs, size=5, percent=80).where("doc_id is not null").select("doc_id", "kept"), "kept")
+    """One row of each group of near-duplicates stays: five-word shingles, similarity 0.8.
+
+    Rows are compared, not ids: of different texts under one id, or without an id, none is lost.  A null text, or one without a word, is like no other and stays; an
+    empty table stays empty.  Of equal texts the row with the smallest id stays; very long texts are compared whole.
+    """
+    key = next(f"row{i}" for i in range(len(docs.columns) + 1) if f"row{i}" not in docs.columns)
+    keyed = with_row_keys(docs, key)
+    found = neardup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), size=5, percent=80)
     # copies are far fewer than documents: leaving them out moves less than looking the kept ones up
-    copies = stored(found.where("not kept").select("doc_id").distinct(), "copies")
-    kept = docs.join(copies, "doc_id", "left_anti")
-    ids = found.where("kept")
-    if ids.count() != ids.distinct().count():  # rows that share an id
-        whole = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-        kept = whole.unionByName(kept.where("doc_id is null"))
-    return kept.select(*docs.columns)
+    copies = stored(found.where("not kept").select(F.col("doc_id").alias(key)), "copies")
+    return keyed.join(copies, key, "left_anti").select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
