@@ -232,3 +232,14 @@ def test_pipeline(spark, rows, tmp_path):
     assert {r.doc_id for r in packed} == set(steps["mixing"])
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.start, r.length, bytes(r.ids)) for r in whole) == sorted((r.doc_id, r.start, r.length, bytes(r.ids)) for r in packed)
+
+
+def test_no_text_is_lost_where_ids_repeat(spark, empty):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcde")
+    near = a.replace("a11", "x")  # 7 of 9 shingles of a
+    rows = [(5, a), (5, b), (3, a), (9, c), (9, d), (None, e), (None, e), (None, c + " y"), (7, near), (8, None), (8, None), (8, ""), (1, "one two"), (1, "one two")]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, row0 int").repartition(3)
+    kept = [r.text for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
+    assert sorted(t for t in kept if t) == sorted([a, b, kept[kept.index(c)] if c in kept else c + " y", d, e, near, "one two"])
+    assert kept.count(None) == 2 and kept.count("") == 1
+    assert corpus_pipeline.keep_one_of_each_group(spark, empty, "").count() == 0
