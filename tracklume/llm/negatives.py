@@ -14,6 +14,7 @@ may hold something better.  A shard's tree is built once per task that holds the
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,7 +26,7 @@ from tracklume.llm.whitening import integer_vector
 from tracklume.sources.tables import stored
 
 SHARD_ROWS, LEAF_ROWS, FANOUT, BLOCK_ROWS, BOXES = 16_384, 128, 8, 1024, 512
-#: rows that the cuts of the tiles are taken from, and slices per coordinate
+#: rows that the cuts of the tiles are taken from, and most slices per coordinate
 SAMPLE_ROWS, SLICES = 16_384, 16
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 
@@ -162,6 +163,7 @@ def _tile(rows: DataFrame) -> DataFrame:
     """
     sized = rows.withColumn("d", F.size("x"))
     n = sized.count()
+    slices = min(SLICES, max(1, math.ceil((n / SHARD_ROWS) ** 0.5)))  # a tile has about the rows of a shard
     key = F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 20))
     sample = sized.where(key < max(1, min(1 << 20, SAMPLE_ROWS * (1 << 20) // max(n, 1)))).select("d", "x")
 
@@ -172,12 +174,11 @@ def _tile(rows: DataFrame) -> DataFrame:
         first, second = [], []
         if len(along) == 2:
             x = x[np.argsort(x[:, along[0]], kind="stable")]
-            slices = np.array_split(x, SLICES)
-            first = [int(s[0, along[0]]) for s in slices[1:] if len(s)]
+            first = [int(s[0, along[0]]) for s in np.array_split(x, slices)[1:] if len(s)]
             bins = np.searchsorted(first, x[:, along[0]], side="right")
-            for b in range(SLICES):
+            for b in range(slices):
                 inner = np.sort(x[bins == b, along[1]])
-                second.append([int(s[0]) for s in np.array_split(inner, SLICES)[1:] if len(s)])
+                second.append([int(s[0]) for s in np.array_split(inner, slices)[1:] if len(s)])
         row = {"d": [d], "along": [along], "first": [first], "second": [second]}
         types = [("d", pa.int32()), ("along", pa.list_(pa.int32())), ("first", pa.list_(pa.int64())), ("second", pa.list_(pa.list_(pa.int64())))]
         return pa.Table.from_pydict(row, schema=pa.schema(types))
@@ -192,7 +193,7 @@ def _tile(rows: DataFrame) -> DataFrame:
 
     placed = sized.join(found, "d", "left")  # a row per vector length; lengths outside the sample are one tile
     slice_ = place(F.col("first"), coordinate(0))
-    tile = slice_ * SLICES + place(F.get("second", slice_), coordinate(1))
+    tile = slice_ * slices + place(F.get("second", slice_), coordinate(1))
     return placed.withColumn("tile", F.when(F.size("along") == 2, F.coalesce(tile, F.lit(0))).otherwise(0)).drop("along", "first", "second")
 
 
