@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tracklume.llm.whitening import integer_vector
 from tracklume.sources.tables import stored
 
-SHARD_ROWS, LEAF_ROWS, FANOUT, BLOCK_ROWS, BOXES = 16_384, 128, 8, 1024, 512
+SHARD_ROWS, LEAF_ROWS, FANOUT, BLOCK_ROWS, BOXES = 16_384, 256, 8, 256, 512
 #: rows that the cuts of the tiles are taken from, and most slices per coordinate
 SAMPLE_ROWS, SLICES = 16_384, 16
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
@@ -67,6 +67,12 @@ class Tree:
         for label in np.unique(labels):
             runs += _tiled(vectors, np.flatnonzero(labels == label), along, leaf) if len(along) else [np.flatnonzero(labels == label)]
         self.rows = runs
+        # rows of a leaf lie together, as doubles for products that are exact in them
+        self.order = np.concatenate(runs) if runs else np.zeros(0, np.int64)
+        ends = np.cumsum([len(r) for r in runs])
+        self.span = [(int(e) - len(r), int(e)) for r, e in zip(runs, ends, strict=True)]
+        self.doubles = vectors[self.order].astype(np.float64)
+        self.largest = float(np.abs(self.doubles).max(initial=0))
         self.children: list[tuple[int, int] | None] = [None] * len(runs)
         low = [vectors[r].min(0) for r in runs]
         high = [vectors[r].max(0) for r in runs]
@@ -111,6 +117,13 @@ def _alive(bottom: np.ndarray, top: np.ndarray, lows: np.ndarray, highs: np.ndar
     return out
 
 
+def _leaf_scores(tree: Tree, leaf: int, query: np.ndarray, exact: bool) -> np.ndarray:
+    if not exact:
+        return _products(query[None], tree.vectors[tree.rows[leaf]])[0]
+    at, to = tree.span[leaf]
+    return np.rint(tree.doubles[at:to] @ query).astype(np.int64)
+
+
 def search(tree: Tree, ids: np.ndarray, own: np.ndarray, label: np.ndarray, queries: np.ndarray, lows: np.ndarray, highs: np.ndarray, same: bool, k: int) -> Iterator[tuple[int, int, list[tuple[int, int]]]]:
     """Per query and window the best ``k`` rows as (score, -id) within the window, best first; rows with the query's own id do not count."""
     if not len(tree.rows):
@@ -118,6 +131,9 @@ def search(tree: Tree, ids: np.ndarray, own: np.ndarray, label: np.ndarray, quer
     bottom, top = bounds(queries, tree.low, tree.high)
     usable = _serves(label, tree.least, tree.most, same) & _alive(bottom, top, lows, highs)
     root = len(tree.children) - 1
+    ids = ids[tree.order]
+    exact = tree.largest * float(np.abs(queries).max(initial=0)) * max(1, queries.shape[1]) < 2.0**53
+    asked = queries.astype(np.float64) if exact else queries
     for i in range(len(queries)):
         windows = [j for j in range(lows.shape[1]) if lows[i, j] <= highs[i, j]]
         best: list[list[tuple[int, int]]] = [[] for _ in range(lows.shape[1])]  # heaps, the worst on top
@@ -137,15 +153,19 @@ def search(tree: Tree, ids: np.ndarray, own: np.ndarray, label: np.ndarray, quer
                     if use[child]:
                         heapq.heappush(heap, (-up[child], child))
                 continue
-            rows = tree.rows[node]
-            scores = _products(queries[i : i + 1], tree.vectors[rows])[0]
-            fits = (ids[rows] != own[i]) & ((tree.labels[rows] == label[i]) == same)
+            if (int(tree.least[node]) == int(label[i])) != same:  # all rows of a leaf have one label
+                continue
+            a, b = tree.span[node]
+            scores, keys = _leaf_scores(tree, node, asked[i], exact), ids[a:b]
+            most = int(scores.max())
             for j in windows:
-                take = np.flatnonzero(fits & (scores >= least[j]) & (scores <= highs[i, j]))
+                if most < least[j]:
+                    continue
+                take = np.flatnonzero((scores >= least[j]) & (scores <= highs[i, j]) & (keys != own[i]))
                 if len(take) > k:  # the k-th of them by score, with its ties
                     bar = np.partition(scores[take], len(take) - k)[len(take) - k]
                     take = take[scores[take] >= bar]
-                for score, key in zip(scores[take].tolist(), (-ids[rows[take]]).tolist(), strict=True):
+                for score, key in zip(scores[take].tolist(), (-keys[take]).tolist(), strict=True):
                     if len(best[j]) < k:
                         heapq.heappush(best[j], (score, key))
                     elif (score, key) > best[j][0]:
