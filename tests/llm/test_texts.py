@@ -57,9 +57,33 @@ def test_near_duplicates_in_small_tasks(docs, rows, monkeypatch):
     # every key and every group is larger than a task may take; the closures below are pickled with these values
     monkeypatch.setattr(neardup, "KEY_ROWS", 4)
     monkeypatch.setattr(neardup, "GROUP_SHINGLES", 500)
+    monkeypatch.setattr(neardup, "PART_SHINGLES", 400)
     assert found_components(neardup.near_duplicates(docs, size=4)) == components(rows, 4)
 
 
+def test_links_of_a_group_in_parts_are_those_of_all_pairs(spark, monkeypatch):
+    # families that only one group ties together, and chains whose ends share little: most documents are not tied to any one of them
+    rng = random.Random(8)
+    rows = []
+    for family in range(6):
+        words = [f"f{family}w{i}" for i in range(60)]
+        for _ in range(25):
+            rows.append((len(rows), " ".join(words)))
+            words = list(words)
+            words[rng.randrange(60)] = f"n{len(rows)}"
+    rows.append((len(rows), "alone"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = neardup.signed(docs, 4).withColumnRenamed("doc_id", "rep")
+    groups = sets.selectExpr("rep", "0L as label")
+    expected = components(rows, 4)
+    for part_rows, shingles_of_block in ((8, 300), (8, 8_000_000), (50, 2000), (1000, 8_000_000)):
+        monkeypatch.setattr(neardup, "PART_ROWS", part_rows)
+        monkeypatch.setattr(neardup, "GROUP_SHINGLES", shingles_of_block)
+        links = neardup.confirmed_links(docs, groups, sets, 4, 80)
+        label = {r.node: r.label for r in smallest_of_component(links).collect()}
+        assert {i: label.get(i, i) for i, _ in rows} == {i: top for i, (_, top) in expected.items()}
+
+
 def test_pairs_that_meet_in_one_hot_key_only(spark):
     # a family larger than KEY_ROWS that shares one band; partners agree in three of the four registers of every other band
     n = neardup.KEY_ROWS + 808

@@ -19,13 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklume.functions.skew import attach
 from tracklume.llm.linked import smallest_of_component
 from tracklume.llm.text import blocks, mix, window_hashes, word_hashes
 from tracklume.sources.tables import stored
 
 REGISTERS, BAND, MANTISSA = 128, 4, 10
 KEY_ROWS = 8192  # documents of one key that a task compares at once; a larger key is compared block by block
-GROUP_SHINGLES = 8_000_000  # shingles of one group that a task compares at once; a larger group is compared block by block
+PART_SHINGLES, PART_ROWS = 200_000, 256  # of one group in a task; a larger group is cut into parts that each meet one of its documents
+GROUP_SHINGLES = 8_000_000  # shingles of a part on either side where what that document does not tie meets the whole group
 _BUCKET_BITS = REGISTERS.bit_length() - 1
 
 
@@ -215,37 +217,93 @@ def likely_groups(reps: DataFrame, percent: int) -> DataFrame:
     return groups.select(F.col("node").alias("rep"), "label").union(groups.select(F.col("label").alias("rep"), "label").distinct())
 
 
-def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
-    """Spanning forest of the links that hold on the whole sets, from comparisons inside each group: ``a``, ``b``."""
-    spark = docs.sparkSession
-    sized = groups.join(reps.select("rep", "n_shingles"), "rep")
-    parts = sized.groupBy("label").agg(F.ceil(F.sum("n_shingles") / GROUP_SHINGLES).cast("long").alias("parts"))
-    placed = (
-        sized.join(parts, "label")
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
-        .select("label", "rep", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("part")).alias("i"), F.greatest(o, F.col("part")).alias("j")))).alias("at"))
-        .select("label", "rep", "at.i", "at.j")
-    )
-    texts = docs.join(placed, docs.doc_id == placed.rep).select("label", "i", "j", "rep", "text")
-    keys = ["label", "i", "j"]
+def _first_of_component(n: int, edges: list[tuple[int, int]]) -> np.ndarray:
+    """Component of each of ``n`` places by a forest of :func:`_link_forest`, whose edges start where the forest has already been."""
+    top = list(range(n))
+    for x, y in edges:
+        top[y] = top[x]
+    return np.asarray(top, np.int64)
+
+
+def _compared(texts: DataFrame, keys: list[str], size: int, percent: int) -> DataFrame:
+    """Forest of the links among the rows of each key: ``label``, ``a``, ``b``; ``b`` is null for a row that nothing ties to ``pivot``.
+
+    ``texts`` has the keys, the first of them ``label``, with ``rep``, ``text`` and ``pivot``, null where no such rows are wanted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels: list[int] = []
+        edges: list[tuple[int, int | None]] = []
+
+        def batch_of():
+            a, b = zip(*edges, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (labels, a, b)], ["label", "a", "b"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edges: list[tuple[int, int]] = []
         for table in _runs(batches, keys):
             sets, ids = [], []
             for batch in table.select(["rep", "text"]).to_batches():
                 for block in blocks(batch, "text"):
                     sets += shingles_of(block.column("text"), size)
                     ids += block.column("rep").to_pylist()
-            if len(ids) > 1:
-                edges += [(ids[x], ids[y]) for x, y in _link_forest(sets, percent)]
+            pivot = table.column("pivot")[0].as_py()
+            forest = _link_forest(sets, percent) if len(ids) > 1 else []
+            found = [(ids[x], ids[y]) for x, y in forest]
+            if pivot is not None:
+                top = _first_of_component(len(ids), forest)
+                found += [(ids[i], None) for i in np.flatnonzero(top != top[ids.index(pivot)]).tolist()]
+            edges += found
+            labels += [table.column("label")[0].as_py()] * len(found)
             if len(edges) > 50_000:
-                yield _pair_batches(edges)
-                edges = []
+                yield batch_of()
+                labels, edges = [], []
         if edges:
-            yield _pair_batches(edges)
+            yield batch_of()
+
+    rows = texts.select(*keys, "rep", "text", "pivot")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(run, "label long, a long, b long")
+
 
-    return texts.repartition(*keys).sortWithinPartitions(*keys, "rep").mapInArrow(compare, "a long, b long")
+def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, size: int, percent: int) -> DataFrame:
+    """Spanning forest of the links that hold on the whole sets, from comparisons inside each group: ``a``, ``b``.
+
+    A large group is cut into parts, and one of its documents, of about the mean size, goes to each of them.  Documents of two
+    parts that both are tied to it need not meet.  Only those that are not tied to it meet the other parts, in blocks: no link is lost, and the work
+    is quadratic only in them.
+    """
+    sized = groups.join(reps.select("rep", "n_shingles"), "rep")
+    total = F.sum("n_shingles")
+    ways = F.ceil(F.greatest(total / PART_SHINGLES, F.count(F.lit(1)) / PART_ROWS)).cast("long")
+    stats = sized.groupBy("label").agg(F.count(F.lit(1)).alias("n"), total.alias("total"), F.avg("n_shingles").alias("mean"), ways.alias("parts"))
+    sized = stored(attach(sized, stats, ["label"], "n", ["rep"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))), "sized")
+    large = F.col("parts") > 1
+    middle = sized.where(large).groupBy("label").agg(F.min_by("rep", F.struct(F.abs(F.col("n_shingles") - F.col("mean")), F.col("rep"))).alias("pivot"), F.count(F.lit(1)).alias("n"))
+    placed = sized.where(~large).select("label", "part", "rep", F.lit(None).cast("long").alias("pivot"), F.lit(True).alias("home")).unionByName(
+        attach(sized.where(large).drop("n"), middle, ["label"], "n", ["rep"])
+        .withColumn("at", F.explode(F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))))
+        .select("label", F.col("at").alias("part"), "rep", "pivot", (F.col("at") == F.col("part")).alias("home"))
+    )
+    # the texts of groups are written, so that those of other documents move only once
+    texts = stored(docs.join(placed, docs.doc_id == placed.rep).select(*placed.columns, "text"), "texts")
+    first = stored(_compared(texts, ["label", "part"], size, percent), "first")
+    links = first.where("b is not null").select("a", "b")
+    loose = sized.join(first.where("b is null").select(F.col("a").alias("rep")), "rep", "left_semi").select("label", "rep", "n_shingles")
+    if loose.isEmpty():
+        return links
+    # copies of a block stay below the size of the group as long as what is loose fits one block
+    held = loose.groupBy("label").agg(F.sum("n_shingles").alias("held"))
+    sides = sized.where(large).groupBy("label").agg(F.first("total").alias("total"), F.first("parts").alias("parts"), F.count(F.lit(1)).alias("n")).join(held, "label")
+    fewest = F.ceil(F.col("total") / GROUP_SHINGLES)
+    sides = sides.select("label", "n", F.least("parts", F.greatest(fewest, F.ceil(F.col("total") / F.col("held")))).cast("long").alias("rows"), F.ceil(F.col("held") / GROUP_SHINGLES).cast("long").alias("columns"))
+
+    def every(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    own = F.xxhash64("rep", F.lit(1))
+    there = attach(sized.where(large).select("label", "rep"), sides, ["label"], "n", ["rep"]).select("label", "rep", F.pmod(own, F.col("rows")).alias("i"), every("columns").alias("j"))
+    here = attach(loose.select("label", "rep"), sides, ["label"], "n", ["rep"]).select("label", "rep", F.pmod(own, F.col("columns")).alias("j"), every("rows").alias("i"))
+    met = there.unionByName(here).distinct().withColumn("pivot", F.lit(None).cast("long"))
+    again = texts.where("pivot is not null and home").select("rep", "text").join(met, "rep")
+    return links.union(_compared(again, ["label", "i", "j"], size, percent).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -257,7 +315,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     id are one node.  Rows with a null id take no part; they are kept and have no component.  An empty table gives
     no row; other columns are not read.
 
-    A pair at the similarity bound is missed by all 32 bands with a probability of about 5e-8.
+    A pair at the similarity bound is missed by all 32 bands with a probability of about 5e-8 and by the estimate, at five standard
+    errors, with about 1.4e-6.  Texts are compared whole, however long.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = stored(signed(docs, size), "sets")
