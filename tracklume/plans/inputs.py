@@ -196,7 +196,6 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """True cells of boolean masks: one row per (file, frame, x, y)."""
     return (
         table(spark, sf_dir, "events")
-        .where(F.col("value") < 100)
         .select(
             F.col("event_type").alias("file"),
             F.day("ts").alias("frame"),
@@ -210,5 +209,5 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 CELLS_SQL = """
 SELECT DISTINCT event_type AS file, CAST(day(ts) AS INT) AS frame, CAST(floor(value / 10) AS INT) AS x,
        CAST(floor(CAST(regexp_extract(props, '([0-9]+)', 1) AS DOUBLE) / 10) AS INT) AS y
-FROM events WHERE value < 100
+FROM events
 """

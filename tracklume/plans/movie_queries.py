@@ -12,7 +12,6 @@ from tracklume.plans.registry import registered, twin
 from tracklume.sources.tables import stored
 
 PIXEL = 0.5
-WIDTH = HEIGHT = 10
 RADIUS = 3
 BINS = 1000
 
@@ -63,16 +62,22 @@ def _parts_sql(cells_name: str, prefix: str) -> str:
 
 
 _FILTER_SQL = f"""WITH RECURSIVE cells AS ({CELLS_SQL}), {_parts_sql("cells", "a_")}, kept AS (SELECT file, frame, x, y FROM a_parts WHERE size >= 4),
- gaps AS (SELECT g.file, g.frame, CAST(u.x AS INT) AS x, CAST(v.y AS INT) AS y FROM (SELECT DISTINCT file, frame FROM kept) g CROSS JOIN
- range({WIDTH}) u(x) CROSS JOIN range({HEIGHT}) v(y) ANTI JOIN kept k ON k.file = g.file AND k.frame = g.frame AND k.x = u.x AND k.y = v.y),
- {_parts_sql("gaps", "b_")} SELECT * FROM kept UNION ALL SELECT file, frame, x, y FROM b_parts WHERE size < 4"""
+ size AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM cells), across AS (SELECT CAST(unnest(range(w)) AS INT) AS x FROM size), down AS (SELECT CAST(unnest(range(h)) AS INT) AS y FROM size),
+ gaps AS (SELECT g.file, g.frame, u.x, v.y FROM (SELECT DISTINCT file, frame FROM kept) g CROSS JOIN across u CROSS JOIN down v
+ ANTI JOIN kept k ON k.file = g.file AND k.frame = g.frame AND k.x = u.x AND k.y = v.y),
+ near AS (SELECT file, frame, x, y, x AS tx, y AS ty, 0 AS step FROM gaps UNION SELECT r.file, r.frame, r.x, r.y, c.x, c.y, r.step + 1
+ FROM near r JOIN gaps c ON c.file = r.file AND c.frame = r.frame AND abs(c.x - r.tx) + abs(c.y - r.ty) = 1 WHERE r.step < 3),
+ holes AS (SELECT file, frame, x, y FROM near GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT ty * CAST(16777216 AS BIGINT) + tx) < 4)
+ SELECT * FROM kept UNION ALL SELECT * FROM holes"""  # a component of four cells or more has four within three steps of each of its cells
 
 
 @registered("component_filter", twin(_FILTER_SQL, ["file", "frame", "x", "y"], []))
 def component_filter(spark, sf_dir):
-    """Masks without small components, then without small holes."""
-    kept = stored(G.without_specks(cells(spark, sf_dir), 4), "cells")
-    return G.without_holes(kept, 4, WIDTH, HEIGHT)
+    """Masks without small components, then without small holes; every grid has the extent of the whole table."""
+    mask = cells(spark, sf_dir)
+    size = mask.agg(*[F.coalesce(F.max(c) + 1, F.lit(1)).alias(c) for c in ("x", "y")]).first()
+    kept = stored(G.without_specks(mask, 4), "cells")
+    return G.without_holes(kept, 4, size.x, size.y)
 
 
 @registered("component_sizes", twin(f"""WITH RECURSIVE cells AS ({CELLS_SQL}), {_parts_sql("cells", "a_")} SELECT file, frame, label,
