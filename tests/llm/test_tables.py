@@ -99,6 +99,22 @@ def test_spaced_and_long_identifiers_are_discovered(spark):
     assert tokens[80] == ["7 654321", "1234567 2020", "7654321", "654321", "1234567"] and tokens[81] == [("1 " * 30000)[:-1]]
 
 
+def test_secrets_are_seeds_and_induce_patterns(spark):
+    value = "".join(f"{i:x}" for i in range(16)) * 2
+    forms = ['token = "{}" then', "my_api_key={} then", 'see {{"client-secret": "{}"}}', "password: {}", 'an auth.token="{}"### then']
+    rows = [(i, form.format(f"{value}{i:04d}")) for i, form in enumerate(forms * 6)]
+    places = {i: (text.index(value), len(value) + 4) for i, text in rows}
+    rows += [(100, "token = 12345678901234"), (101, f"the value {value}0003 alone"), (102, "commit 0123456789abcdef0123456789abcdef01234567"), (103, "x=12345678 size = 1234567 token")]
+    rows += [(104, f"padded {value}== here"), (105, "token = abc"), (106, f"monkey = {value}7777"), (107, f"token == {value}8888")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in private.personal_data(df).select("doc_id", private.listed(F.concat("base", "added")).alias("s"), private.masked(F.col("text"), F.concat("base", "added")).alias("m")).collect()}
+    assert {i: found[i].s for i in places} == {i: f"secret:{a}:{a + n}" for i, (a, n) in places.items()}
+    assert found[0].m == 'token = "[SECRET]" then' and found[4].m == 'an auth.token="[SECRET]"### then'
+    assert found[100].s == "secret:8:22"  # digits alone are no seed; the pattern that the seeds induce finds them
+    assert found[101].s == f"secret:10:{10 + len(value) + 4}"
+    assert [i for i in range(102, 108) if found[i].s] == []
+
+
 @pytest.mark.parametrize("patterns", [1, 3, 4, 20])
 def test_discovery_keeps_what_many_patterns_vouch_for(spark, patterns):
     rows = [(f"p{a}", f"i{a}-{b}", "phone") for a in range(patterns) for b in range(9)] + [(f"p{a}", "new", None) for a in range(patterns)]

@@ -1,10 +1,11 @@
 """Personal data by patterns and by bootstrapped contexts, with DataFrame functions only.
 
-Base matches (email, ip, card, phone) come from regular expressions and their checks.  They are also the seeds of a bootstrapping:
-the words before an identifier are a lexical pattern, and patterns and instances form a bipartite graph.  In each round a
+Base matches (email, ip, card, phone) come from regular expressions and their checks.  They are also the seeds of a bootstrapping, together
+with secrets: long values assigned to a key such as ``token`` or ``api_key``.  The words before an identifier, or the key it is assigned to,
+are a lexical pattern, and patterns and instances form a bipartite graph.  In each round a
 pattern scores the share of its instances that are known for a kind, and an unknown instance scores by the trusted patterns around
-it; instances above a bound count as known in the next round.  The last round's instances are added as spans of that kind,
-wherever they occur outside base matches.
+it; instances above a bound count as known in the next round.  The last round's instances and the seed secrets are added as spans of
+their kind, wherever they occur outside base matches.
 
 Positions are code points.  Spark gives matches but not where they are, so a text is split by the same pattern:
 the lengths of the gaps and of the matches add up to the positions.
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from tracklume.sources.tables import stored
 
 KINDS = ("email", "ip", "card", "phone")
+SECRET = "secret"  # only added, never a base match
+ALL_KINDS = (*KINDS, SECRET)
 
 #: The base patterns in a form without backtracking over long runs; a match cannot begin inside a run that has already failed.
 BASE = {
@@ -35,6 +38,13 @@ _NUMBER = r"[0-9][0-9().-]*+(?=[\"'>\]},;:!?]*+(?:[\x20\x09-\x0D]|\z))"
 #: Digits over several tokens, with the separators that the base patterns allow.  Possessive, and it ends before a token that is none of digits, so
 #: that a long run is read once.
 RUN = r"(?<![^\x20\x09-\x0D])[\"'(<\[{+.-]*+" + _NUMBER + r"(?:(?:\x20++[().-]++(?=\x20))*+\x20++[(.-]*+" + _NUMBER + r")++"
+#: An assignment up to its value: ``key = ``, ``"key": `` or, for the words that name a secret, ``key: ``.
+_ASSIGNED = r"([\p{L}_][\p{L}0-9_.-]*+)(?:[\"']?[\x20\x09-\x0D]*+=|[\"'][\x20\x09-\x0D]*+:|(?<=token|secret|password|passwd|pwd|key)[\x20\x09-\x0D]*+:)[\x20\x09-\x0D]*+[\"'(<\[{]*$"
+#: The same inside one token; the value has four characters at least, so that the padding of an encoded value is not a sign of assignment.
+_LEAD = r"^[\x20\"'(<\[{]*(?:[\p{L}_][\p{L}0-9_.-]*+(?:[\"']?=|[\"']:|(?<=token|secret|password|passwd|pwd|key):)(?=[^=]{4})[\"'(<\[{]*)?"
+#: Keys whose values are secrets, and what such a value looks like: a long run of letters and digits.
+_SECRET_KEY = r"(?:^|[._-])(?:token|secret|password|passwd|pwd|api[._-]?key|access[._-]?key|private[._-]?key) =$"
+_SECRET_VALUE = r"^(?=[^A-Za-z]*[A-Za-z])[A-Za-z0-9+/_=.-]{16,}$"
 _CONTEXT = 80  # characters before an identifier in which its pattern is looked for
 _BLOCK = 256
 
@@ -131,8 +141,12 @@ def _tokens(df: DataFrame) -> DataFrame:
     df = _located(df, "run", RUN, F.col("_text").rlike("[0-9]"))
 
     def trimmed(start: Column, match: Column) -> Column:
-        lead = F.length(F.regexp_extract(match, r"^[\x20\"'(<\[{]*", 0))
-        core = F.regexp_replace(match, r"^[\x20\"'(<\[{]+|[\x20\"')>\]}.,;:!?]+$", "")
+        before = F.regexp_extract(match, _LEAD, 0)
+        lead = F.length(before)
+        rest = F.substring(match, lead + 1, F.length(match))
+        # a quoted value ends at its quote
+        inside = F.when(before.rlike("[\"']$"), F.regexp_replace(rest, r"[\"'][\s\S]*\z", "")).otherwise(rest)
+        core = F.regexp_replace(inside, r"[\x20\"')>\]}.,;:!?]+$", "")
         return F.struct((start + lead).alias("start"), (start + lead + F.length(core)).alias("end"), F.lit("token").alias("kind"), core.alias("match"))
 
     def overlapped(s: Column) -> Column:
@@ -170,11 +184,12 @@ def _tokens(df: DataFrame) -> DataFrame:
 
 
 def _pattern(text: Column, start: Column) -> Column:
-    """Lexical pattern of a place: the two words before it, lower-cased; null if there are not two, or neither has a letter."""
+    """Lexical pattern of a place, lower-cased: the key it is assigned to (``key =``), else the two words before it; null if there are not two, or neither has a letter."""
     tail = F.lower(F.substring(text, F.greatest(F.lit(1), start - _CONTEXT + 1).cast("int"), F.least(start, F.lit(_CONTEXT)).cast("int")))
     words = r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+[\"'(<\[{]*$"
     clean = F.regexp_replace(F.concat_ws(" ", F.regexp_extract(tail, words, 1), F.regexp_extract(tail, words, 2)), "[0-9]", "0")
-    return F.when(clean.rlike(r"\p{L}"), clean)
+    key = F.regexp_replace(F.regexp_extract(tail, _ASSIGNED, 1), "[0-9]", "0")
+    return F.when(key != "", F.concat(key, F.lit(" ="))).when(clean.rlike(r"\p{L}"), clean)
 
 
 def _discovered(seen: DataFrame, rounds: int, support: int, trust: float) -> DataFrame:
@@ -202,7 +217,7 @@ def _discovered(seen: DataFrame, rounds: int, support: int, trust: float) -> Dat
 def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: float = 0.75) -> DataFrame:
     """All columns of ``docs`` with ``base`` and ``added``: arrays of spans (start, end, kind, match).
 
-    A pattern is trusted for a kind if it precedes at least ``support`` known identifiers of it and these are the share ``trust`` of all
+    Kinds are those of ``KINDS`` and, among the added ones, ``secret``.  A pattern is trusted for a kind if it precedes at least ``support`` known identifiers of it and these are the share ``trust`` of all
     identifier-like tokens it precedes.  Null text is empty; repeated rows are found alike; an empty table gives no row.
     Columns called ``base`` or ``added`` are replaced.
     """
@@ -220,7 +235,11 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
                     F.when(F.col("s.kind") != "inner", _pattern(F.col("text"), F.col("s.start"))).alias("pattern")),
         "occurring",
     )
-    found = _discovered(occurring.select("pattern", "instance", "kind"), rounds, support, trust)
+    secret = F.col("pattern").rlike(_SECRET_KEY) & F.col("match").rlike(_SECRET_VALUE)
+    known = F.coalesce("kind", F.when(secret, F.lit(SECRET)))
+    seen = occurring.select("pattern", "instance", known.alias("kind"))
+    secrets = seen.where(F.col("kind") == SECRET).select("instance", "kind").distinct()
+    found = _discovered(seen, rounds, support, trust).unionByName(secrets)
     new = occurring.where("kind is null").drop("kind", "pattern").join(found, "instance")
     # stored: where little is added, its size is known to be small and the texts stay where they are
     added = new.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind", "match"))).alias("added"))
@@ -231,7 +250,7 @@ def personal_data(docs: DataFrame, rounds: int = 3, support: int = 5, trust: flo
 
 
 def _by_place(spans: Column) -> Column:
-    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    rank = F.create_map(*[x for i, k in enumerate(ALL_KINDS) for x in (F.lit(k), F.lit(i))])
     return F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), rank[s.kind].alias("rank"), s.end.alias("end"), s.kind.alias("kind"))))
 
 
