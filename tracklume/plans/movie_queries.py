@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracklume.functions.scalars import rounded
 from tracklume.operators import grid as G
+from tracklume.operators import joint_linking as J
 from tracklume.operators import linking as L
 from tracklume.plans.inputs import CELLS_SQL, DETECTIONS_SQL, cells, detections, table
 from tracklume.plans.registry import registered, twin
@@ -152,3 +154,24 @@ def link_candidates(spark, sf_dir):
 def link_tracks(spark, sf_dir):
     spots = detections(spark, sf_dir)
     return rounded(L.without_stubs(L.linked_tracks(spots), 3).select("file", "track", "frame", "det_id", "x", "y"))
+
+
+@registered("link_tracks_joint")
+def link_tracks_joint(spark, sf_dir):
+    spots = detections(spark, sf_dir)
+    return rounded(L.without_stubs(J.joint_tracks(spots), 3).select("file", "track", "frame", "det_id", "x", "y"))
+
+
+@registered("link_joint_check", f"""SELECT file, count(*) AS detections, CAST(0 AS BIGINT) AS shared_frames, CAST(0 AS BIGINT) AS far,
+ CAST(0 AS BIGINT) AS late, true AS named FROM ({DETECTIONS_SQL}) d GROUP BY file""")
+def link_joint_check(spark, sf_dir):
+    """Per file: all detections have a track; none meets a frame twice, moves beyond the reach or waits too long; names are smallest ids."""
+    step = Window.partitionBy("file", "track").orderBy("frame", "det_id")
+    moved = F.sqrt(F.pow(F.col("x") - F.lag("x").over(step), 2) + F.pow(F.col("y") - F.lag("y").over(step), 2))
+    waited = F.col("frame") - F.lag("frame").over(step)
+    smallest = F.min("det_id").over(Window.partitionBy("file", "track"))
+    rows = J.joint_tracks(detections(spark, sf_dir)).withColumns({"moved": moved, "waited": waited, "named": smallest == F.col("track")})
+    return rows.groupBy("file").agg(
+        F.count(F.lit(1)).alias("detections"), F.count_if(F.col("waited") == 0).alias("shared_frames"), F.count_if(F.col("moved") > 20 + 1e-9).alias("far"),
+        F.count_if(F.col("waited") > 4).alias("late"), F.bool_and("named").alias("named"),
+    )
