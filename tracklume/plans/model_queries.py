@@ -9,12 +9,13 @@ from tracklume.functions.scalars import rounded
 from tracklume.operators import evaluate as E
 from tracklume.operators import features as FT
 from tracklume.operators import folds as FO
+from tracklume.operators import group_ridge as GR
 from tracklume.operators import reports as R
 from tracklume.plans.inputs import observations
 from tracklume.plans.registry import registered, twin
 from tracklume.plans.track_queries import FEATURES_CTE, FOLDS_SQL
 from tracklume.schema import FEATURE_FAMILIES, FEATURES, PCA_FEATURES, TRACK
-from tracklume.sources.tables import labelled, union_all
+from tracklume.sources.tables import labelled, stored, union_all
 
 
 def model_table(spark: SparkSession, sf_dir: str, repeats: int = 1) -> DataFrame:
@@ -119,3 +120,40 @@ def stump_per_feature(spark, sf_dir):
     rows = observations(spark, sf_dir)
     tracks = FO.with_fold(FT.track_features(rows), FO.stratified_group_folds(rows).drop("repeat_no"), ("particle",))
     return rounded(E.feature_stumps(tracks, FEATURES, "serum", 4))
+
+
+def _left_out(spark: SparkSession, sf_dir: str, features: list[str]) -> DataFrame:
+    """Per file the scores of its tracks by ridge weights from all other files."""
+    tracks = FT.track_features(observations(spark, sf_dir))
+    vec = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("vec")
+    rows = stored(tracks.select(*TRACK, F.col("serum").alias("label"), vec), "left-out")
+    scored = GR.leave_one_group_out_scores(rows, len(features), "file", "particle")
+    error = F.pow(F.col("score") - (2 * F.col("truth") - 1), 2)
+    hit = (F.col("pred") == F.col("truth")).cast("double")
+    return rounded(scored.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.avg(hit).alias("accuracy"), F.avg(error).alias("error")))
+
+
+@registered("logo_ridge")
+def logo_ridge(spark, sf_dir):
+    return _left_out(spark, sf_dir, FEATURES)
+
+
+_PAIR = ["MD", "MaxD"]
+
+
+@registered("logo_ridge_pair", twin(f"""{FEATURES_CTE}, r AS (SELECT file, 2.0 * CAST(serum AS DOUBLE) - 1 AS y,
+ coalesce({_PAIR[0]}, 0) - avg(coalesce({_PAIR[0]}, 0)) OVER () AS a, coalesce({_PAIR[1]}, 0) - avg(coalesce({_PAIR[1]}, 0)) OVER () AS b FROM features),
+ g AS (SELECT file, CAST(count(*) AS DOUBLE) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab,
+  sum(a * y) AS ay, sum(b * y) AS yb FROM r GROUP BY file),
+ t AS (SELECT sum(n) AS n, sum(a) AS a, sum(b) AS b, sum(y) AS y, sum(aa) AS aa, sum(bb) AS bb, sum(ab) AS ab, sum(ay) AS ay, sum(yb) AS yb FROM g),
+ o AS (SELECT g.file, t.n - g.n AS n, (t.a - g.a) / (t.n - g.n) AS a, (t.b - g.b) / (t.n - g.n) AS b, (t.y - g.y) / (t.n - g.n) AS y,
+  t.aa - g.aa AS aa, t.bb - g.bb AS bb, t.ab - g.ab AS ab, t.ay - g.ay AS ay, t.yb - g.yb AS yb FROM g, t WHERE t.n > g.n),
+ c AS (SELECT file, a, b, y, sqrt(aa - n * a * a) AS la, sqrt(bb - n * b * b) AS lb, ab - n * a * b AS ab, ay - n * a * y AS ay, yb - n * b * y AS yb FROM o),
+ s AS (SELECT *, ab / (la * lb) AS cr, ay / la AS ma, yb / lb AS mb FROM c),
+ w AS (SELECT file, a, b, y, (2 * ma - cr * mb) / (4 - cr * cr) / la AS wa, (2 * mb - cr * ma) / (4 - cr * cr) / lb AS wb FROM s),
+ p AS (SELECT r.file, r.y AS truth, w.y + w.wa * (r.a - w.a) + w.wb * (r.b - w.b) AS score FROM r JOIN w ON r.file = w.file)
+ SELECT file, count(*) AS n, avg(CASE WHEN (score > 0) = (truth > 0) THEN 1.0 ELSE 0.0 END) AS accuracy, avg((score - truth) * (score - truth)) AS error
+ FROM p GROUP BY file""", ["file", "n"], ["accuracy", "error"]))
+def logo_ridge_pair(spark, sf_dir):
+    """As :func:`logo_ridge` on two features, with penalty 1, where SQL can write the solution down."""
+    return _left_out(spark, sf_dir, _PAIR)
