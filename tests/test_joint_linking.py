@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from tracklume.operators import graph
 from tracklume.operators import joint_linking as J
 from tracklume.operators import linking as L
 
@@ -74,3 +75,26 @@ def test_links_are_those_of_all_assignments(spark, limit):
     rows += [("p", f, 100 + 10 * f + i, 500.0 + float(x), 0.0) for f in (0, 3, 4) for i, x in enumerate(rng.uniform(0, 30, 3))]
     got = {tuple(r) for r in J.joint_links(spark.createDataFrame(rows, SCHEMA), 16.0, 2, limit).collect()}
     assert got == {(file, *pair) for file in ("p", "q") for pair in brute_links([r for r in rows if r[0] == file], 16.0, 2)}
+
+
+def test_tables_that_grow_with_the_detections_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Files of ids are many times smaller than the tables in memory, so their size must not decide on a broadcast."""
+    plans = []
+    keep = graph.stored
+
+    def seen(df, name):
+        if name == "labels":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name)
+
+    monkeypatch.setattr(graph, "stored", seen)
+    nodes = keep(spark.range(6).selectExpr("'f' AS file", "id AS node"), "nodes")
+    edges = keep(spark.createDataFrame([("f", 0, 1), ("f", 1, 2), ("f", 4, 5)], "file string, a long, b long"), "edges")
+    found = {r.node: r.label for r in graph.components(nodes, edges, ["file"]).collect()}
+    assert found == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 4}
+    # the keys of labels shared by very many nodes are the only broadcast
+    assert any("SortMergeJoin" in p for p in plans) and all(p.count("BroadcastHashJoin") == p.count("as int) AS _ways") for p in plans)
+    spots = keep(spark.createDataFrame([("f", 0, 1, 2.0, 3.0), ("f", 1, 2, 2.0, 3.0)], SCHEMA), "spots")
+    tracks = J.joint_tracks(spots)
+    assert {tuple(r) for r in tracks.select("det_id", "track").collect()} == {(1, 1), (2, 1)}
+    assert "BroadcastHashJoin" not in tracks._jdf.queryExecution().optimizedPlan().toString() + tracks._jdf.queryExecution().executedPlan().toString()

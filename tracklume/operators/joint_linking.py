@@ -129,13 +129,13 @@ def _edges(first: DataFrame, second: DataFrame) -> DataFrame:
     around = F.sequence(F.lit(-1), F.lit(1))
     spread = first.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
     spread = spread.select("file", "frame", (F.col("bx") + F.col("_dx")).alias("bx"), (F.col("by") + F.col("_dy")).alias("by"), F.col("node").alias("a"))
-    return spread.join(second.withColumnRenamed("node", "b"), list(_PLACE)).select("file", "a", "b")
+    return spread.join(second.withColumnRenamed("node", "b").hint("merge"), list(_PLACE)).select("file", "a", "b")
 
 
 def _named(spots: DataFrame, squares: DataFrame, labels: DataFrame) -> DataFrame:
-    """``spots`` with the component ``net`` of their square."""
-    nets = squares.join(labels.withColumnRenamed("label", "net"), ["file", "node"]).drop("node")
-    return spots.join(nets, list(_PLACE)).drop("bx", "by")
+    """``spots`` with the component ``net`` of their square.  All tables grow with the detections, so none is broadcast."""
+    nets = squares.join(labels.withColumnRenamed("label", "net").hint("merge"), ["file", "node"]).drop("node")
+    return spots.join(nets.hint("merge"), list(_PLACE)).drop("bx", "by")
 
 
 def _by_frame(spots: DataFrame, reach: float, memory: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _by_frame(spots: DataFrame, reach: float, memory: int) -> DataFrame:
         rows = rows.unionByName(_named(_with_squares(here.select(*columns), reach), new, labels).withColumn("old", F.lit(False)))
         rows.groupBy("file", "net").applyInPandas(solved, schema).write.parquet(f"{path}/at={number}")
         links = spark.read.schema(schema).parquet(f"{path}/at={number}")
-        waiting = meeting.join(links.select("file", F.col("a").alias("det_id")), ["file", "det_id"], "left_anti")
+        waiting = meeting.join(links.select("file", F.col("a").alias("det_id")).hint("merge"), ["file", "det_id"], "left_anti")
         live = stored(waiting.select(*opened.columns).unionByName(opened), "live")
         discard(before)
     if len(numbers) < 2:
@@ -212,4 +212,5 @@ def joint_tracks(spots: DataFrame, reach: float = 20.0, memory: int = 3, limit:
     """Detections with the track they belong to, named by its smallest detection; links by joint assignment."""
     links = joint_links(spots, reach, memory, limit)
     labels = components(spots.select("file", F.col("det_id").alias("node")), links, ["file"])
-    return spots.join(labels.select("file", F.col("node").alias("det_id"), F.col("label").alias("track")), ["file", "det_id"])
+    named = labels.select("file", F.col("node").alias("det_id"), F.col("label").alias("track"))
+    return spots.join(named.hint("merge"), ["file", "det_id"])
