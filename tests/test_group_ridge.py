@@ -1,6 +1,7 @@
 """Scores that leave one group out against refitting."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tracklume.functions import skew
@@ -47,3 +48,13 @@ def test_no_training_rows(spark):
     assert GR.leave_one_group_out_scores(one.where("id > 9"), 1, "site", "id").count() == 0
     with pytest.raises(ValueError):
         GR.group_weights(one, 513, "site")
+
+
+def test_a_batch_of_many_groups_is_handed_on_in_small_tables():
+    rng = np.random.default_rng(2)
+    n, held = 2000, GR._GROUPS_HELD
+    batch = pd.DataFrame({"group": np.arange(n) % 900, "label": np.arange(n) % 2, "vec": list(rng.normal(size=(n, 3)))})
+    tables = list(GR._group_sums(iter([batch, batch]), np.zeros(3)))
+    assert max(len(t) for t in tables) <= held and len({g for t in tables for g in t["group"]}) == 900
+    total = sum(np.asarray(p) for t in tables for p in t["part"]).reshape(5, 5)
+    assert total[0, 0] == 2 * n and all(isinstance(p, np.ndarray) for p in tables[0]["part"])

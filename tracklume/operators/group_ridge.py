@@ -28,6 +28,25 @@ def _summed(name: str):
     return vector_to_array(Summarizer.sum(array_to_vector(F.col(name)))).alias(name)
 
 
+def _group_sums(batches: Iterator[pd.DataFrame], centre: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Sums of products of the groups of a task, in tables of at most ``_GROUPS_HELD`` groups, however many groups a batch has."""
+
+    def table(sums: dict) -> pd.DataFrame:
+        return pd.DataFrame({"group": pd.Series(list(sums), dtype=object), "part": [s.ravel() for s in sums.values()]})
+
+    sums: dict = {}
+    for batch in batches:
+        for key, part in batch.groupby("group"):
+            if key not in sums and len(sums) >= _GROUPS_HELD:
+                yield table(sums)
+                sums = {}
+            x, y = _matrix(part)
+            z = np.column_stack([np.ones(len(y)), x - centre, y])
+            sums[key] = sums.get(key, 0.0) + z.T @ z
+    if sums:
+        yield table(sums)
+
+
 def group_weights(df: DataFrame, width: int, group: str, penalty: float = 1.0) -> DataFrame:
     """Per group its rows, and weights and intercept fitted on all other groups: (group, n, weights, intercept).
 
@@ -43,23 +62,7 @@ def group_weights(df: DataFrame, width: int, group: str, penalty: float = 1.0) -
         return df.sparkSession.createDataFrame([], out_type).withColumnRenamed("group", group)
     centre = np.asarray(rows.agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("m")).first()["m"])
 
-    def table(sums: dict) -> pd.DataFrame:
-        return pd.DataFrame({"group": pd.Series(list(sums), dtype=object), "part": [s.ravel().tolist() for s in sums.values()]})
-
-    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict = {}
-        for batch in batches:
-            for key, part in batch.groupby("group"):
-                x, y = _matrix(part)
-                z = np.column_stack([np.ones(len(y)), x - centre, y])
-                sums[key] = sums.get(key, 0.0) + z.T @ z
-            if len(sums) > _GROUPS_HELD:
-                yield table(sums)
-                sums = {}
-        if sums:
-            yield table(sums)
-
-    parts = rows.mapInPandas(products, f"group {kind}, part array<double>")
+    parts = rows.mapInPandas(lambda batches: _group_sums(batches, centre), f"group {kind}, part array<double>")
     own = stored(parts.groupBy("group").agg(_summed("part")), "group-sums")
     whole = np.asarray(own.agg(_summed("part")).first()["part"]).reshape(width + 2, width + 2)
 
