@@ -17,12 +17,15 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: st
     ``edges`` has columns ``a`` and ``b``.  A round takes the smallest label around a node and then follows labels to
     their own label, so paths shrink by half each time.  Rounds go on until nothing changes.  Every round is a written
     table, so lineage stays short and a lost executor costs one round at most; superseded rounds are deleted.  A label shared by very many nodes is salted.
+    Only nodes with an edge take part in the rounds; the others are their own components.
     Labels and edges meet by merge joins: a written table of ids is many times larger in memory than its files, whose size would have it sent to the driver.
     """
     both = stored(
         edges.select(*keys, "a", "b").union(edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))), "edges"
     )
-    labels = stored(nodes.select(*keys, node, F.col(node).alias("label")).distinct(), "labels")
+    everyone = nodes.select(*keys, node).distinct()
+    linked = both.select(*keys, F.col("a").alias(node))
+    labels = stored(everyone.join(linked.hint("merge"), [*keys, node], "left_semi").withColumn("label", F.col(node)), "labels")
     before = labels
     while True:
         around = (
@@ -38,7 +41,8 @@ def components(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], node: st
         )
         if lowered.where(F.col("label") != F.col("_old")).isEmpty():
             discard(both)
-            return lowered.select(*keys, node, "label")
+            found = lowered.select(*keys, node, "label").hint("merge")
+            return everyone.join(found, [*keys, node], "left").select(*keys, node, F.coalesce("label", node).alias("label"))
         discard(before)
         before = lowered
         used = lowered.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("_size"))
