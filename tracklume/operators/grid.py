@@ -234,48 +234,63 @@ def _reach(spots: DataFrame, points: DataFrame) -> int:
 def nearest_distance(spots: DataFrame, points: DataFrame, extent: int | None = None, pixel: float = 1.0) -> DataFrame:
     """Distance of every spot to the nearest of the ``points`` (whole cells) of its grid, without meeting all of them.
 
-    The plane is cut into squares of side 1, 2, 4, ... up to ``extent``, the largest possible distance along an axis (taken from the data if not
-    given).  A spot has no distance only if its grid has no point.  The smallest
-    side at which one of the nine squares around a spot is occupied bounds its distance by three sides; the points
-    within three squares at that side are then compared.  Whether a square is occupied is looked up in the distinct
-    squares, and points are only spread over the sides that some spot of their grid needs.
+    Spots of one cell share a list of points, so all but the last step works on distinct cells.  The plane is cut into squares of side 1, 2, 4, ... up to
+    ``extent``, the largest possible distance along an axis (taken from the data if not given).  At the smallest side at which one of the nine squares around
+    a cell is occupied, the points in those squares bound the distance of all its spots; the list has the points of any square that can be as near as one spot of the cell.
+    A spot has no distance only if its grid has no point.
     """
     extent = _reach(spots, points) if extent is None else extent
     sides = max(extent, 1).bit_length() + 1
     level = F.explode(F.sequence(F.lit(0), F.lit(sides - 1)))
+    side = F.pow(F.lit(2.0), F.col("level"))
 
-    def square(c: str) -> Column:
-        return F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    def square(c: Column | str) -> Column:
+        return F.floor((F.col(c) if isinstance(c, str) else c) / side).cast("long")
 
-    def around(df: DataFrame, reach: int) -> DataFrame:
-        step = F.sequence(F.lit(-reach), F.lit(reach))
-        return (
-            df.withColumn("_dx", F.explode(step))
-            .withColumn("_dy", F.explode(step))
-            .withColumns({"bx": square("x") + F.col("_dx"), "by": square("y") + F.col("_dy")})
-            .drop("_dx", "_dy")
-        )
+    def spread(df: DataFrame, x: Column, y: Column) -> DataFrame:
+        return df.withColumn("bx", F.explode(x)).withColumn("by", F.explode(y))
 
-    squares = [*GRID, "level", "bx", "by"]
-    leveled = points.select(*GRID, "x", "y").withColumn("level", level)
-    occupied = leveled.select(*GRID, "level", square("x").alias("bx"), square("y").alias("by")).distinct()
-    searching = around(spots.select(*GRID, "det_id", "x", "y").withColumn("level", level), 1)
-    chosen = (
-        searching.join(occupied, squares)
-        .groupBy(*GRID, "det_id")
-        .agg(F.min("level").alias("level"), F.any_value("x").alias("x"), F.any_value("y").alias("y"))
-    )
-    targets = around(chosen, 3)
+    def beside(c: str) -> Column:
+        return F.sequence(F.col(c) - 1, F.col(c) + 1)
+
+    def least(c: str, p: str) -> Column:
+        return F.greatest(F.col(p) - F.col(c) - 1, F.col(c) - F.col(p), F.lit(0)).cast("double")
+
+    def most(c: str, p: str) -> Column:
+        return F.greatest(F.col(p) - F.col(c), F.col(c) + 1 - F.col(p)).cast("double")
+
+    cell, squares = [*GRID, "cx", "cy"], [*GRID, "level", "bx", "by"]
+    placed = spots.withColumns({"cx": F.floor("x").cast("long"), "cy": F.floor("y").cast("long")})
+    asked = placed.select(*cell).distinct()
+    leveled = points.select(*GRID, F.col("x").alias("px"), F.col("y").alias("py")).withColumn("level", level).withColumns({"bx": square("px"), "by": square("py")})
+    occupied = leveled.select(*GRID, "level", F.col("bx").alias("sx"), F.col("by").alias("sy")).distinct()
+    near = spread(occupied, beside("sx"), beside("sy")).select(*squares).distinct()
+    searching = asked.withColumn("level", level).withColumns({"bx": square("cx"), "by": square("cy")})
+    chosen = stored(searching.join(near.hint("merge"), squares).groupBy(*cell).agg(F.min("level").alias("level")), "chosen")
     wanted = chosen.select(*GRID, "level").distinct()
-    spread = (
-        leveled.join(wanted, [*GRID, "level"], "left_semi")
-        .withColumns({"bx": square("x"), "by": square("y")})
-        .withColumnsRenamed({"x": "px", "y": "py"})
+    known = leveled.join(wanted.hint("merge"), [*GRID, "level"], "left_semi")
+    middle = chosen.withColumns({"sx": square("cx"), "sy": square("cy")})
+    # one point of the nine squares is enough for a bound on all spots of the cell
+    bounded = (
+        spread(middle, beside("sx"), beside("sy"))
+        .join(known.hint("merge"), squares)
+        .groupBy(*cell, "level")
+        .agg(F.min(most("cx", "px") * most("cx", "px") + most("cy", "py") * most("cy", "py")).alias("bound"))
     )
-    dx, dy = F.col("x") - F.col("px"), F.col("y") - F.col("py")
-    found = (
-        targets.join(spread, squares)
-        .groupBy(*GRID, "det_id")
-        .agg(F.sqrt(F.min(dx * dx + dy * dy)).alias("distance"))
+    far = F.ceil(F.sqrt("bound"))
+    targets = spread(bounded, *[F.sequence(square(F.col(c) - far), square(F.col(c) + 1 + far)) for c in ("cx", "cy")])
+    lists = (
+        targets.join(known.hint("merge"), squares)
+        .where(least("cx", "px") * least("cx", "px") + least("cy", "py") * least("cy", "py") <= F.col("bound"))
+        .groupBy(*cell)
+        .agg(F.collect_list(F.struct("px", "py")).alias("_points"))
     )
-    return spots.join(found, [*GRID, "det_id"], "left").withColumn("distance_micron", F.col("distance") * pixel)
+
+    def squared(p: Column) -> Column:
+        dx, dy = F.col("x") - p["px"], F.col("y") - p["py"]
+        return dx * dx + dy * dy
+
+    distance = F.when(F.col("det_id").isNotNull(), F.sqrt(F.array_min(F.transform("_points", squared))))
+    others = [c for c in spots.columns if c not in (*GRID, "det_id")]
+    found = placed.join(lists.hint("merge"), cell, "left").withColumn("distance", distance)
+    return found.select(*GRID, "det_id", *others, "distance").withColumn("distance_micron", F.col("distance") * pixel)
