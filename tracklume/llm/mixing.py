@@ -58,19 +58,22 @@ def raked(cells: DataFrame, power: float = 0.8, rounds: int = 100, tolerance: fl
         languages[language] = languages.get(language, 0.0) + n
         topics[topic] = topics.get(topic, 0.0) + n
     language_goal, topic_goal = flattened(languages, power), flattened(topics, power)
-    by_source = cells.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.collect_list(F.struct("language", "topic", "tokens")).alias("cells"))
+    pairs = sorted(by_pair)
+    numbered = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(pairs)], "language string, topic string, pair int")
+    placed = cells.join(F.broadcast(numbered), ["language", "topic"])
+    # at most languages x topics entries a source
+    by_source = placed.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.collect_list(F.struct("pair", "tokens")).alias("cells"))
     scale = by_source.agg(F.sum(F.pow("tokens", F.lit(power))).alias("total"))
     goals = stored(by_source.join(F.broadcast(scale)).select("source", "cells", (F.pow("tokens", F.lit(power)) / F.col("total")).alias("goal")), "sources")
     factor = {pair: 1.0 for pair in by_pair}
     for _ in range(rounds):
         used = factor
-        table = spark.createDataFrame([(a, b, f) for (a, b), f in sorted(used.items())], "language string, topic string, factor double")
-        flat = goals.select("source", "goal", F.explode("cells").alias("c")).select("source", "goal", "c.*")
-        weighed = flat.join(F.broadcast(table), ["language", "topic"]).withColumn("w", F.col("tokens") * F.col("factor"))
-        # at most languages x topics entries a source
-        fitted = weighed.groupBy("source").agg((F.first("goal") / F.sum("w")).alias("a"), F.collect_list(F.struct("language", "topic", "w")).alias("cells"))
-        sums = fitted.select("a", F.explode("cells").alias("c")).groupBy("c.language", "c.topic").agg(F.sum(F.col("a") * F.col("c.w")).alias("w"))
-        before = {(r.language, r.topic): r.w for r in sums.collect()}
+        # one constant: a small table sent anew in every cycle would pile up on the driver
+        table = F.split(F.lit(",".join(repr(used[pair]) for pair in pairs)), ",").cast("array<double>")
+        weighed = goals.select("source", "goal", F.transform("cells", lambda c: F.struct(c["pair"].alias("pair"), (c["tokens"] * F.get(table, c["pair"])).alias("w"))).alias("cells"))
+        fitted = weighed.select("source", (F.col("goal") / F.aggregate("cells", F.lit(0.0), lambda total, c: total + c["w"])).alias("a"), "cells")
+        sums = fitted.select("a", F.explode("cells").alias("c")).groupBy("c.pair").agg(F.sum(F.col("a") * F.col("c.w")).alias("w"))
+        before = {pairs[r.pair]: r.w for r in sums.collect()}
         now = before
         for goal, side in ((language_goal, 0), (topic_goal, 1)):
             total: dict[str, float] = {}
