@@ -10,7 +10,7 @@ from collections.abc import Callable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -124,21 +124,43 @@ def scaled_folds(df: DataFrame, features: Sequence[str], k: int) -> list[DataFra
     return [scale_for_fold(df, features, stats, fold) for fold in range(k)]
 
 
-def network_out_of_fold(
-    df: DataFrame, features: Sequence[str], keys: Sequence[str], make: MakeEstimator, k: int = 4,
+def networks_out_of_fold(
+    df: DataFrame, features: Sequence[str], keys: Sequence[str], makes: Sequence[MakeEstimator], k: int = 4,
     parallelism: int = 4,
-) -> DataFrame:
-    """Out-of-fold predictions of a network on features scaled inside each fold."""
+) -> list[DataFrame]:
+    """Out-of-fold predictions of several networks on features scaled inside each fold; scaling and imputation are done once for all of them."""
     scaled = scaled_folds(df, features, k)
 
     @inheritable_thread_target(df.sparkSession)
-    def run(fold: int) -> DataFrame:
-        rows = scaled[fold]
-        model = with_inputs(make(), features).fit(rows.where(F.col("fold") != fold))
-        return out_of_fold(rows, {(0, fold): model}, keys)
+    def prepare(fold: int) -> tuple[PipelineModel, DataFrame]:
+        rows = scaled[fold].where(F.col("fold") != fold)
+        inputs = Pipeline(stages=with_inputs(makes[0](), features).getStages()[:-1]).fit(rows)
+        # kept as it lies: a network weighs the blocks of rows of each partition
+        return inputs, inputs.transform(rows).select("label", "features").persist()
 
     with ThreadPool(min(parallelism, k)) as pool:
-        return union_all(pool.map(run, range(k)))
+        ready = pool.map(prepare, range(k))
+
+    @inheritable_thread_target(df.sparkSession)
+    def run(at: tuple[int, int]) -> DataFrame:
+        make, fold = makes[at[0]], at[1]
+        inputs, train = ready[fold]
+        return out_of_fold(scaled[fold], {(0, fold): PipelineModel([*inputs.stages, make().fit(train)])}, keys)
+
+    places = [(i, fold) for i in range(len(makes)) for fold in range(k)]
+    with ThreadPool(min(parallelism, len(places))) as pool:
+        parts = pool.map(run, places, 1)
+    for _, train in ready:
+        train.unpersist()
+    return [union_all(parts[i * k : (i + 1) * k]) for i in range(len(makes))]
+
+
+def network_out_of_fold(
+    df: DataFrame, features: Sequence[str], keys: Sequence[str], make: MakeEstimator, k: int = 4,
+    parallelism: int = 4,
+) -> DataFrame:
+    """Out-of-fold predictions of a network on features scaled inside each fold."""
+    return networks_out_of_fold(df, features, keys, [make], k, parallelism)[0]
 
 
 def grid_scores(

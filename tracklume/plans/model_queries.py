@@ -72,11 +72,10 @@ def mlp_oof(spark, sf_dir):
 def network_curve(spark, sf_dir):
     """Accuracy of a small network by the number of training rounds, averaged over the folds."""
     rows = model_table(spark, sf_dir)
-    parts = []
-    for rounds in (5, 10, 20):
-        make = E.dense_network(len(FEATURES), hidden=(8,), rounds=rounds)
-        scored = E.network_out_of_fold(rows, FEATURES, TRACK, make)
-        parts.append(labelled(R.fold_metrics(scored, ["repeat_no", "fold"]), epochs=rounds))
+    curve = (5, 10, 20)
+    makes = [E.dense_network(len(FEATURES), hidden=(8,), rounds=rounds) for rounds in curve]
+    scored = E.networks_out_of_fold(rows, FEATURES, TRACK, makes)
+    parts = [labelled(R.fold_metrics(one, ["repeat_no", "fold"]), epochs=rounds) for rounds, one in zip(curve, scored, strict=True)]
     return rounded(R.score_curve(union_all(parts)))
 
 
