@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracklume.operators import evaluate as E
+from tracklume.operators.reports import fold_metrics
 
 FEATURES = ["f", "g"]
 
@@ -34,6 +35,17 @@ def imputations(monkeypatch):
     return done
 
 
+def test_knockouts_share_the_filling_of_missing_values(rows, imputations):
+    families = {"first": ["f"], "second": ["g"]}
+    make = E.boosted(rounds=2)
+    found = {r.knockout: r.accuracy for r in E.knockout_scores(rows, FEATURES, families, make).collect()}
+    assert len(imputations) == 4
+    for name, gone in {"none": [], **families}.items():
+        zeroed = rows.withColumns({c: F.lit(0.0) for c in gone})
+        scored = E.out_of_fold(zeroed, E.fitted_folds(zeroed, make, FEATURES), ["file", "particle"])
+        assert found[name] == pytest.approx(fold_metrics(scored, ["fold"]).agg(F.avg("accuracy")).first()[0], abs=1e-12)
+
+
 def test_networks_share_scaling_and_filling(rows, imputations, monkeypatch):
     scalings, scaled = [], E.scaled_folds
     monkeypatch.setattr(E, "scaled_folds", lambda *a: scalings.append(1) or scaled(*a))

@@ -192,18 +192,34 @@ def knockout_scores(
     df: DataFrame, features: Sequence[str], groups: Mapping[str, Sequence[str]], make: MakeEstimator, k: int = 4,
     parallelism: int = 4,
 ) -> DataFrame:
-    """Accuracy when a family of features is set to zero in training and test, one row per family; ``none`` is the full set."""
+    """Accuracy when a family of features is set to zero in training and test, one row per family; ``none`` is the full set.
+
+    Missing values are filled once per fold: a mean of zeros is zero.
+    """
     cases = {"none": [], **groups}
 
     @inheritable_thread_target(df.sparkSession)
-    def run(name: str) -> DataFrame:
-        rows = df.withColumns({c: F.lit(0.0) for c in cases[name]})
-        models = fitted_folds(rows, make, features, k, parallelism=1)
-        scored = out_of_fold(rows, models, ["file", "particle"])
+    def fill(fold: int) -> PipelineModel:
+        return Pipeline(stages=with_inputs(make(), features).getStages()[:1]).fit(df.where(F.col("fold") != fold))
+
+    with ThreadPool(min(parallelism, k)) as pool:
+        fills = pool.map(fill, range(k))
+    assemble = with_inputs(make(), features).getStages()[1]
+
+    @inheritable_thread_target(df.sparkSession)
+    def run(at: tuple[str, int]) -> DataFrame:
+        name, fold = at
+        filled = fills[fold].transform(df).withColumns({f"{c}_filled": F.lit(0.0) for c in cases[name]})
+        rows = assemble.transform(filled).select("file", "particle", "fold", "label", "features")
+        train = rows.where(F.col("fold") != fold).persist()  # a fit reads it three times before it keeps its own form
+        model = make().fit(train)
+        train.unpersist()
+        scored = out_of_fold(rows, {(0, fold): model}, ["file", "particle"])
         return fold_metrics(scored, ["fold"]).select(F.lit(name).alias("knockout"), "fold", "accuracy")
 
-    with ThreadPool(min(parallelism, len(cases))) as pool:
-        parts = pool.map(run, list(cases))
+    places = [(name, fold) for name in cases for fold in range(k)]
+    with ThreadPool(min(parallelism, len(places))) as pool:
+        parts = pool.map(run, places, 1)
     return union_all(parts).groupBy("knockout").agg(F.avg("accuracy").alias("accuracy"))
 
 
