@@ -1,5 +1,6 @@
-"""Work that several fits share is done once."""
+"""Work that several fits share is done once, and small tables with much work are spread."""
 
+import datetime
 import random
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tracklume.operators import evaluate as E
 from tracklume.operators.reports import fold_metrics
+from tracklume.plans import series_queries
 
 FEATURES = ["f", "g"]
 
@@ -59,3 +61,14 @@ def test_networks_share_scaling_and_filling(rows, imputations, monkeypatch):
             model = E.with_inputs(make(), FEATURES).fit(table.where(F.col("fold") != fold))
             for r in E.out_of_fold(table, {(0, fold): model}, ["file", "particle"]).collect():
                 assert given[r.file, r.particle] == (r.truth, r.pred, pytest.approx(r.proba_1, abs=1e-9))
+
+
+def test_kernels_are_spread_over_tasks(spark, tmp_path, monkeypatch):
+    pick, start = random.Random(5), datetime.datetime(2024, 1, 1)
+    events = [(u * 20 + i, start + datetime.timedelta(minutes=u + 90 * i), u, "view", pick.uniform(0, 100), f'{{"k": {pick.randrange(100)}}}') for u in range(40) for i in range(12)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    parts, features = [], series_queries.SE.kernel_features
+    monkeypatch.setattr(series_queries.SE, "kernel_features", lambda df, *a: parts.append(df.rdd.getNumPartitions()) or features(df, *a))
+    monkeypatch.setattr(series_queries, "ROCKET_ROWS", 4, raising=False)
+    assert series_queries.rocket_ridge(spark, str(tmp_path), count=3).count() > 0
+    assert parts == [10]
