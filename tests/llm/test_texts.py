@@ -10,7 +10,8 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from tracklume.llm import fingerprint, language, licenses, neardup, passages, text
+from tracklume.functions import skew
+from tracklume.llm import fingerprint, language, licenses, linked, neardup, passages, text
 from tracklume.llm.linked import smallest_of_component
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -147,6 +148,26 @@ def test_components_of_long_chains(spark):
     assert found[1002] == found[1001] == 1000
 
 
+def test_rounds_of_components_send_no_tables(spark, monkeypatch):
+    rng = random.Random(2)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000, i) for i in range(1001, 1060)]
+    written, store = [], linked.stored
+    monkeypatch.setattr(linked, "stored", lambda df, name: written.append(df) or store(df, name))
+    found = {r.node: r.label for r in smallest_of_component(spark.createDataFrame(links, "a long, b long")).collect()}
+    top = {x: x for link in links for x in link}
+    for _ in top:
+        for a, b in links:
+            top[a] = top[b] = min(top[a], top[b])
+    assert found == {x: t for x, t in top.items() if x != t}
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in written]
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+    # where a node may have more links than the limit, the links of such nodes are salted as before
+    monkeypatch.setattr(skew, "HOT_ROWS", 7)
+    written.clear()
+    assert {r.node: r.label for r in smallest_of_component(spark.createDataFrame(links, "a long, b long")).collect()} == found
+    assert any("_ways" in df._jdf.queryExecution().executedPlan().toString() for df in written)
+
+
 def without_repeats(rows):
     seen, out = set(), {}
     for doc_id, text, *_ in sorted(rows, key=lambda r: r[0]):

@@ -90,13 +90,19 @@ def attach(
     spread_by: Sequence[str],
     limit: int | None = None,
     sizes: DataFrame | None = None,
+    most: int | None = None,
 ) -> DataFrame:
     """Join one-row-per-group ``stats`` to ``rows``, salting only the groups above ``limit`` rows.
 
     ``size`` names the column of ``stats`` with the number of rows in the group; ``spread_by`` names the columns whose
-    hash picks the salt of a row.  ``sizes`` is a cheaper table with the same sizes, where there is one.
+    hash picks the salt of a row.  ``sizes`` is a cheaper table with the same sizes, where there is one.  ``most``: no group is larger;
+    up to ``limit``, no list of large groups is made and sent.
     """
     limit = HOT_ROWS if limit is None else limit
+    if most is not None and most <= limit:
+        # the one salt is no constant, so that the rows are dealt by (keys, salt) and Spark can split a large partition
+        whole = stats.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(0))))
+        return rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(1)).cast("int")).join(whole, [*keys, "_salt"]).drop("_salt")
     ways = F.ceil(F.col(size) / F.lit(limit)).cast("int")
     hot = (stats if sizes is None else sizes).where(F.col(size) > limit).select(*keys, ways.alias("_ways"))
     salt = F.coalesce(F.pmod(F.xxhash64(*spread_by), F.col("_ways")), F.lit(0)).cast("int")
