@@ -72,3 +72,13 @@ def test_kernels_are_spread_over_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(series_queries, "ROCKET_ROWS", 4, raising=False)
     assert series_queries.rocket_ridge(spark, str(tmp_path), count=3).count() > 0
     assert parts == [10]
+
+
+def test_sweep_of_the_panel_is_planned_in_steps(spark, tmp_path, monkeypatch):
+    pick, start = random.Random(6), datetime.datetime(2024, 1, 1)
+    events = [(u * 20 + i, start + datetime.timedelta(minutes=u + 90 * i), u, "view", pick.uniform(0, 100), f'{{"k": {pick.randrange(100)}}}') for u in range(24) for i in range(7)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    plans, store = [], series_queries.stored
+    monkeypatch.setattr(series_queries, "stored", lambda df, name: plans.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or store(df, name))
+    assert series_queries.panel_sweep(spark, str(tmp_path)).count() == 160
+    assert max(plans) < 200_000
