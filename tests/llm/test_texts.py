@@ -148,6 +148,24 @@ def test_components_of_long_chains(spark):
     assert found[1002] == found[1001] == 1000
 
 
+def test_components_end_where_all_links_are_stars(spark, monkeypatch):
+    written, store = [], linked.stored
+    monkeypatch.setattr(linked, "stored", lambda df, name: written.append(name) or store(df, name))
+
+    def found(links):
+        written.clear()
+        return {r.node: r.label for r in smallest_of_component(spark.createDataFrame(links, "a long, b long")).collect()}
+
+    # stars around their smallest nodes, links twice, both ways round, to the node itself and to none: no star is made anew
+    assert found([(1, 5), (5, 1), (1, 5), (7, 1), (2, 3), (4, 4), (None, 9), (8, None)]) == {5: 1, 7: 1, 3: 2}
+    assert len(written) == 1
+    assert found([(4, 4), (None, 1)]) == found([]) == {}
+    # one round, and none to see that nothing changes; a centre that is not the smallest, a node with two centres, a path
+    for links in ([(9, 1), (9, 2), (9, 3)], [(2, 4), (1, 4)], [(1, 2), (2, 3)]):
+        assert found(links) == {x: 1 for link in links for x in link if x != 1}
+        assert len(written) == 3
+
+
 def test_rounds_of_components_send_no_tables(spark, monkeypatch):
     rng = random.Random(2)
     links = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(1000, i) for i in range(1001, 1060)]

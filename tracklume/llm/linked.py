@@ -29,20 +29,26 @@ def _small_star(pairs: DataFrame, most: int) -> DataFrame:
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _only_stars(pairs: DataFrame) -> tuple[bool, int]:
+    """Whether every node of ``a`` has that one link and no other, and the number of links."""
+    ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up")))))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count(F.lit(1)).alias("n"))
+    found = nodes.agg(F.sum("up").alias("links"), F.max(F.when(F.col("up") > 0, F.col("n"))).alias("most")).first()
+    return (found.most or 1) == 1, found.links or 0
+
+
 def smallest_of_component(pairs: DataFrame) -> DataFrame:
     """For columns ``a`` and ``b`` of links: every linked node that is not its component's smallest, and that node, as ``node``, ``label``.
 
-    Alternating large and small stars (Kiveris and others, 2014) until the stars stay as they are.  Their number of rounds
+    Alternating large and small stars (Kiveris and others, 2014) until each component is one star around its smallest node, which neither changes.  Their number of rounds
     grows with the logarithm of the longest path; no round is larger than the list of links.  Each star is a written
     table, which replaces the one before.  The links of a node with millions of them are salted.
     """
     now = stored(pairs.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen, most = None, now.count()  # no node has more links than there are; a star never adds any
-    while True:
+    done, most = _only_stars(now)  # no node has more links than there are; a star never adds any
+    while not done:
         for star in (_large_star, _small_star):
             before, now = now, stored(star(now, most), "links")
             discard(before)
-        mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
-        if mark == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
-        seen = mark
+        done, most = _only_stars(now)
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
