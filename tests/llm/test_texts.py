@@ -85,6 +85,16 @@ def test_links_of_a_group_in_parts_are_those_of_all_pairs(spark, monkeypatch):
         assert {i: label.get(i, i) for i, _ in rows} == {i: top for i, (_, top) in expected.items()}
 
 
+def test_groups_below_the_limit_make_no_list_of_large_ones(spark, monkeypatch):
+    written, store = {}, neardup.stored
+    monkeypatch.setattr(neardup, "stored", lambda df, name: written.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or store(df, name))
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in range(20 + i % 2))) for i in range(6)], "doc_id long, text string")
+    sets = neardup.signed(docs, 4).withColumnRenamed("doc_id", "rep")
+    links = neardup.confirmed_links(docs, sets.selectExpr("rep", "0L as label"), sets, 4, 80)
+    assert {r.node: r.label for r in smallest_of_component(links).collect()} == {i: 0 for i in range(1, 6)}
+    assert "_ways" not in written["sized"] and "_ways" not in written["texts"]
+
+
 def test_pairs_that_meet_in_one_hot_key_only(spark):
     # a family larger than KEY_ROWS that shares one band; partners agree in three of the four registers of every other band
     n = neardup.KEY_ROWS + 808

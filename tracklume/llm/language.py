@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -123,11 +124,11 @@ def fit(
             for text in batch.column("text"):
                 whole = np.zeros(1 << BITS, bool)
                 whole[bins_of(text.as_py(), flags)] = True
-                packed.append(np.packbits(whole).tobytes())
+                packed.append(zlib.compress(np.packbits(whole).tobytes()))
             yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("_rank"), pa.array(packed, pa.binary())], ["lang", "_rank", "bits"])
 
     found = sorted(chosen.mapInArrow(present, "lang string, _rank int, bits binary").collect(), key=lambda r: (r.lang, r._rank))
-    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(r.bits, np.uint8))) for r in found]
+    sets = [np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(r.bits), np.uint8))).astype(np.int32) for r in found]
     rows_in = [(s, r.lang, r._rank) for s, r in zip(sets, found, strict=True) if len(s)]
     languages = sorted({lang for _, lang, _ in rows_in})
     if not languages:

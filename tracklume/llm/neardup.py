@@ -271,14 +271,15 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, size: i
     is quadratic only in them.
     """
     sized = groups.join(reps.select("rep", "n_shingles"), "rep")
+    most = groups.count()  # rows of a label at most
     total = F.sum("n_shingles")
     ways = F.ceil(F.greatest(total / PART_SHINGLES, F.count(F.lit(1)) / PART_ROWS)).cast("long")
     stats = sized.groupBy("label").agg(F.count(F.lit(1)).alias("n"), total.alias("total"), F.avg("n_shingles").alias("mean"), ways.alias("parts"))
-    sized = stored(attach(sized, stats, ["label"], "n", ["rep"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))), "sized")
+    sized = stored(attach(sized, stats, ["label"], "n", ["rep"], most=most).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts"))), "sized")
     large = F.col("parts") > 1
     middle = sized.where(large).groupBy("label").agg(F.min_by("rep", F.struct(F.abs(F.col("n_shingles") - F.col("mean")), F.col("rep"))).alias("pivot"), F.count(F.lit(1)).alias("n"))
     placed = sized.where(~large).select("label", "part", "rep", F.lit(None).cast("long").alias("pivot"), F.lit(True).alias("home")).unionByName(
-        attach(sized.where(large).drop("n"), middle, ["label"], "n", ["rep"])
+        attach(sized.where(large).drop("n"), middle, ["label"], "n", ["rep"], most=most)
         .withColumn("at", F.explode(F.when(F.col("rep") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("part"))))
         .select("label", F.col("at").alias("part"), "rep", "pivot", (F.col("at") == F.col("part")).alias("home"))
     )
@@ -299,8 +300,8 @@ def confirmed_links(docs: DataFrame, groups: DataFrame, reps: DataFrame, size: i
         return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
 
     own = F.xxhash64("rep", F.lit(1))
-    there = attach(sized.where(large).select("label", "rep"), sides, ["label"], "n", ["rep"]).select("label", "rep", F.pmod(own, F.col("rows")).alias("i"), every("columns").alias("j"))
-    here = attach(loose.select("label", "rep"), sides, ["label"], "n", ["rep"]).select("label", "rep", F.pmod(own, F.col("columns")).alias("j"), every("rows").alias("i"))
+    there = attach(sized.where(large).select("label", "rep"), sides, ["label"], "n", ["rep"], most=most).select("label", "rep", F.pmod(own, F.col("rows")).alias("i"), every("columns").alias("j"))
+    here = attach(loose.select("label", "rep"), sides, ["label"], "n", ["rep"], most=most).select("label", "rep", F.pmod(own, F.col("columns")).alias("j"), every("rows").alias("i"))
     met = there.unionByName(here).distinct().withColumn("pivot", F.lit(None).cast("long"))
     again = texts.where("pivot is not null and home").select("rep", "text").join(met, "rep")
     return links.union(_compared(again, ["label", "i", "j"], size, percent).select("a", "b"))
