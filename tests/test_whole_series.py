@@ -56,3 +56,9 @@ def test_manhattan_neighbours_of_long_tracks(spark, long_tracks):
     folder, values = long_tracks
     found = S.knn_manhattan(spark, folder).collect()
     assert listed(found) == expected(found, lambda i, j: sum(float(np.abs(values[c][i] - values[c][j]).sum()) for c in S.CHANNELS))
+
+
+def test_euclidean_neighbours_of_long_tracks(spark, long_tracks):
+    folder, values = long_tracks
+    found = S.knn_neighbours(spark, folder).collect()
+    assert listed(found) == expected(found, lambda i, j: float(np.linalg.norm(values["Dist"][i] - values["Dist"][j])))
