@@ -62,3 +62,13 @@ def test_euclidean_neighbours_of_long_tracks(spark, long_tracks):
     folder, values = long_tracks
     found = S.knn_neighbours(spark, folder).collect()
     assert listed(found) == expected(found, lambda i, j: float(np.linalg.norm(values["Dist"][i] - values["Dist"][j])))
+
+
+def test_votes_on_long_tracks(spark, long_tracks):
+    folder, values = long_tracks
+    found = {r.id: r for r in S.knn_series(spark, folder).collect()}
+    near = expected(found.values(), lambda i, j: float(np.linalg.norm(values["Dist"][i] - values["Dist"][j])))
+    for name, row in found.items():
+        votes = [int(other[0]) % 2 for i, _, other, _ in near if i == name]
+        assert row.truth == int(name[0]) % 2 and row.pred == int(2 * sum(votes) > len(votes))
+    assert {r.id for r in S.series(spark, folder).select("id").collect()} == set(found)
