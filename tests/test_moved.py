@@ -56,6 +56,17 @@ def test_candidates_by_brute_force(spark, reach, memory, step):
     assert expected and sorted(found) == sorted(expected)
 
 
+def test_all_partners_within_reach(spark):
+    """Not the nearest alone, and every detection of a position; a row that comes twice is one detection."""
+    rows = scattered(300, 12, 240, 120, 5, 10.0)
+    expected = []
+    for file, frame, i, x, y in rows:
+        near = [(b[1] - frame, math.sqrt((b[3] - x) * (b[3] - x) + (b[4] - y) * (b[4] - y)), b[2]) for b in rows if b[0] == file and 1 <= b[1] - frame <= 4]
+        expected += [(file, i, b, gap, distance, place) for place, (gap, distance, b) in enumerate(sorted(n for n in near if n[1] <= 20.0), 1)]
+    found = [tuple(r) for r in L.nearest_partners(spark.createDataFrame(rows + rows[:50], SPOTS)).collect()]
+    assert sorted(found) == sorted(expected) and len(found) > 2 * len({r[:2] for r in found})
+
+
 def test_lone_nodes_take_no_part_in_rounds(spark, monkeypatch):
     written = []
     keep = graph.stored
