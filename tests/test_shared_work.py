@@ -48,6 +48,18 @@ def test_knockouts_share_the_filling_of_missing_values(rows, imputations):
         assert found[name] == pytest.approx(fold_metrics(scored, ["fold"]).agg(F.avg("accuracy")).first()[0], abs=1e-12)
 
 
+def test_every_feature_is_knocked_out(rows):
+    make = E.boosted(rounds=2)
+    found = {r.knockout: r.accuracy for r in E.knockout_scores(rows, FEATURES, {"both": FEATURES}, make).collect()}
+    assert set(found) == {"none", "f", "g", "both"}
+    for name in FEATURES:
+        zeroed = rows.withColumn(name, F.lit(0.0))
+        scored = E.out_of_fold(zeroed, E.fitted_folds(zeroed, make, FEATURES), ["file", "particle"])
+        assert found[name] == pytest.approx(fold_metrics(scored, ["fold"]).agg(F.avg("accuracy")).first()[0], abs=1e-12)
+    with pytest.raises(ValueError):
+        E.knockout_scores(rows, FEATURES, {"f": ["g"]}, make)
+
+
 def test_networks_share_scaling_and_filling(rows, imputations, monkeypatch):
     scalings, scaled = [], E.scaled_folds
     monkeypatch.setattr(E, "scaled_folds", lambda *a: scalings.append(1) or scaled(*a))
