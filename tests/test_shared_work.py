@@ -94,3 +94,15 @@ def test_sweep_of_the_panel_is_planned_in_steps(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(series_queries, "stored", lambda df, name: plans.append(len(df._jdf.queryExecution().optimizedPlan().toString())) or store(df, name))
     assert series_queries.panel_sweep(spark, str(tmp_path)).count() == 160
     assert max(plans) < 200_000
+
+
+def test_sweep_of_the_panel_keeps_one_row_per_track(spark, tmp_path, monkeypatch):
+    """What is written and searched does not grow with the feature sets and repeats."""
+    pick, start = random.Random(7), datetime.datetime(2024, 1, 1)
+    events = [(u * 20 + i, start + datetime.timedelta(minutes=u + 90 * i), u, "view", pick.uniform(0, 100), f'{{"k": {pick.randrange(100)}}}') for u in range(24) for i in range(7)]
+    spark.createDataFrame(events, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    written, store = [], series_queries.stored
+    for module in (series_queries, series_queries.SI):
+        monkeypatch.setattr(module, "stored", lambda df, name: ("vec" in df.columns and written.append(df.count())) or store(df, name))
+    assert series_queries.panel_sweep(spark, str(tmp_path)).count() == 160
+    assert written == [24, 24, 24]
